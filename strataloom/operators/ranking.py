@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets per group.
+from strataloom.runtime import shuffle_width
+
+#: Buckets per group, at least; four for each shuffle partition where that is more.
 WIDTH = 256
 
 
@@ -24,8 +26,9 @@ def spread_hash(*columns: str, seed: int = 0):
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
 
 
-def ranked(df: DataFrame, by: list[str], key: list[str], seed: int = 0, size: str | None = None, width: int = WIDTH) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], key: list[str], seed: int = 0, size: str | None = None, width: int | None = None) -> DataFrame:
     """``df`` with ``rank`` (from 1) and, with ``size``, ``upto``: the running sum of ``size`` up to and with the row."""
+    width = width or max(WIDTH, 4 * shuffle_width(df.sparkSession))
     marked = df.withColumn("_h", spread_hash(*key, seed=seed)).withColumn("_r", F.pmod(F.shiftrightunsigned(F.col("_h"), 40), F.lit(width)))
     weight = F.col(size) if size else F.lit(0)
     totals = marked.groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_s"))
