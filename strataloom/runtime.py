@@ -7,8 +7,10 @@ where that setting is absent, as in local tests.
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +21,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BATCH_ROWS = 4096
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers of the application, once; they need no path to it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    here = Path(__file__).resolve().parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="strataloom-")) / "strataloom"), "zip", here.parent, here.name)
+    context.addPyFile(archive)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One input table; a single file and a folder of parts read alike."""
+    ship(spark)
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
