@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import pairs, splits, truncation
+from strataloom.llm import overlap, pairs, splits, truncation
 from strataloom.runtime import table
 
 
@@ -38,6 +38,15 @@ def p3_rates(spark: SparkSession, root: str) -> DataFrame:
     return whose.join(found, "record_id", "left").groupBy("kind", "source", F.coalesce("defect", F.lit("sound")).alias("defect")).agg(F.count_distinct("record_id").alias("records"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return overlap.found(table(spark, root, "selected"))
+
+
+def p5_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Leaked rooms of each evaluation split and source."""
+    return overlap.counts(table(spark, root, "selected"), table(spark, root, "source_catalog"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return truncation.found(table(spark, root, "documents"))
 
@@ -47,5 +56,5 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
     return truncation.rates(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p3_rates, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p3_rates, p5_found, p5_counts, p8_found, p8_rates)}
 ORACLES: dict[str, str] = {}
