@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataloom.llm import overlap, pairs, splits, truncation
+from strataloom.llm import mixing, overlap, packing, pairs, splits, truncation
 from strataloom.runtime import table
 
 
@@ -22,8 +22,8 @@ def p2_splits(spark: SparkSession, root: str) -> DataFrame:
 def p2_shares(spark: SparkSession, root: str) -> DataFrame:
     """Rooms and share of each new split."""
     counted = p2_splits(spark, root).groupBy("split").agg(F.count_distinct("uid").alias("rooms"), F.count_distinct("family_uid").alias("families"))
-    total = counted.agg(F.sum("rooms").alias("total"))
-    return counted.crossJoin(total).select("split", "rooms", "families", F.round(F.col("rooms") / F.col("total"), 6).alias("share"))
+    total = F.sum("rooms").over(Window.partitionBy(F.lit(1)))  # one row a split
+    return counted.select("split", "rooms", "families", F.round(F.col("rooms") / total, 6).alias("share"))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -47,6 +47,29 @@ def p5_counts(spark: SparkSession, root: str) -> DataFrame:
     return overlap.counts(table(spark, root, "selected"), table(spark, root, "source_catalog"))
 
 
+def p6_containers(spark: SparkSession, root: str) -> DataFrame:
+    """Filling of every container of every profile."""
+    return packing.containers(p6_items(spark, root))
+
+
+def p6_items(spark: SparkSession, root: str) -> DataFrame:
+    """The container of every text."""
+    return packing.packed(table(spark, root, "documents"), table(spark, root, "pack_bins"))
+
+
+def p6_summary(spark: SparkSession, root: str) -> DataFrame:
+    return packing.summary(p6_containers(spark, root))
+
+
+def p7_mix(spark: SparkSession, root: str) -> DataFrame:
+    """The chosen texts and how often each is used."""
+    return mixing.mixed(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.reached(p7_mix(spark, root), table(spark, root, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return truncation.found(table(spark, root, "documents"))
 
@@ -56,5 +79,5 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
     return truncation.rates(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p3_rates, p5_found, p5_counts, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p3_rates, p5_found, p5_counts, p6_containers, p6_items, p6_summary, p7_mix, p7_shares, p8_found, p8_rates)}
 ORACLES: dict[str, str] = {}
