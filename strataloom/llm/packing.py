@@ -56,13 +56,24 @@ def fill(counts: dict[int, int], room: int) -> dict[int, int]:
     return used
 
 
-def patterns(histogram: dict[int, int], capacity: int):
+def descend(counts: dict[int, int], room: int) -> dict[int, int]:
+    """As many as fit of each size, largest first."""
+    used = {}
+    for size in sorted((s for s in counts if s <= room), reverse=True):
+        n = min(counts[size], room // size)
+        if n:
+            used[size] = n
+            room -= n * size
+    return used
+
+
+def patterns(histogram: dict[int, int], capacity: int, filling=fill):
     """(pattern, repeats) pairs that use up the histogram; pattern is size -> count in one container."""
     left = {s: n for s, n in histogram.items() if n > 0 and 0 < s <= capacity}
     while left:
         top = max(left)
         left[top] -= 1
-        used = fill({s: n for s, n in left.items() if n > 0}, capacity - top) if capacity > top else {}
+        used = filling({s: n for s, n in left.items() if n > 0}, capacity - top) if capacity > top else {}
         left[top] += 1
         used[top] = used.get(top, 0) + 1
         times = min(left[s] // n for s, n in used.items())
@@ -73,6 +84,15 @@ def patterns(histogram: dict[int, int], capacity: int):
         yield used, times
 
 
+def solution(histogram: dict[int, int], capacity: int):
+    """The patterns of minimum bin slack, or those of largest-first filling where that needs fewer containers.
+
+    Closest fills use the small sizes up early; where sizes are few and large, that can cost a container at the end.
+    """
+    slack, plain = list(patterns(histogram, capacity)), list(patterns(histogram, capacity, descend))
+    return slack if sum(t for _, t in slack) <= sum(t for _, t in plain) else plain
+
+
 def pieces(documents: DataFrame, bins: DataFrame) -> DataFrame:
     """(profile, capacity, doc_id, piece, size): a text, or the parts of one that exceeds the capacity."""
     held = bins.where("profile is not null and capacity_tokens > 0").groupBy("profile").agg(F.max("capacity_tokens").cast("long").alias("capacity")).collect()  # a fixed table
@@ -93,7 +113,7 @@ def slots(items: DataFrame) -> DataFrame:
         rows = []
         for (profile, capacity), part in pdf.groupby(["profile", "capacity"]):
             start, base = {}, 0
-            for number, (used, times) in enumerate(patterns({int(s): int(n) for s, n in zip(part["size"], part["n"])}, int(capacity))):
+            for number, (used, times) in enumerate(solution({int(s): int(n) for s, n in zip(part["size"], part["n"])}, int(capacity))):
                 for size, n in used.items():
                     first = start.get(size, 1)
                     rows.append((profile, number, times, base, size, n, first))
