@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strataloom.plans import structure
+from strataloom.plans import aggregates, labels, sampling, structure
 
-MODULES = (structure,)
-FLAGSHIP = structure.p4_found
+MODULES = (structure, labels, aggregates, sampling)
+FLAGSHIP = sampling.split_leakage_safe
 
 
 def _merged(name: str) -> dict:
