@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import aggregates, labels, sampling, structure
+from strataloom.plans import aggregates, labels, relations, sampling, structure
 
-MODULES = (structure, labels, aggregates, sampling)
+MODULES = (structure, labels, aggregates, relations, sampling)
 FLAGSHIP = sampling.split_leakage_safe
 
 
