@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import aggregates, labels, relations, sampling, structure
+from strataloom.plans import aggregates, labels, relations, rooms, sampling, structure
 
-MODULES = (structure, labels, aggregates, relations, sampling)
+MODULES = (structure, labels, aggregates, relations, sampling, rooms)
 FLAGSHIP = sampling.split_leakage_safe
 
 
