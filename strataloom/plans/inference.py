@@ -218,7 +218,7 @@ ORACLES = {
         , p AS (SELECT a.label, a.at, a.e AS x, b.e AS y FROM r a JOIN r b ON a.label = b.label AND a.at = b.at AND a.half = 0 AND b.half = 1)
         SELECT p.label, round(avg(pow(list_dot_product(p.x, q.x) / 64 + 1, 3) + pow(list_dot_product(p.y, q.y) / 64 + 1, 3) - pow(list_dot_product(p.x, q.y) / 64 + 1, 3) - pow(list_dot_product(q.x, p.y) / 64 + 1, 3)), 8) AS kid, count(*) AS pairs FROM p JOIN p q ON p.label = q.label AND p.at < q.at GROUP BY 1""",
     "daily_slope": _HOUR + " SELECT event_type, round(regr_slope(v, h), 8) AS slope, count(*) AS points FROM h GROUP BY 1",
-    "crossing_points": _HOUR + ", d AS (SELECT event_type, h, v - avg(v) OVER (PARTITION BY event_type) AS d FROM h), s AS (SELECT event_type, h, d, lead(d) OVER w AS d2, lead(h) OVER w AS h2 FROM d WINDOW w AS (PARTITION BY event_type ORDER BY h)), c AS (SELECT event_type, round(h + (h2 - h) * d / (d - d2), 6) AS a FROM s WHERE d * d2 < 0) SELECT event_type, first(a ORDER BY abs(a - 12), a) AS "at", count(*) AS crossings FROM c GROUP BY 1",
+    "crossing_points": _HOUR + ", d AS (SELECT event_type, h, v - avg(v) OVER (PARTITION BY event_type) AS d FROM h), s AS (SELECT event_type, h, d, lead(d) OVER w AS d2, lead(h) OVER w AS h2 FROM d WINDOW w AS (PARTITION BY event_type ORDER BY h)), c AS (SELECT event_type, round(h + (h2 - h) * d / (d - d2), 6) AS a FROM s WHERE d * d2 < 0) SELECT event_type, first(a ORDER BY abs(a - 12), a) AS \"at\", count(*) AS crossings FROM c GROUP BY 1",
     "best_of_n": "WITH e AS (SELECT user_id, CAST(floor(value) AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events), f AS (SELECT * FROM e WHERE k < 8) SELECT user_id, first(k ORDER BY v, k) AS k, min(v) AS violations, max(v) FILTER (k = 0) - min(v) AS gain FROM f GROUP BY 1",
     "policy_simulation": """
         WITH r AS (SELECT o_totalprice < 300000 AS small, o_totalprice % 7 < 6 AS big, starts_with(o_orderpriority, '1') AS hard FROM orders)
