@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import aggregates, inference, labels, relations, rooms, sampling, structure
+from strataloom.plans import aggregates, inference, labels, publication, relations, rooms, sampling, structure
 
-MODULES = (structure, labels, aggregates, relations, sampling, rooms, inference)
+MODULES = (structure, labels, aggregates, relations, sampling, rooms, inference, publication)
 FLAGSHIP = sampling.split_leakage_safe
 
 
