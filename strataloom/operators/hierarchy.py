@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strataloom.functions.jsontext import elements, id_text, read_json
 from strataloom.operators.nested import own_id
-from strataloom.runtime import as_batch, cut, map_records, shuffle_width
+from strataloom.runtime import as_batch, cut, map_records, shuffle_width, spread
 
 FRAGMENT_ROWS = 100_000
 LOCAL = T.StructType()
@@ -186,7 +186,7 @@ def room_edges(rooms: DataFrame) -> DataFrame:
         return act
 
     texts = rooms.select(*(F.col(c).cast("string") for c in ("uid", "request", "target", "parents")))
-    return map_records(texts, ROOM_EDGES, make).groupBy("uid", "object_id").agg(F.min("parent_id").alias("parent_id"))
+    return map_records(spread(texts), ROOM_EDGES, make).groupBy("uid", "object_id").agg(F.min("parent_id").alias("parent_id"))
 
 
 def resolve(edges: DataFrame, group: str, node: str, parent: str, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:

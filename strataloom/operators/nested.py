@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.functions.jsontext import elements, id_text, read_json
-from strataloom.runtime import map_records
+from strataloom.runtime import map_records, spread
 
 SCHEMA = "tag string, record_key string, pk string, parent_key string, depth int, payload string"
 #: Names under which an element may carry its own id, first match wins.
@@ -100,7 +100,7 @@ def emit(df: DataFrame, key: str, text: str, kind: str, payload: bool = True) ->
 
         return act
 
-    return map_records(df.select(F.col(key).cast("string"), F.col(text).cast("string")), SCHEMA, make)
+    return map_records(spread(df.select(F.col(key).cast("string"), F.col(text).cast("string"))), SCHEMA, make)
 
 
 def emit_all(raw: DataFrame, selected: DataFrame, payload: bool = False) -> DataFrame:

@@ -94,6 +94,16 @@ def map_records(
     return df.mapInArrow(run, out)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose files give fewer parts than half the cores, spread over all cores; others stay as they are.
+
+    A file of one row group can't be split, and a heavy pass over it would run in one task. Only for plain scans: asking for
+    the number of parts runs no job there.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 <= cores else scan
+
+
 def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     """Tuples to one record batch of ``schema``."""
     columns = zip(*rows) if rows else ([] for _ in schema)
