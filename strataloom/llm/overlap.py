@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strataloom.functions.jsontext import elements, id_text, read_json
 from strataloom.operators.nested import own_id
-from strataloom.runtime import as_batch, cut, map_records, shuffle_width
+from strataloom.runtime import as_batch, cut, map_records, shuffle_width, spread
 
 #: Metres by which places, sizes and outlines may differ.
 TOLERANCE = 0.05
@@ -134,7 +134,7 @@ def rooms(selected: DataFrame) -> DataFrame:
 
         return act
 
-    return map_records(selected.select("uid", side.alias("side"), "row"), ROOM, make, 256)
+    return map_records(spread(selected.select("uid", side.alias("side"), "row")), ROOM, make, 256)
 
 
 WORDS = "sig string, turn int, at int, word string, rest string, vals array<double>, k int, need int"

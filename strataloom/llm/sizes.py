@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.runtime import map_records
+from strataloom.runtime import map_records, spread
 
 #: Setting that names the tokenizer file on every node, and its value where unset.
 SETTING, DEFAULT = "strataloom.tokenizer", "/opt/tokenizers/byte_bpe_50k.json"
@@ -40,4 +40,4 @@ def sized(documents: DataFrame, path: str | None = None) -> DataFrame:
         return act
 
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "source", F.sha2("text", 256).alias("digest"), "text")
-    return map_records(texts, "doc_id long, source string, digest string, tokens long", make)
+    return map_records(spread(texts), "doc_id long, source string, digest string, tokens long", make)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from strataloom.functions.jsontext import elements, id_text, read_json
 from strataloom.operators.components import components
 from strataloom.operators.ranking import ranked
-from strataloom.runtime import cut, map_records
+from strataloom.runtime import cut, map_records, spread
 
 MAX_BITS = 1 << 22
 _DIGITS = re.compile(r"[0-9]+")
@@ -73,7 +73,7 @@ def keyed_rooms(raw: DataFrame) -> DataFrame:
     def make():
         return lambda record: [(record[1], record[0], room_keys(*record))] if record[1] is not None else []
 
-    return map_records(raw.select(*(F.col(c).cast("string") for c in ("source", "uid", "row"))), "uid string, source string, keys array<string>", make)
+    return map_records(spread(raw.select(*(F.col(c).cast("string") for c in ("source", "uid", "row")))), "uid string, source string, keys array<string>", make)
 
 
 def selected_splits(selected: DataFrame) -> DataFrame:
