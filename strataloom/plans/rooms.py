@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.operators import rooms as R
 from strataloom.runtime import table
+from strataloom.sources import scenes
 
 
 def room_checks(spark: SparkSession, root: str) -> DataFrame:
@@ -64,5 +65,17 @@ def answer_state_counts(spark: SparkSession, root: str) -> DataFrame:
     return answer_states(spark, root).groupBy(F.coalesce("state", F.lit("sound")).alias("state")).agg(F.count(F.lit(1)).alias("answers"), F.round(F.avg("placed"), 4).alias("placed"))
 
 
-QUERIES = {f.__name__: f for f in (room_checks, room_check_rates, room_anchors, room_relations, relation_counts, room_layout_twins, room_content_twins, room_outlines, room_settled, room_walkways, answer_states, answer_state_counts)}
+def exported_rooms(spark: SparkSession, root: str) -> DataFrame:
+    """Rooms that came in the export form, in the form of the others."""
+    return scenes.from_export(table(spark, root, "raw").select("uid", "row").distinct(), "row", ["uid"])
+
+
+def room_hulls(spark: SparkSession, root: str) -> DataFrame:
+    """Convex hull of the object centres of each room, and its area."""
+    boxes = R.over_rooms(table(spark, root, "raw"), "uid string, x double, y double", lambda uid, source, room: [(uid, o["x"], o["y"]) for o in room["objects"]])
+    ring = scenes.hulls(boxes, "uid")
+    return ring.select("uid", F.size("ring").alias("corners"), F.round(scenes.ring_area(F.col("ring")), 4).alias("area"))
+
+
+QUERIES = {f.__name__: f for f in (room_checks, room_check_rates, room_anchors, room_relations, relation_counts, room_layout_twins, room_content_twins, room_outlines, room_settled, room_walkways, answer_states, answer_state_counts, exported_rooms, room_hulls)}
 ORACLES: dict[str, str] = {}
