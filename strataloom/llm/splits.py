@@ -86,7 +86,7 @@ def families(raw: DataFrame, selected: DataFrame) -> DataFrame:
     """(uid, split, source, family) of every selected room; family is the smallest key of its component."""
     rooms = cut(keyed_rooms(raw).distinct())
     one = rooms.select("uid", "source", F.col("keys")[0].alias("house"), "keys")
-    links = one.select("house", F.explode(F.slice("keys", 2, 2**31 - 1)).alias("b")).distinct()
+    links = one.select("house", F.explode(F.slice("keys", F.lit(2), F.size("keys"))).alias("b")).distinct()
     # several rows of one uid that name different houses link them as well
     twice = one.groupBy("uid").agg(F.min("house").alias("house"), F.max("house").alias("b")).where("house <> b").select("house", "b")
     roots = components(links.union(twice), "house", "b")
