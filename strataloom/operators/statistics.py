@@ -133,8 +133,16 @@ def frechet(df: DataFrame, by: str, vector: str) -> DataFrame:
             rows.append((key, int(own[0]), float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * cross)))
         return pd.DataFrame(rows, columns=["group", "n", "distance"])
 
-    # as many rows as tasks times groups, each of the size of a Gram matrix
-    return parts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(solve, schema)
+    def merge(pdf):
+        import numpy as np
+        import pandas as pd
+
+        total, gram = (np.sum(np.stack(pdf[c].to_numpy()), axis=0) for c in ("total", "gram"))
+        return pd.DataFrame([(pdf[by].iloc[0], int(pdf["n"].sum()), total.tolist(), gram.tolist())], columns=[by, "n", "total", "gram"])
+
+    # what the tasks added up is added up for each group first; the last step sees one row a group
+    merged = parts.groupBy(by).applyInPandas(merge, parts.schema)
+    return merged.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(solve, schema)
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

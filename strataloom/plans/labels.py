@@ -50,7 +50,7 @@ def grid_cells(spark: SparkSession, root: str) -> DataFrame:
 def reasoning_split(spark: SparkSession, root: str) -> DataFrame:
     calls = table(spark, root, "stream_state").where("raw_final_text is not null").select("call_id", "raw_final_text").distinct()
     thought, answer = text.reasoning_parts(F.col("raw_final_text"))
-    return calls.select("call_id", F.length(thought).alias("thought_chars"), F.sha2(answer, 256).alias("answer_sha"))
+    return calls.select("call_id", F.length(thought).cast("long").alias("thought_chars"), F.sha2(answer, 256).alias("answer_sha"))
 
 
 def strict_props(spark: SparkSession, root: str) -> DataFrame:

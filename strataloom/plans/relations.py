@@ -113,7 +113,7 @@ def unique_keys(spark: SparkSession, root: str) -> DataFrame:
 def id_sets(spark: SparkSession, root: str) -> DataFrame:
     """Orders whose set of parts differs between returned and other lines."""
     sets = table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))).alias("a"), F.collect_set(F.when(F.col("l_returnflag") != "R", F.col("l_suppkey"))).alias("b"))
-    missing, extra = F.size(F.array_except("b", "a")), F.size(F.array_except("a", "b"))
+    missing, extra = F.size(F.array_except("b", "a")).cast("long"), F.size(F.array_except("a", "b")).cast("long")
     return sets.select(missing.alias("missing"), extra.alias("extra")).groupBy("missing", "extra").agg(F.count(F.lit(1)).alias("orders"))
 
 
