@@ -56,8 +56,8 @@ REFUSALS = (
     "as a language model", "as an ai", "falls outside of what i may", "outside of what i may do", "i must leave to a professional", "unable to comply", "can't comply", "cannot comply", "i can't assist", "i cannot assist",
     "i can't do that", "i cannot do that", "i'm sorry, but", "i am sorry, but", "i'd rather not", "i refuse", "not allowed to", "i can't provide", "i cannot provide", "can't fulfill", "cannot fulfill", "i can't give", "i cannot give",
     "es tut mir leid", "tut mir leid", "bedaure", "leider kann ich", "kann ich keine", "kann ich nicht", "darf ich nicht", "das kann ich", "muss ich ablehnen", "ich muss ablehnen", "als sprachmodell", "nicht in der lage", "möchte ich nicht", "lehne ich ab",
-    "lo siento", "lamentablemente", "no puedo", "no me es posible", "no estoy en condiciones", "debo rechazar", "tengo que rechazar", "como modelo de lenguaje", "no podré", "prefiero no", "no me está permitido", "me es imposible", "lo lamento",
-    "je suis désolé", "désolé", "je regrette", "je ne peux pas", "je ne peux ni", "je ne suis pas en mesure", "je dois refuser", "je refuse", "en tant que modèle de langage", "malheureusement", "il m'est impossible", "je ne saurais", "je ne puis",
+    "lo siento", "lamentablemente", "por desgracia", "disculpa", "negarme", "abstenerme", "no puedo", "no me es posible", "no estoy en condiciones", "debo rechazar", "tengo que rechazar", "como modelo de lenguaje", "no podré", "prefiero no", "no me está permitido", "me es imposible", "lo lamento",
+    "je suis désolé", "désolé", "navré", "m'abstenir", "je regrette", "je ne peux pas", "je ne peux ni", "je ne suis pas en mesure", "je dois refuser", "je refuse", "en tant que modèle de langage", "malheureusement", "il m'est impossible", "je ne saurais", "je ne puis",
     "mi dispiace", "purtroppo non posso", "non posso", "desculpe", "não posso", "к сожалению", "не могу", "извините",
     "抱歉", "对不起", "遗憾", "无法", "超出了我", "不能提供", "我不能", "作为语言模型", "作为一个语言模型", "作为ai", "恕我", "不便", "拒绝",
 )

@@ -205,7 +205,8 @@ def endings(texts: DataFrame, counts: DataFrame) -> DataFrame:
     asked = plain.select("source", F.lit("w").alias("kind"), "before", "word").union(plain.select("source", F.lit("d"), "before", "word")).union(plain.select("source", F.lit("u"), F.lit(""), "word")).union(plain.where("line is not null").select("source", F.lit("l"), F.lit(""), "line")).union(plain.where("number is not null").select("source", F.lit("n"), F.lit(""), "number")).distinct()
     on = ["source", "kind", "before", "word"]
     # every value that is counted gives its count to its strict prefixes; only prefixes that end a text are kept
-    starts = counts.where(F.length("word") > 1).select("source", "kind", "before", F.explode(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(LINE)))).alias("n"), "word", "ends", "mid").select("source", "kind", "before", F.expr("substring(word, 1, n)").alias("word"), (F.col("ends") + F.col("mid")).alias("longer"), F.col("word").alias("of"))
+    opened = asked.select("source", "kind", "before").distinct()
+    starts = counts.where(F.length("word") > 1).join(opened, ["source", "kind", "before"], "left_semi").select("source", "kind", "before", F.explode(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(LINE)))).alias("n"), "word", "ends", "mid").select("source", "kind", "before", F.expr("substring(word, 1, n)").alias("word"), (F.col("ends") + F.col("mid")).alias("longer"), F.col("word").alias("of"))
     if_asked = starts.join(asked, on, "left_semi").groupBy(*on).agg(F.sum("longer").alias("longer"))
     own = counts.join(asked, on, "left_semi")
     return asked.join(own, on, "left").join(if_asked, on, "left").select(*on, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("ends", "mid", "low", "longer")))
@@ -262,7 +263,7 @@ def verdicts(documents: DataFrame) -> DataFrame:
     # inside a number or word: what it starts is seen more often than it itself
     partial = n("w_longer") > n("w_ends") + n("w_mid")
     goes_on_low = (n("w_mid") >= 2) & (n("w_low") > 0.5 * n("w_mid"))
-    closing_line = F.col("line").isNotNull() & (n("l_ends") >= 2) & (n("l_ends") >= n("l_longer")) & (n("l_ends") >= n("l_mid")) & (n("n_longer") <= n("n_ends"))
+    closing_line = F.col("line").isNotNull() & (n("l_ends") >= 2) & (n("l_ends") >= n("l_longer")) & (n("l_ends") >= n("l_mid")) & (n("n_longer") <= n("n_ends")) & (~partial | (n("l_ends") >= 5))
     short_line = F.col("line").isNotNull() & ((n("l_longer") > n("l_ends")) | (n("n_longer") > n("n_ends")))
     # a word that opens a sentence or line has no pair to speak for it
     opens = F.expr(r"before = '\n' or regexp_like(before, '[.!?:。！？：，>-]$')")
