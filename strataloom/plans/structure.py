@@ -46,4 +46,39 @@ def p4_circles(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_objects, p4_found, p4_paths, p4_descendants, p4_circles)}
-ORACLES: dict[str, str] = {}
+# SQL of the hierarchies: the links, then a recursive walk down from the roots
+_WALK = """
+    WITH RECURSIVE r AS (SELECT DISTINCT uid, request, target, parents FROM rooms)
+    , i AS (SELECT DISTINCT uid, unnest(list_concat(coalesce(json_extract_string(request, '$.objects[*].id'), []), coalesce(json_extract_string(request, '$.fixed[*].id'), []))) AS id FROM r)
+    , m AS (SELECT uid, parents, unnest(json_keys(parents)) AS k FROM r WHERE json_type(parents) = 'OBJECT')
+    , a AS (SELECT uid, unnest(json_extract(parents, '$[*]')) AS x FROM r WHERE json_type(parents) = 'ARRAY')
+    , e AS (SELECT DISTINCT uid, k AS id, json_extract_string(parents, '$."' || k || '"') AS p FROM m UNION SELECT uid, json_extract_string(x, '$.id'), json_extract_string(x, '$.parent') FROM a)
+    , t AS (SELECT uid, unnest(json_extract(target, '$.placements[*]')) AS x FROM r)
+    , o AS (SELECT DISTINCT uid, json_extract_string(x, '$.id') AS id, json_extract_string(x, '$.on') AS p FROM t)
+    , l AS (SELECT i.uid, i.id, CASE WHEN e.id IS NOT NULL THEN e.p ELSE o.p END AS p FROM i LEFT JOIN e ON e.uid = i.uid AND e.id = i.id LEFT JOIN o ON o.uid = i.uid AND o.id = i.id)
+    , k AS (SELECT DISTINCT l.uid, l.id, CASE WHEN j.id IS NOT NULL THEN l.p END AS p FROM l LEFT JOIN i j ON j.uid = l.uid AND j.id = l.p)
+    , w AS (SELECT uid, id, id AS root, CAST(0 AS INTEGER) AS depth, [id] AS path FROM k WHERE p IS NULL UNION ALL SELECT k.uid, k.id, w.root, w.depth + 1, list_append(w.path, k.id) FROM w JOIN k ON k.uid = w.uid AND k.p = w.id)
+    , f AS (SELECT k.uid, k.id AS object_id, coalesce(w.root, '') AS root_id, coalesce(w.depth, -1) AS depth, coalesce(w.path, []) AS path FROM k LEFT JOIN w ON w.uid = k.uid AND w.id = k.id)"""
+# SQL of the elements: texts read again where they hold a text, lists and maps opened alike, members walked down
+_OPEN = "SELECT uid, section, holder, CAST(NULL AS VARCHAR) AS key, unnest(json_extract(c, '$[*]')) AS x FROM {t} WHERE json_type(c) = 'ARRAY' UNION ALL SELECT uid, section, holder, k, json_extract(c, '$.\"' || k || '\"') FROM (SELECT uid, section, holder, c, unnest(json_keys(c)) AS k FROM {t} WHERE json_type(c) = 'OBJECT')"
+_READ = "CASE WHEN json_valid({c}) THEN CASE WHEN json_type({c}) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string({c}, '$')) THEN json_extract_string({c}, '$') END ELSE {c} END END"
+_ID = "coalesce(key, json_extract_string(x, '$.id'), json_extract_string(x, '$.furniture_instance_id'))"
+_ELEMENTS = f"""
+    WITH RECURSIVE raw1 AS (SELECT DISTINCT uid, {_READ.format(c='"row"')} AS j FROM raw), sel1 AS (SELECT DISTINCT uid, {_READ.format(c='"row"')} AS j FROM selected)
+    , s1 AS (SELECT uid, unnest(json_extract(j, '$.messages[*]')) AS m FROM sel1)
+    , s2 AS (SELECT uid, json_extract_string(m, '$.role') AS role, regexp_replace(regexp_replace(json_extract_string(m, '$.content'), '^\s*```[a-z]*\s*', ''), '\s*```\s*$', '') AS t FROM s1)
+    , c AS (SELECT uid, 'objects' AS section, uid AS holder, json_extract(j, '$.objects') AS c FROM raw1 UNION ALL SELECT uid, 'fixed', uid, json_extract(j, '$.fixed') FROM raw1
+      UNION ALL SELECT uid, 'objects', uid, unnest(json_extract(j, '$.rooms[*].furniture')) FROM raw1
+      UNION ALL SELECT uid, 'request', uid, json_extract(t, '$.objects') FROM s2 WHERE role = 'user' AND json_valid(t) UNION ALL SELECT uid, 'placements', uid, json_extract(t, '$.placements') FROM s2 WHERE role = 'assistant' AND json_valid(t))
+    , e AS ({_OPEN.format(t='c')})
+    , w(uid, section, holder, key, x, own) AS (SELECT uid, section, holder, key, x, {_ID} FROM e
+      UNION ALL SELECT uid, section, holder, key, x, {_ID} FROM (
+        SELECT uid, section, coalesce(own, holder) AS holder, CAST(NULL AS VARCHAR) AS key, unnest(json_extract(x, '$.members[*]')) AS x FROM w WHERE json_type(x, '$.members') = 'ARRAY'
+        UNION ALL SELECT uid, section, holder, k, json_extract(x, '$.members."' || k || '"') FROM (SELECT uid, section, coalesce(own, holder) AS holder, x, unnest(json_keys(x, '$.members')) AS k FROM w WHERE json_type(x, '$.members') = 'OBJECT')))"""
+ORACLES = {
+    "p1_found": _ELEMENTS + " SELECT DISTINCT uid, section, own AS item_id, holder AS holder_id FROM w WHERE own IS NOT NULL",
+    "p4_found": _WALK + " SELECT uid, object_id, root_id, depth FROM f",
+    "p4_paths": _WALK + " SELECT uid, object_id, root_id, depth, path FROM f",
+    "p4_descendants": _WALK + ", d AS (SELECT uid, object_id AS descendant, depth, path, unnest(range(0, depth)) AS n FROM f WHERE depth > 0) SELECT uid, path[n + 1] AS ancestor, descendant, CAST(depth - n AS INTEGER) AS distance FROM d",
+    "p4_circles": _WALK + " SELECT uid, count(*) FILTER (depth < 0) AS caught, count(*) AS objects, max(depth) AS deepest FROM f GROUP BY 1",
+}
