@@ -80,4 +80,18 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p3_rates, p5_found, p5_counts, p6_containers, p6_items, p6_summary, p7_mix, p7_shares, p8_found, p8_rates)}
-ORACLES: dict[str, str] = {}
+_READ = """CASE WHEN json_valid("row") THEN CASE WHEN json_type("row") = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string("row", '$')) THEN json_extract_string("row", '$') END ELSE "row" END END"""
+ORACLES = {
+    "p2_found": f"""
+        WITH RECURSIVE raw1 AS (SELECT DISTINCT uid, source, {_READ} AS j FROM raw)
+        , g AS (SELECT DISTINCT uid, source, j, coalesce(nullif(trim(json_extract_string(j, '$.group')), ''), split_part(uid, ':', 2)) AS g FROM raw1)
+        , x AS (SELECT uid, unnest(json_extract_string(j, '$.meta.group_aliases[*]')) AS a FROM g)
+        , k AS (SELECT uid, 'h|' || source || '|' || CAST(regexp_extract(g, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS key FROM g UNION SELECT uid, 'a|' || regexp_replace(regexp_replace(lower(a), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g'), '[^a-z0-9]', '', 'g') FROM x WHERE a IS NOT NULL)
+        , e AS (SELECT DISTINCT a.key AS a, b.key AS b FROM k a JOIN k b ON a.uid = b.uid)
+        , r(node, root) AS (SELECT a, min(b) FROM e GROUP BY a UNION SELECT e.a, min(r.root) FROM r JOIN e ON e.b = r.node GROUP BY e.a)
+        , f AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+        , s AS (SELECT DISTINCT uid, CASE WHEN split = 'dev' THEN 'validation' ELSE split END AS split FROM selected)
+        , p AS (SELECT s.uid, s.split, min(f.root) AS root FROM s JOIN k ON k.uid = s.uid JOIN f ON f.node = k.key GROUP BY 1, 2)
+        , t AS (SELECT root, min(uid) AS family_uid FROM p GROUP BY 1 HAVING min(split) <> max(split))
+        SELECT DISTINCT p.uid, t.family_uid FROM p JOIN t ON t.root = p.root""",
+}
