@@ -39,7 +39,7 @@ from strataloom.runtime import as_batch, cut, map_records, shuffle_width, spread
 #: Metres by which places, sizes and outlines may differ.
 TOLERANCE = 0.05
 #: Edge of a cell in metres, share of objects that must match, words kept of a suffix, train suffixes a salt.
-CELL, SHARE, DEPTH, HEAVY = 0.25, 0.8, 12, 20_000
+CELL, SHARE, DEPTH, HEAVY = 0.35, 0.8, 12, 20_000
 EPS = 1e-9
 
 
