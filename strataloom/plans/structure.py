@@ -66,7 +66,7 @@ _ID = "coalesce(key, json_extract_string(x, '$.id'), json_extract_string(x, '$.f
 _ELEMENTS = f"""
     WITH RECURSIVE raw1 AS (SELECT DISTINCT uid, {_READ.format(c='"row"')} AS j FROM raw), sel1 AS (SELECT DISTINCT uid, {_READ.format(c='"row"')} AS j FROM selected)
     , s1 AS (SELECT uid, unnest(json_extract(j, '$.messages[*]')) AS m FROM sel1)
-    , s2 AS (SELECT uid, json_extract_string(m, '$.role') AS role, regexp_replace(regexp_replace(json_extract_string(m, '$.content'), '^\s*```[a-z]*\s*', ''), '\s*```\s*$', '') AS t FROM s1)
+    , s2 AS (SELECT uid, json_extract_string(m, '$.role') AS role, regexp_replace(regexp_replace(json_extract_string(m, '$.content'), '^\\s*```[a-z]*\\s*', ''), '\\s*```\\s*$', '') AS t FROM s1)
     , c AS (SELECT uid, 'objects' AS section, uid AS holder, json_extract(j, '$.objects') AS c FROM raw1 UNION ALL SELECT uid, 'fixed', uid, json_extract(j, '$.fixed') FROM raw1
       UNION ALL SELECT uid, 'objects', uid, unnest(json_extract(j, '$.rooms[*].furniture')) FROM raw1
       UNION ALL SELECT uid, 'request', uid, json_extract(t, '$.objects') FROM s2 WHERE role = 'user' AND json_valid(t) UNION ALL SELECT uid, 'placements', uid, json_extract(t, '$.placements') FROM s2 WHERE role = 'assistant' AND json_valid(t))
