@@ -15,8 +15,8 @@ from strataloom.runtime import cut, table
 
 #: Sources whose rooms share one set of assets: equal sizes don't make rooms related there.
 GROUP_ONLY = ("MansionWorld",)
-#: Rooms of a source that a release holds at most.
-CAP = 400
+#: Train rooms of a source that a release holds at most; none by default, as sources are balanced when texts are drawn.
+CAPS: dict[str, int] = {}
 
 
 def room_preparation(spark: SparkSession, root: str) -> DataFrame:
@@ -26,7 +26,18 @@ def room_preparation(spark: SparkSession, root: str) -> DataFrame:
     return p.select("source", F.explode(marks).alias("counter")).groupBy("source", "counter").agg(F.count(F.lit(1)).alias("rooms"))
 
 
-def _released(spark: SparkSession, root: str) -> DataFrame:
+def beyond_caps(fresh: DataFrame, caps: dict[str, int]) -> DataFrame | None:
+    """Uids of the train rooms of each named source beyond its number, in the order of their digests; None without caps."""
+    over = None
+    for source, n in sorted(caps.items()):
+        train = fresh.where((F.col("source") == source) & (F.col("split") == "train")).select("uid", "source")
+        held = S.top_by_digest(train, ["source"], F.sha1("uid"), n, ["uid"]).select("uid")
+        rest = train.join(held, "uid", "left_anti").select("uid")
+        over = rest if over is None else over.unionByName(rest)
+    return over
+
+
+def _released(spark: SparkSession, root: str, caps: dict[str, int] | None = None) -> DataFrame:
     """(uid, source, fate, split) of every prepared room; fate is rejected, other_source, duplicate, capped or kept."""
     p = cut(curate.prepare(table(spark, root, "raw")).withColumn("house", F.concat_ws("|", "source", "house")))  # houses are numbered within a source
     clean = p.where("reason is null")
@@ -44,21 +55,23 @@ def _released(spark: SparkSession, root: str) -> DataFrame:
     order = F.sha1("uid")
     first = placed.where("layout_key is not null").groupBy("split", "layout_key").agg(F.min_by("uid", F.struct(order, "uid")).alias("uid")).select("uid")
     fresh = placed.join(first, "uid", "left_semi")
-    kept = S.top_by_digest(fresh.select("uid", "source"), ["source"], order, CAP, ["uid"]).select("uid", F.lit("kept").alias("fate"))
-    fates = fresh.select("uid", F.lit("capped").alias("base"), "split").join(kept, "uid", "left").select("uid", "split", F.coalesce("fate", "base").alias("fate"))
+    over = beyond_caps(fresh, CAPS if caps is None else caps)
+    fates = fresh.select("uid", "split", F.lit("kept").alias("fate"))
+    if over is not None:
+        fates = fates.drop("fate").join(over.withColumn("fate", F.lit("capped")), "uid", "left").select("uid", "split", F.coalesce("fate", F.lit("kept")).alias("fate"))
     copies = placed.join(first, "uid", "left_anti").select("uid", "split", F.lit("duplicate").alias("fate"))
     known = fates.unionByName(copies)
     return p.join(known, "uid", "left").select("uid", "source", F.coalesce("fate", F.when(F.col("reason").isNotNull(), "rejected").otherwise("other_source")).alias("fate"), "split", "user", "assistant")
 
 
-def release_counters(spark: SparkSession, root: str) -> DataFrame:
+def release_counters(spark: SparkSession, root: str, caps: dict[str, int] | None = None) -> DataFrame:
     """What became of the rooms of each source."""
-    return _released(spark, root).groupBy("source", "fate", "split").agg(F.count(F.lit(1)).alias("rooms"))
+    return _released(spark, root, caps).groupBy("source", "fate", "split").agg(F.count(F.lit(1)).alias("rooms"))
 
 
-def release_rows(spark: SparkSession, root: str) -> DataFrame:
+def release_rows(spark: SparkSession, root: str, caps: dict[str, int] | None = None) -> DataFrame:
     """Chat rows of the released rooms."""
-    kept = _released(spark, root).where("fate = 'kept'")
+    kept = _released(spark, root, caps).where("fate = 'kept'")
     chat = F.array(F.struct(F.lit("system").alias("role"), F.lit(curate.SYSTEM).alias("content")), F.struct(F.lit("user").alias("role"), F.col("user").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("assistant").alias("content")))
     return kept.select("uid", "source", "split", F.to_json(chat).alias("messages"))
 
