@@ -8,9 +8,11 @@ Defined cases: rows with NULL keys or coordinates meet nothing; a box of no exte
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.runtime import cut
+
 
 def overlapping_pairs(boxes: DataFrame, room: str, key: str, cell: int, low: tuple[str, str] = ("x0", "y0"), high: tuple[str, str] = ("x1", "y1"), keep: list[str] = ()) -> DataFrame:
     """Pairs a < b of boxes of one room whose footprints share area, with the area; each pair once.
@@ -42,6 +44,27 @@ def banded_join(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str
     return bands.join(near, [*on, "_band"]).where(F.abs(F.col(a) - F.col(b)) <= width).drop("_band")
 
 
+def shift_votes(left: DataFrame, right: DataFrame, asset: str, x: str, x2: str, tolerance: int) -> DataFrame:
+    """(shift, votes) of every whole-number shift x2 - x between rows of one asset: the left rows with a right row less than ``tolerance`` from where the shift puts them.
+
+    Equal places of an asset are counted before the join. Around the shifts of a place the tolerances are merged to runs, so it votes
+    once however many right rows are near; votes are the running sum of the starts and ends of runs. That sum sorts one row for each
+    end, at most two for each whole number in the range of shifts.
+    """
+    reach = tolerance - 1
+    a = left.where(F.col(x).isNotNull()).groupBy(asset, x).agg(F.count(F.lit(1)).alias("_n"))
+    b = right.select(asset, x2).where(F.col(x2).isNotNull()).distinct()
+    met = cut(a.join(b, asset).select(asset, x, "_n", (F.col(x2) - F.col(x)).alias("shift")))
+    order = Window.partitionBy(asset, x).orderBy("shift")
+    ends = met.withColumn("_before", F.lag("shift").over(order)).withColumn("_after", F.lead("shift").over(order))
+    starts = ends.where(F.col("_before").isNull() | (F.col("shift") - F.col("_before") > 2 * reach + 1)).select((F.col("shift") - reach).alias("_at"), F.col("_n").alias("_d"))
+    stops = ends.where(F.col("_after").isNull() | (F.col("_after") - F.col("shift") > 2 * reach + 1)).select((F.col("shift") + reach + 1).alias("_at"), (-F.col("_n")).alias("_d"))
+    events = starts.unionByName(stops).unionByName(met.select(F.col("shift").alias("_at"), F.lit(0).cast("long").alias("_d")).distinct())
+    summed = events.groupBy("_at").agg(F.sum("_d").alias("_d"))
+    votes = summed.select(F.col("_at").alias("shift"), F.sum("_d").over(Window.orderBy("_at")).alias("votes"))
+    return votes.join(met.select("shift").distinct(), "shift", "left_semi")
+
+
 def patched(rows: DataFrame, patches: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Rows with values of a patch put over them; NULL in a patch leaves the value. ``patched`` tells which rows changed."""
     over = patches.select(*key, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))

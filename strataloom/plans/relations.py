@@ -82,6 +82,14 @@ def offset_votes(spark: SparkSession, root: str) -> DataFrame:
     return shifts.agg(F.max_by("shift", F.struct("votes", -F.col("shift"))).alias("shift"), F.max("votes").alias("votes"), F.count(F.lit(1)).alias("shifts"))
 
 
+def offset_votes_whole(spark: SparkSession, root: str) -> DataFrame:
+    """The shift between all placements of two sets that most of the first agree on, within 25 of it (the reach of a bin of offset_votes)."""
+    left = table(spark, root, "supplier").select(F.col("s_nationkey").alias("asset"), F.floor("s_acctbal").alias("x"))
+    right = table(spark, root, "customer").select(F.col("c_nationkey").alias("asset"), F.floor("c_acctbal").alias("x2"))
+    votes = R.shift_votes(left, right, "asset", "x", "x2", 25)
+    return votes.agg(F.max_by("shift", F.struct("votes", -F.col("shift"))).alias("shift"), F.max("votes").alias("votes"), F.count(F.lit(1)).alias("shifts"))
+
+
 def reject_reasons(spark: SparkSession, root: str) -> DataFrame:
     """First rule that refuses a line, counted."""
     reason = F.when(F.col("l_quantity").isNull(), "bad_numbers").when(F.col("l_extendedprice") <= 0, "bad_numbers").when(F.col("l_quantity") > 48, "object_count").when(F.col("l_discount") >= 0.1, "flagged:discount").when((F.col("l_returnflag") == "R") & (F.col("l_tax") > 0.06), "flagged:return")
@@ -170,7 +178,7 @@ def shared_cells(spark: SparkSession, root: str) -> DataFrame:
     return filled.groupBy("room").agg(F.count(F.lit(1)).alias("cells"), F.count(F.when(F.col("held") > 1, 1)).alias("shared"))
 
 
-QUERIES = {f.__name__: f for f in (room_overlap, same_kind_overlap, support_below, support_chains, drop_dependants, nearest_size, offset_votes, reject_reasons, flag_filter, mask_journal, unique_keys, id_sets, height_conflicts, range_conflicts, full_reconciliation, patch_overlay, aligned_arrays, positional_zip, shared_cells)}
+QUERIES = {f.__name__: f for f in (room_overlap, same_kind_overlap, support_below, support_chains, drop_dependants, nearest_size, offset_votes, offset_votes_whole, reject_reasons, flag_filter, mask_journal, unique_keys, id_sets, height_conflicts, range_conflicts, full_reconciliation, patch_overlay, aligned_arrays, positional_zip, shared_cells)}
 
 _B = """WITH l AS (SELECT DISTINCT l_orderkey, CAST(l_linenumber AS BIGINT) AS ln, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
 , b AS (SELECT l_orderkey AS room, format('{}-{}-{}-{}', ln, l_partkey, l_suppkey, q) AS box, l_partkey % 11 AS kind, l_partkey * 7 % 500 AS x0, l_suppkey * 13 % 400 AS y0, l_partkey * 7 % 500 + 20 + q * 2 AS x1, l_suppkey * 13 % 400 + 20 + ln * 10 AS y1, l_partkey % 3 * 40 AS z0, l_partkey % 3 * 40 + 40 + ln * 5 AS z1, (20 + q * 2) * (20 + ln * 10) AS area FROM l)
