@@ -44,6 +44,48 @@ def banded_join(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str
     return bands.join(near, [*on, "_band"]).where(F.abs(F.col(a) - F.col(b)) <= width).drop("_band")
 
 
+def nearest_by_log_size(rows: DataFrame, key: str, kind: str, sizes: tuple[str, str]) -> DataFrame:
+    """(key, ref, cost) of every row: the other row of its kind with the least sum of |log ratios| of two sizes, of equal ones the smaller key.
+
+    Rows of equal kind and sizes are one point. Points stand in a lattice of squares by the logarithms of both sizes and ask the nine
+    squares around theirs; an answer is proven once its cost is less than the side of a square, and points without proof ask again in
+    squares twice as wide, until squares are as wide as the table. Only rows alone in their kind, or without kind or sizes above 0, get none.
+    ``key`` is unique.
+    """
+    good = rows.where(F.col(key).isNotNull() & F.col(kind).isNotNull() & (F.col(sizes[0]) > 0) & (F.col(sizes[1]) > 0))
+    at = cut(good.select(F.col(key).alias("_k"), F.col(kind).alias("_g"), F.log(F.col(sizes[0]).cast("double")).alias("_a"), F.log(F.col(sizes[1]).cast("double")).alias("_b")).distinct())
+    place = ["_g", "_a", "_b"]
+    points = cut(at.groupBy(*place).agg(F.min("_k").alias("_p")))
+    spans = points.agg(F.max("_a") - F.min("_a"), F.max("_b") - F.min("_b"), F.count(F.lit(1))).first()
+    reach = (spans[0] or 0.0) + (spans[1] or 0.0)
+    width = max(reach / max(spans[2], 1) ** 0.5, 1e-6)
+    cost = F.round(F.abs(F.col("_a") - F.col("_a2")) + F.abs(F.col("_b") - F.col("_b2")), 9)
+    other = points.select("_g", F.col("_a").alias("_a2"), F.col("_b").alias("_b2"), F.col("_p").alias("ref"))
+    found, left = None, points
+    while found is None or not left.isEmpty():
+        last = width > reach
+        if last:
+            met = left.join(other, "_g")
+        else:
+            cell = lambda c, step=0: F.floor(F.col(c) / width) + step
+            around = F.array(*[F.struct(cell("_a", i).alias("i"), cell("_b", j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+            met = left.withColumn("_c", F.explode(around)).join(other.withColumn("_c", F.struct(cell("_a2").alias("i"), cell("_b2").alias("j"))), ["_g", "_c"])
+        best = best_candidate(met.where("_p <> ref").withColumn("cost", cost), ["_p"], F.struct("cost", "ref"), ["cost", "ref"])
+        done = cut(best if last else best.where(F.col("cost") < width - 1e-9))
+        found = done if found is None else found.unionByName(done)
+        if last:
+            break
+        left = cut(left.join(done.select("_p"), "_p", "left_anti"))
+        width *= 2
+    placed = at.join(points, place)
+    second = placed.where("_k <> _p").groupBy("_p").agg(F.min("_k").alias("_q"))
+    near = placed.join(second, "_p", "left").join(found, "_p", "left")
+    twin = F.when(F.col("_k") != F.col("_p"), F.col("_p")).otherwise(F.col("_q"))
+    own = F.when(twin.isNotNull(), F.struct(F.lit(0.0).alias("cost"), twin.alias("ref")))
+    answer = F.least(own, F.when(F.col("ref").isNotNull(), F.struct("cost", "ref")))
+    return near.select(F.col("_k").alias(key), answer.alias("_r")).where("_r is not null").select(key, "_r.ref", "_r.cost")
+
+
 def shift_votes(left: DataFrame, right: DataFrame, asset: str, x: str, x2: str, tolerance: int) -> DataFrame:
     """(shift, votes) of every whole-number shift x2 - x between rows of one asset: the left rows with a right row less than ``tolerance`` from where the shift puts them.
 

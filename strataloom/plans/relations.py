@@ -74,6 +74,11 @@ def nearest_size(spark: SparkSession, root: str) -> DataFrame:
     return R.best_candidate(met.withColumn("cost", cost), ["p_partkey"], F.struct("cost", "ref"), ["ref", "cost"])
 
 
+def nearest_size_whole(spark: SparkSession, root: str) -> DataFrame:
+    """For every part the nearest other part of its name, by the sum of log ratios."""
+    return R.nearest_by_log_size(table(spark, root, "part"), "p_partkey", "p_name", ("p_size", "p_retailprice"))
+
+
 def offset_votes(spark: SparkSession, root: str) -> DataFrame:
     """The shift between two sets of placements that most pairs of one asset agree on, and the pairs near it."""
     left = table(spark, root, "supplier").select(F.col("s_nationkey").alias("asset"), F.floor("s_acctbal").alias("x"))
@@ -178,7 +183,7 @@ def shared_cells(spark: SparkSession, root: str) -> DataFrame:
     return filled.groupBy("room").agg(F.count(F.lit(1)).alias("cells"), F.count(F.when(F.col("held") > 1, 1)).alias("shared"))
 
 
-QUERIES = {f.__name__: f for f in (room_overlap, same_kind_overlap, support_below, support_chains, drop_dependants, nearest_size, offset_votes, offset_votes_whole, reject_reasons, flag_filter, mask_journal, unique_keys, id_sets, height_conflicts, range_conflicts, full_reconciliation, patch_overlay, aligned_arrays, positional_zip, shared_cells)}
+QUERIES = {f.__name__: f for f in (room_overlap, same_kind_overlap, support_below, support_chains, drop_dependants, nearest_size, nearest_size_whole, offset_votes, offset_votes_whole, reject_reasons, flag_filter, mask_journal, unique_keys, id_sets, height_conflicts, range_conflicts, full_reconciliation, patch_overlay, aligned_arrays, positional_zip, shared_cells)}
 
 _B = """WITH l AS (SELECT DISTINCT l_orderkey, CAST(l_linenumber AS BIGINT) AS ln, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
 , b AS (SELECT l_orderkey AS room, format('{}-{}-{}-{}', ln, l_partkey, l_suppkey, q) AS box, l_partkey % 11 AS kind, l_partkey * 7 % 500 AS x0, l_suppkey * 13 % 400 AS y0, l_partkey * 7 % 500 + 20 + q * 2 AS x1, l_suppkey * 13 % 400 + 20 + ln * 10 AS y1, l_partkey % 3 * 40 AS z0, l_partkey % 3 * 40 + 40 + ln * 5 AS z1, (20 + q * 2) * (20 + ln * 10) AS area FROM l)

@@ -1,5 +1,6 @@
 """Joins that answer for every row, against direct comparison."""
 
+import math
 import random
 
 from strataloom.operators import relate
@@ -27,3 +28,16 @@ def test_offset_votes_counts_all_customers_and_no_bins(spark, tmp_path):
     # 48 and 52 lie in two bins of 50; all customers are beyond number 400
     spark.createDataFrame([(500 + n, n, x + 48 + 4 * (n % 2)) for n, x in places], "c_custkey long, c_nationkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     assert relations.offset_votes_whole(spark, str(tmp_path)).collect() == [(48, 6, 2)]
+
+
+def test_every_part_gets_its_nearest(spark, tmp_path):
+    pick = random.Random(9)
+    parts = [(k, pick.choice("ab"), pick.choice((1, 2, 3, 9, 50)), pick.choice((900.0, 901.5, 950.0, 999.9))) for k in range(1, 61)]
+    # twins, a lonely name, names of two parts far apart, parts without name or size
+    parts += [(71, "t", 5, 910.0), (72, "t", 5, 910.0), (73, "t", 5, 910.0), (80, "alone", 5, 910.0), (85, "far", 1, 900.0), (90, "far", 50, 999.9), (95, None, 5, 910.0), (96, "a", None, 910.0)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    good = [p for p in parts if p[1] and p[2]]
+    cost = lambda p, q: round(abs(math.log(p[2]) - math.log(q[2])) + abs(math.log(p[3]) - math.log(q[3])), 9)
+    want = {p[0]: min((cost(p, q), q[0]) for q in good if q[1] == p[1] and q[0] != p[0]) for p in good if p[1] != "alone"}
+    rows = relations.nearest_size_whole(spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) and {r.p_partkey: (r.cost, r.ref) for r in rows} == want
