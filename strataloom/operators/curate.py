@@ -108,7 +108,7 @@ def rendered(room):
     return dense({k: v for k, v in user.items() if v not in (None, [])}), dense({"placements": [place(o) for o in room["objects"]]})
 
 
-PREPARED = "uid string, source string, house string, reason string, flags array<string>, objects int, has_polygon boolean, layout_key string, content_key string, aliases array<string>, eval_only boolean, user string, assistant string"
+PREPARED = "uid string, source string, house string, reason string, flags array<string>, objects int, has_polygon boolean, layout_key string, content_key string, copy_key string, aliases array<string>, eval_only boolean, user string, assistant string"
 
 
 def prepare(raw: DataFrame) -> DataFrame:
@@ -126,13 +126,13 @@ def prepare(raw: DataFrame) -> DataFrame:
             house = id_text(value.get("group")) or uid
             reason = refused(value, room)
             if reason:
-                return [(uid, source, house, reason, [], len(room["objects"]), bool(room["outline"]), None, None, aliases, bool(meta.get("eval_only")), None, None)]
+                return [(uid, source, house, reason, [], len(room["objects"]), bool(room["outline"]), None, None, None, aliases, bool(meta.get("eval_only")), None, None)]
             clean, flags = prepared(room)
             if not clean["objects"]:
-                return [(uid, source, house, "object_count", flags, 0, True, None, None, aliases, bool(meta.get("eval_only")), None, None)]
+                return [(uid, source, house, "object_count", flags, 0, True, None, None, None, aliases, bool(meta.get("eval_only")), None, None)]
             if any(o[1].get("tilted") for o in elements(value.get("objects")) if isinstance(o[1], dict)):
                 flags = sorted({*flags, "tilted"})
-            return [(uid, source, house, None, flags, len(clean["objects"]), True, *R.keys_of(clean), aliases, bool(meta.get("eval_only")), *rendered(canonical(clean)))]
+            return [(uid, source, house, None, flags, len(clean["objects"]), True, *R.keys_of(clean), R.copy_key(clean), aliases, bool(meta.get("eval_only")), *rendered(canonical(clean)))]
 
         return act
 

@@ -46,14 +46,14 @@ def _released(spark: SparkSession, root: str, caps: dict[str, int] | None = None
     best = sums.groupBy("house").agg(F.max_by("source", F.struct("n", "p", "source")).alias("source"))
     chosen = clean.join(best, ["house", "source"], "left_semi")
     keys = F.array_compact(F.concat(F.array(F.concat(F.lit("g:"), "house"), F.when(~F.col("source").isin(*GROUP_ONLY), F.concat(F.lit("c:"), "content_key")), F.concat(F.lit("l:"), "layout_key")), F.transform("aliases", lambda a: F.concat(F.lit("a:"), F.lower(a)))))
-    keyed = chosen.select("uid", "source", "eval_only", "layout_key", keys.alias("keys"), F.array_min(keys).alias("first"))
+    keyed = chosen.select("uid", "source", "eval_only", "copy_key", keys.alias("keys"), F.array_min(keys).alias("first"))
     roots = components(keyed.select("first", F.explode("keys").alias("b")).where("first <> b").distinct(), "first", "b")
-    family = keyed.join(roots.withColumnRenamed("node", "first"), "first", "left").select("uid", "source", "eval_only", "layout_key", F.coalesce("root", "first").alias("family"))
+    family = keyed.join(roots.withColumnRenamed("node", "first"), "first", "left").select("uid", "source", "eval_only", "copy_key", F.coalesce("root", "first").alias("family"))
     only = family.groupBy("family").agg(F.max("eval_only").alias("only"))
     part = text.sha1_modulo(F.col("family"), 10000)
-    placed = cut(family.join(only, "family").select("uid", "source", "layout_key", F.when(F.col("only"), "test").when(part < 500, "dev").when(part < 1000, "test").otherwise("train").alias("split")))
+    placed = cut(family.join(only, "family").select("uid", "source", "copy_key", F.when(F.col("only"), "test").when(part < 500, "dev").when(part < 1000, "test").otherwise("train").alias("split")))
     order = F.sha1("uid")
-    first = placed.where("layout_key is not null").groupBy("split", "layout_key").agg(F.min_by("uid", F.struct(order, "uid")).alias("uid")).select("uid")
+    first = placed.where("copy_key is not null").groupBy("split", "copy_key").agg(F.min_by("uid", F.struct(order, "uid")).alias("uid")).select("uid")
     fresh = placed.join(first, "uid", "left_semi")
     over = beyond_caps(fresh, CAPS if caps is None else caps)
     fates = fresh.select("uid", "split", F.lit("kept").alias("fate"))

@@ -20,3 +20,20 @@ def test_caps_are_optional_and_count_train_rooms(spark, tmp_path):
     fates = {(r.fate, r.split): r.rooms for r in release.release_counters(spark, root, caps={"s": 100, "other": 1}).collect()}
     held = {r.split: r["count"] for r in free}
     assert fates == {("kept", "train"): 100, ("capped", "train"): held["train"] - 100, ("kept", "dev"): held["dev"], ("kept", "test"): held["test"]}
+
+
+def test_copies_agree_in_kind_size_pose_and_fixed_boxes(spark, tmp_path):
+    turned = {"boundary": [[0, 0], [4, 0], [4, 5], [0, 5]]}
+    flat = {"boundary": [[0, 0], [5, 0], [5, 4], [0, 4]]}
+    door = [box("d", 0.5, 0.1, kind="door")]
+    rows = {
+        "a": record([box("a", 1, 1, kind="chair")], **flat),
+        "a_again": record([box("x", 1, 1, kind="Chair (2)")], **flat),
+        "a_turned": record([{**box("a", 3, 1, kind="chair"), "yaw": 1.5707963267948966}], **turned),
+        "kind": record([box("a", 1, 1, kind="bench")], **flat),
+        "size": record([box("a", 1, 1, size=(1, 1, 0.5), kind="chair")], **flat),
+        "fixed": record([box("a", 1, 1, kind="chair")], fixed=door, **flat),
+    }
+    root = written(spark, tmp_path, [("s", u, {**r, "group": "h"}) for u, r in rows.items()])
+    kept = {r.uid for r in release.release_rows(spark, root).collect()}
+    assert len(kept) == 4 and len(kept & {"a", "a_again", "a_turned"}) == 1 and kept >= {"kind", "size", "fixed"}
