@@ -22,8 +22,8 @@ from strataloom.runtime import map_records, spread
 
 #: Metres of sinking and floating that are snapped to the floor; least free area.
 SUNK, FLOATING, AREA = 0.30, 0.50, 0.5
-#: Fewest and most objects of a released room.
-OBJECTS = (1, 60)
+#: Fewest objects of a released room; there is no most.
+LEAST_OBJECTS = 1
 SYSTEM = "Place every listed object in the room. Answer with one JSON object that holds placements in the listed order."
 
 
@@ -49,7 +49,7 @@ def refused(value, room):
         return "boundary_shape"
     if len(room["objects"]) < len(named):
         return "bad_numbers"
-    if not OBJECTS[0] <= len(room["objects"]) <= OBJECTS[1]:
+    if len(room["objects"]) < LEAST_OBJECTS:
         return "object_count"
     return None
 

@@ -37,3 +37,14 @@ def test_copies_agree_in_kind_size_pose_and_fixed_boxes(spark, tmp_path):
     root = written(spark, tmp_path, [("s", u, {**r, "group": "h"}) for u, r in rows.items()])
     kept = {r.uid for r in release.release_rows(spark, root).collect()}
     assert len(kept) == 4 and len(kept & {"a", "a_again", "a_turned"}) == 1 and kept >= {"kind", "size", "fixed"}
+
+
+def test_large_rooms_are_released(spark, tmp_path):
+    def rows(n):
+        return record([box(f"o{i}", 0.1 + i % 20 / 4.2, 0.1 + i // 20 / 4.2, size=(0.1, 0.1, 0.1)) for i in range(n)], group=f"h{n}")
+
+    root = written(spark, tmp_path, [("s", f"u{n}", rows(n)) for n in (0, 60, 61, 200)])
+    counters = {(r.counter, r.rooms) for r in release.room_preparation(spark, root).collect()}
+    assert ("rejected:object_count", 1) in counters and ("kept", 3) in counters
+    sizes = {r.uid: len(json.loads(json.loads(r.messages)[2]["content"])["placements"]) for r in release.release_rows(spark, root).collect()}
+    assert sizes == {"u60": 60, "u61": 61, "u200": 200}
