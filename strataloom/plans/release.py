@@ -38,15 +38,11 @@ def beyond_caps(fresh: DataFrame, caps: dict[str, int]) -> DataFrame | None:
 
 
 def _released(spark: SparkSession, root: str, caps: dict[str, int] | None = None) -> DataFrame:
-    """(uid, source, fate, split) of every prepared room; fate is rejected, other_source, duplicate, capped or kept."""
+    """(uid, source, fate, split) of every prepared room; fate is rejected, duplicate, capped or kept."""
     p = cut(curate.prepare(table(spark, root, "raw")).withColumn("house", F.concat_ws("|", "source", "house")))  # houses are numbered within a source
     clean = p.where("reason is null")
-    # of the sources that tell one house, the one with most objects, then outlines, then the larger name
-    sums = clean.groupBy("house", "source").agg(F.sum("objects").alias("n"), F.max("has_polygon").alias("p"))
-    best = sums.groupBy("house").agg(F.max_by("source", F.struct("n", "p", "source")).alias("source"))
-    chosen = clean.join(best, ["house", "source"], "left_semi")
-    keys = F.array_compact(F.concat(F.array(F.concat(F.lit("g:"), "house"), F.when(~F.col("source").isin(*GROUP_ONLY), F.concat(F.lit("c:"), "content_key")), F.concat(F.lit("l:"), "layout_key")), F.transform("aliases", lambda a: F.concat(F.lit("a:"), F.lower(a)))))
-    keyed = chosen.select("uid", "source", "eval_only", "copy_key", keys.alias("keys"), F.array_min(keys).alias("first"))
+    keys = F.array_compact(F.concat(F.array(F.concat(F.lit("g:"), "house"), F.when(~F.coalesce("source", F.lit("")).isin(*GROUP_ONLY), F.concat(F.lit("c:"), "content_key")), F.concat(F.lit("l:"), "layout_key")), F.transform("aliases", lambda a: F.concat(F.lit("a:"), F.lower(a)))))
+    keyed = clean.select("uid", "source", "eval_only", "copy_key", keys.alias("keys"), F.array_min(keys).alias("first"))
     roots = components(keyed.select("first", F.explode("keys").alias("b")).where("first <> b").distinct(), "first", "b")
     family = keyed.join(roots.withColumnRenamed("node", "first"), "first", "left").select("uid", "source", "eval_only", "copy_key", F.coalesce("root", "first").alias("family"))
     only = family.groupBy("family").agg(F.max("eval_only").alias("only"))
@@ -61,7 +57,7 @@ def _released(spark: SparkSession, root: str, caps: dict[str, int] | None = None
         fates = fates.drop("fate").join(over.withColumn("fate", F.lit("capped")), "uid", "left").select("uid", "split", F.coalesce("fate", F.lit("kept")).alias("fate"))
     copies = placed.join(first, "uid", "left_anti").select("uid", "split", F.lit("duplicate").alias("fate"))
     known = fates.unionByName(copies)
-    return p.join(known, "uid", "left").select("uid", "source", F.coalesce("fate", F.when(F.col("reason").isNotNull(), "rejected").otherwise("other_source")).alias("fate"), "split", "user", "assistant")
+    return p.join(known, "uid", "left").select("uid", "source", F.coalesce("fate", F.lit("rejected")).alias("fate"), "split", "user", "assistant")
 
 
 def release_counters(spark: SparkSession, root: str, caps: dict[str, int] | None = None) -> DataFrame:

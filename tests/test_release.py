@@ -48,3 +48,11 @@ def test_large_rooms_are_released(spark, tmp_path):
     assert ("rejected:object_count", 1) in counters and ("kept", 3) in counters
     sizes = {r.uid: len(json.loads(json.loads(r.messages)[2]["content"])["placements"]) for r in release.release_rows(spark, root).collect()}
     assert sizes == {"u60": 60, "u61": 61, "u200": 200}
+
+
+def test_no_room_is_left_to_another_source(spark, tmp_path):
+    linked = {"front_known": True, "n_incomplete": 0, "group_aliases": ["visit:1"]}
+    rows = [(s, f"u{i}", record([box("a", 1 + i, 1)], meta=linked)) for i, s in enumerate(("s", "t", None))]
+    root = written(spark, tmp_path, rows)
+    released = release.release_rows(spark, root).collect()
+    assert {r.uid for r in released} == {"u0", "u1", "u2"} and len({r.split for r in released}) == 1
