@@ -73,6 +73,23 @@ def kernel_distance(spark: SparkSession, root: str) -> DataFrame:
     return pairs.join(other, "label").where("at < at2").groupBy("label").agg(F.round(F.avg(h), 8).alias("kid"), F.count(F.lit(1)).alias("pairs"))
 
 
+def kernel_distance_whole(spark: SparkSession, root: str) -> DataFrame:
+    """Kernel distance of the two halves of each label with its standard error, 2 * sqrt(var(h1) / n) with h1 the mean of a place over the others.
+
+    The halves share no key, so vectors meet by place; those of the larger half without partner are counted as ``unpaired``.
+    """
+    order = Window.partitionBy("label", "half").orderBy("vec_id")
+    rows = table(spark, root, "embeddings").withColumn("half", F.pmod("vec_id", F.lit(2))).withColumn("at", F.row_number().over(order))
+    held = rows.groupBy("label").agg(F.count(F.when(F.col("half") == 0, 1)).alias("a"), F.count(F.when(F.col("half") == 1, 1)).alias("b"))
+    pairs = rows.where("half = 0").select("label", "at", F.col("embedding").alias("x")).join(rows.where("half = 1").select("label", "at", F.col("embedding").alias("y")), ["label", "at"])
+    other = pairs.select("label", F.col("at").alias("at2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    k = lambda a, b: F.pow(S.dot(a, b) / F.size(a) + 1, 3)
+    h = k("x", "x2") + k("y", "y2") - k("x", "y2") - k("x2", "y")
+    means = pairs.join(other, "label").where("at <> at2").groupBy("label", "at").agg(F.avg(h).alias("h1"))
+    kid = means.groupBy("label").agg(F.round(F.avg("h1"), 8).alias("kid"), F.round(2 * F.sqrt(F.var_samp("h1") / F.count(F.lit(1))), 8).alias("se"))
+    return held.join(kid, "label", "left").select("label", F.least("a", "b").alias("n"), "kid", "se", F.abs(F.col("a") - F.col("b")).alias("unpaired"))
+
+
 def frechet_by_label(spark: SparkSession, root: str) -> DataFrame:
     d = S.frechet(table(spark, root, "embeddings"), "label", "embedding")
     return d.select(F.col("group").alias("label"), "n", F.round("distance", 6).alias("distance"))
@@ -189,7 +206,7 @@ def stream_windows(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").select(F.unix_timestamp("window.start").alias("start"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (cluster_bootstrap, paired_delta, sign_test, holm_adjusted, kendall_tau, spearman, kernel_distance, frechet_by_label, daily_slope, crossing_points, best_of_n, policy_simulation, tie_band, preference_pairs, quarter_turns, bound_ids, expanded_inventory, canonical_order, aligned_masks, table_fingerprints, stream_ledger, stream_windows)}
+QUERIES = {f.__name__: f for f in (cluster_bootstrap, paired_delta, sign_test, holm_adjusted, kendall_tau, spearman, kernel_distance, kernel_distance_whole, frechet_by_label, daily_slope, crossing_points, best_of_n, policy_simulation, tie_band, preference_pairs, quarter_turns, bound_ids, expanded_inventory, canonical_order, aligned_masks, table_fingerprints, stream_ledger, stream_windows)}
 
 _W = "CAST(CAST(('0x' || substr(sha256(CAST(draw AS VARCHAR) || '|' || CAST(o_custkey AS VARCHAR)), 1, 16)) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0"
 _P = " + ".join(f"CASE WHEN u >= {p!r} THEN 1 ELSE 0 END" for p in S.POISSON)
