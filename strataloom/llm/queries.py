@@ -79,7 +79,12 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
     return truncation.rates(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p3_rates, p5_found, p5_counts, p6_containers, p6_items, p6_summary, p7_mix, p7_shares, p8_found, p8_rates)}
+def p8_evidence(spark: SparkSession, root: str) -> DataFrame:
+    """Which prefix level, or which other sign, told of the cut texts of each source."""
+    return truncation.evidence(table(spark, root, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p3_rates, p5_found, p5_counts, p6_containers, p6_items, p6_summary, p7_mix, p7_shares, p8_found, p8_rates, p8_evidence)}
 _READ = """CASE WHEN json_valid("row") THEN CASE WHEN json_type("row") = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string("row", '$')) THEN json_extract_string("row", '$') END ELSE "row" END END"""
 ORACLES = {
     "p2_found": f"""

@@ -1,24 +1,31 @@
-"""Texts that lost their end.
+"""Texts that lost their end, found by self-joins on prefixes.
 
-Two kinds of evidence are joined, both from prefixes and both over all texts.
+The end of a text is held against everything else that was written, at four levels. At each, the text's last unit is joined to all
+longer units that start with it:
 
-* Whole values: distinct texts are sorted by range; a text that is a strict prefix of a longer
-  copy is a prefix of its successor, so one pass over neighbours finds all of them. It is cut if
-  it stops inside a unit.
-* Endings: what follows the same last words elsewhere. The last word pair and the last line of a text,
-  digits folded, are looked up among all word pairs and lines of its source: ``ends`` counts distinct texts that end so, ``mid`` the places
-  where text goes on, ``low`` those where it goes on with a small letter or a digit, ``longer`` the occurrences of values of which it is a strict prefix.
-  A pair that is mostly the start of longer ones stops inside a word or number; one that mostly goes on stops inside
-  a sentence or entry; one that ends texts is an end.
+* ``value``: the whole text is a strict prefix of a longer text. Hashes of prefixes of 1, 2, 4, ... characters choose the
+  texts that can meet; only those are sorted, and a strict prefix is then a prefix of its successor.
+* ``entry``: the last entry (sentence, line, list or JSON member, markup piece) against all entries of its source.
+* ``word`` and ``pair``: the last word, and the last word after the word before it, against all words and pairs of its source. Pairs
+  are asked for only where the word alone is contested.
 
-JSON texts are judged by a delimiter stack, markup by its open elements. Something put behind a cut (dots, "(more)", a broken character)
-is set apart first; dots that belong to a known ending stay.
+Units have their digits folded. For each unit four numbers are known: ``ends`` (texts and lines that end with it, the asked text itself
+left out), ``mid`` (places where the line goes on behind it), ``low`` (where it goes on with a small letter or a digit) and ``longer`` (places
+of units of which it is a strict prefix). A text is cut where its unit goes on elsewhere more often than it ends; a text that
+closes with a full stop only where its unit is the start of longer ones or goes on with small letters (abbreviations). The longest level that has seen the unit
+decides (an entry must have been seen twice besides), a tie goes to the next shorter one, and a unit nobody else wrote is no evidence of a loss. A longer
+copy is no evidence where the last word or entry is a known ending.
 
-Scale: texts are read whole; counts combine inside each task before one shuffle by word pair; endings of repeated texts are judged once. Sorting by
-range moves each distinct text once. Nothing is collected.
+A second kind of evidence stands beside the prefixes and is labelled as such: ``open`` (JSON by a delimiter stack, markup by its open elements) and ``broken``
+(a broken character at the end). ``evidence`` names the level that decided. Something put behind a cut (dots, "(more)") is set apart first;
+dots stay where other texts end in the same entry with dots.
+
+Scale: texts are moved once, to fold repeats. Units are counted with partial sums, so a unit written everywhere is one row a task. A prefix join
+emits for a unit of n characters n/16 + 4 pieces, folded by sums before any of them meets an asked unit: the rows of a hot prefix are its different continuations of
+at most 16 characters, whatever its number of copies.
 
 Defined cases: NULL and blank texts are no cases; repeated texts share one verdict, each doc_id comes out;
-a NULL source is a source of its own; a doc_id that is NULL gives no row.
+a NULL source is a source of its own; a doc_id that is NULL gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,60 +34,29 @@ import json
 import re
 from collections import Counter
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strataloom.runtime import as_batch, cut, map_records, shuffle_width
+from strataloom.runtime import as_batch, cut, shuffle_width, spread
 
-_DIGITS = re.compile(r"\d+")
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*>")
-_SIGN = re.compile(r"[\u3000-\u30ff\u3400-\u9fff\uff00-\uffef]")
-_MARK = re.compile(r"(?:\s*(?:\[\s*(?:\.\.\.|…|truncated|cut|more|continued|snip)\s*\]|\(\s*(?:\.\.\.|…|truncated|cut|more|continued)\s*\)|<\s*(?:truncated|cut)\s*>|(?<=\s)(?:\.\.\.|…)|(?:read|show|see) more(?:\.\.\.|…)?))+\s*$", re.I)
-_BROKEN = re.compile(r"�+\s*$")
-_DOTS = re.compile(r"(?:\.\.\.+|…)\s*$")
-_STOP = re.compile(r"[.!?。！？][\"'”’»)\]]*$")
-#: Longest last line that is counted as a closing line.
-LINE = 80
-#: Entries a task counts before it hands them on.
-HELD = 200_000
-
-
-def fold(text):
-    return _DIGITS.sub("0", text)
-
-
-def words(text):
-    """Words with line starts as words of their own; tags and the signs of scripts without blanks stand apart."""
-    spaced = _SIGN.sub(r" \g<0> ", _TAG.sub(r" \g<0> ", text))
-    out = []
-    for line in spaced.split("\n"):
-        out.append("\n")
-        out.extend(line.split())
-    return out
-
-
-def pairs_of(text):
-    """(before, word, goes on in the line, next word) of a text, digits folded, line starts only as ``before``."""
-    row = [fold(w) if w != "\n" else w for w in words(text)]
-    for i, w in enumerate(row):
-        if w != "\n":
-            after = row[i + 1] if i + 1 < len(row) else "\n"
-            yield row[i - 1], w, after != "\n", after
-
-
-def trimmed(text):
-    """(body, mark): the text without blanks and without what was put behind a cut."""
-    body = text.rstrip()
-    if _BROKEN.search(body):
-        return _BROKEN.sub("", body).rstrip(), "broken"
-    if found := _MARK.search(body):
-        return body[: found.start()].rstrip(), "mark"
-    if _DOTS.search(body):
-        return body, "dots"
-    return body, ""
+#: What is put behind a cut, and dots that may be meant.
+MARK = r"(?i)(?:\s*(?:\[\s*(?:\.\.\.|…|truncated|cut|more|continued|snip)\s*\]|\(\s*(?:\.\.\.|…|truncated|cut|more|continued)\s*\)|<\s*(?:truncated|cut)\s*>|(?<=\s)(?:\.\.\.|…)|(?:read|show|see) more(?:\.\.\.|…)?))+\s*$"
+DOTS = r"(?:\.\.\.+|…)$"
+STOP = r"[.!?。！？][\"'”’»)\]]*$|>$"
+BLANKS = " \t\n\r\x0b\x0c 　"
+#: Characters at the end in which a mark is looked for.
+MARK_SPAN = 200
+#: Borders between entries of a line, and signs that are words of their own.
+BORDER = r"(?:(?<=[.!?])[\"')»”]?[^\S\n]+|(?<=[。！？>])(?![\x03\n]|$)|(?=<)|(?<=[,{}\[])(?=[\"{])|(?<=,)[^\S\n]*(?=\"))"
+SIGN = r"([　-ヿ㐀-鿿＀-￯])"
+#: Words after which any word may stand: they say nothing about the next one.
+OPENING = r"[.!?:。！？：，>-]$"
+#: Length of the pieces by which prefixes are joined.
+STEP = 16
 
 
 def open_json(body):
@@ -123,166 +99,182 @@ def open_markup(body):
     return any(v > 0 for v in depth.values())
 
 
-TEXTS = "source string, digest string, body string, mark string, shape string, before string, word string, line string, number string"
+def form(body):
+    """``open`` or ``whole`` where brackets or elements tell, otherwise ``text``."""
+    if body is None:
+        return "text"
+    json_open = open_json(body)
+    return ("open" if json_open else "whole") if json_open is not None else "open" if open_markup(body) else "text"
 
 
 def shaped(documents: DataFrame) -> DataFrame:
-    """One row for each distinct (source, text): its body, its form and its last units."""
-
-    def make():
-        def act(record):
-            source, digest, text = record
-            body, mark = trimmed(text)
-            if not body:
-                return [(source, digest, "", mark, "blank" if not mark else "open", None, None, None, None)]
-            json_open = open_json(body)
-            shape = ("open" if json_open else "whole") if json_open is not None else "open" if open_markup(body) else "text"
-            plain = _DOTS.sub("", body) if mark == "dots" else body
-            row = words(plain or body)
-            last = row[-1] if row[-1] != "\n" else ""
-            tail = body.rsplit("\n", 1)
-            line = tail[1] if len(tail) == 2 and len(tail[1]) <= LINE else None
-            return [(source, digest, body, mark, shape, fold(row[-2]) if len(row) > 1 and row[-2] != "\n" else "\n", fold(last), fold(line) if line is not None else None, line if line is not None and line[-1:].isdigit() else None)]
-
-        return act
-
-    one = documents.where("text is not null").select(F.coalesce("source", F.lit("")).alias("source"), F.sha2("text", 256).alias("digest"), "text").groupBy("source", "digest").agg(F.first("text").alias("text"))
-    return map_records(one.select("source", "digest", "text"), TEXTS, make, 512)
-
-
-COUNTS = T.StructType().add("source", T.StringType()).add("kind", T.StringType()).add("before", T.StringType()).add("word", T.StringType()).add("ends", T.LongType()).add("mid", T.LongType()).add("low", T.LongType())
-
-
-def counted(texts: DataFrame) -> DataFrame:
-    """Occurrences of word pairs (kind w), closing lines (l) and exact numbered closing lines (n) of each source."""
-    arrow = to_arrow_schema(COUNTS)
-
-    def run(batches):
-        held: dict = {}
-
-        def add(source, kind, before, word, at):
-            held.setdefault((source, kind, before, word), [0, 0, 0])[at] += 1
-
-        for batch in batches:
-            for source, body, mark, shape in zip(*(c.to_pylist() for c in batch.columns)):
-                if shape != "text":
-                    continue
-                sound = mark in ("", "dots")
-                row = list(pairs_of(_DOTS.sub("", body) if mark == "dots" else body))
-                for i, (before, word, inside, after) in enumerate(row):
-                    last = i + 1 == len(row)
-                    if last and not sound:
-                        continue
-                    # dotted endings are counted apart; the end of a line inside a text ends a unit too
-                    kinds = (("d", before),) if last and mark == "dots" else (("w", before), ("u", ""))
-                    for kind, b in kinds:
-                        add(source, kind, b, word, 1 if inside else 0)
-                        if inside and (after[:1].islower() or after[:1].isdigit()):
-                            add(source, kind, b, word, 2)
-                lines = body.split("\n")
-                for j, x in enumerate(lines):
-                    if 0 < j and x and (sound or j + 1 < len(lines)):
-                        last = j + 1 == len(lines)
-                        add(source, "l", "", fold(x)[:LINE], 0 if last else 1)
-                        if x[-1].isdigit():
-                            add(source, "n", "", x[:LINE], 0 if last else 1)
-                if len(held) > HELD:
-                    yield from flush(held)
-                    held.clear()
-        yield from flush(held)
-
-    def flush(held):
-        rows = [(*k, *n) for k, n in held.items()]
-        for i in range(0, len(rows), 8192):
-            yield as_batch(rows[i : i + 8192], arrow)
-
-    return texts.select("source", "body", "mark", "shape").mapInArrow(run, COUNTS).groupBy("source", "kind", "before", "word").agg(*(F.sum(c).alias(c) for c in ("ends", "mid", "low")))
-
-
-def endings(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """Evidence for each ending that occurs: its own counts and those of longer values that start with it."""
-    plain = texts.where("shape = 'text'")
-    asked = plain.select("source", F.lit("w").alias("kind"), "before", "word").union(plain.select("source", F.lit("d"), "before", "word")).union(plain.select("source", F.lit("u"), F.lit(""), "word")).union(plain.where("line is not null").select("source", F.lit("l"), F.lit(""), "line")).union(plain.where("number is not null").select("source", F.lit("n"), F.lit(""), "number")).distinct()
-    on = ["source", "kind", "before", "word"]
-    # every value that is counted gives its count to its strict prefixes; only prefixes that end a text are kept
-    opened = asked.select("source", "kind", "before").distinct()
-    starts = counts.where(F.length("word") > 1).join(opened, ["source", "kind", "before"], "left_semi").select("source", "kind", "before", F.explode(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(LINE)))).alias("n"), "word", "ends", "mid").select("source", "kind", "before", F.expr("substring(word, 1, n)").alias("word"), (F.col("ends") + F.col("mid")).alias("longer"), F.col("word").alias("of"))
-    if_asked = starts.join(asked, on, "left_semi").groupBy(*on).agg(F.sum("longer").alias("longer"))
-    own = counts.join(asked, on, "left_semi")
-    return asked.join(own, on, "left").join(if_asked, on, "left").select(*on, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("ends", "mid", "low", "longer")))
-
-
-def strict_prefixes(texts: DataFrame) -> DataFrame:
-    """(body, goes_on) of each body that is a strict prefix of another: what the next longer copy goes on with."""
-    schema = T.StructType().add("part", T.IntegerType()).add("body", T.StringType()).add("next", T.StringType()).add("edge", T.BooleanType())
+    """One row for each distinct (source, text): body, what stood behind it, form, the entries as one marked text, and the last entry and words.
+
+    In ``marked`` each entry ends with a sign that says what follows it (2 end of a line or text, 3 a small letter or digit, 4 something else in the line, 5 unknown
+    because the text was marked as cut) and sign 1 parts the entries.
+    """
+    one = spread(documents.where("text is not null").select(F.coalesce("source", F.lit("")).alias("source"), "text")).withColumn("digest", F.sha2("text", 256)).groupBy("source", "digest").agg(F.first("text").alias("text"))
+    text = one.withColumn("text", F.rtrim("text", F.lit(BLANKS))).withColumn("end", F.expr(f"right(text, {MARK_SPAN})"))
+    text = text.withColumn("mark", F.when(F.col("text").endswith("�"), "broken").when(F.col("end").rlike(MARK), "mark").when(F.col("end").rlike(DOTS), "dots").otherwise(""))
+    put = F.when(F.col("mark") == "mark", F.length(F.regexp_extract("end", MARK, 0))).otherwise(0)
+    body = F.when(F.col("mark") == "broken", F.rtrim("text", F.lit(BLANKS + "�"))).when(F.col("mark") == "mark", F.rtrim(F.substring(F.col("text"), F.lit(1), F.length("text") - put), F.lit(BLANKS))).otherwise(F.col("text"))
+    text = text.withColumn("body", body).drop("text", "end")
+    forms = F.pandas_udf(lambda s: pd.Series([form(b) for b in s]), "string")
+    text = text.withColumn("shape", F.when(F.col("body") == "", F.when(F.col("mark") == "", "blank").otherwise("open")).otherwise(forms(F.when(F.col("body").rlike(r"^[\[{]|<"), F.col("body")))))
+    plain = F.when(F.col("mark") == "dots", F.regexp_replace("body", DOTS, "")).otherwise(F.col("body"))
+    marked = F.regexp_replace(plain, r"\d+", "0")
+    for pattern, sign in ((BORDER + r"(?=[\p{Ll}\d])", "\x03\x01"), (BORDER, "\x04\x01"), (r"[^\S\n]*\n\s*", "\x02\x01")):
+        marked = F.regexp_replace(marked, pattern, sign)
+    text = text.withColumn("marked", marked)
+    entry = F.element_at(F.split("marked", "\x01"), -1)
+    words = F.filter(words_of(F.col("entry")), lambda w: w != "")
+    text = text.withColumn("entry", entry).withColumn("words", words)
+    text = text.withColumn("word", F.coalesce(F.try_element_at("words", F.lit(-1)), F.lit(""))).withColumn("before", F.coalesce(F.try_element_at("words", F.lit(-2)), F.lit("")))
+    ended = F.concat("marked", F.when(F.col("mark") == "", "\x02").otherwise("\x05"))
+    return text.select("source", "digest", "body", "mark", "shape", ended.alias("marked"), "entry", "word", "before", F.col("body").rlike(STOP).alias("stops"))
+
+
+def words_of(entry: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(entry, SIGN, " $1 ")), r"\s+")
+
+
+def counted_entries(texts: DataFrame) -> DataFrame:
+    """(source, unit, ends, mid, low) of every distinct entry."""
+    entries = texts.select("source", F.explode(F.split("marked", "\x01")).alias("e")).where("length(e) > 1").select("source", F.expr("substring(e, 1, length(e) - 1)").alias("unit"), F.expr("right(e, 1)").alias("then"))
+    count = lambda *signs: F.sum(F.col("then").isin(*signs).cast("long"))
+    return entries.where("then <> '\x05'").groupBy("source", "unit").agg(count("\x02").alias("ends"), count("\x03", "\x04").alias("mid"), count("\x03").alias("low"))
+
+
+def word_places(entries: DataFrame) -> DataFrame:
+    """(source, before, unit, ends, mid, low): the words of counted entries; inside an entry the next word tells how it goes on."""
+    n = F.col("ends") + F.col("mid")
+    split = entries.select("source", "ends", "mid", "low", n.alias("n"), F.filter(words_of(F.col("unit")), lambda w: w != "").alias("w")).where("size(w) > 0")
+    places = split.select("source", "ends", "mid", "low", "n", F.expr("inline(transform(w, (x, i) -> struct(coalesce(get(w, i - 1), '') as before, x as unit, get(w, i + 1) as next)))"))
+    inside = F.col("next").isNotNull()
+    return places.select(
+        "source", "before", "unit",
+        F.when(inside, 0).otherwise(F.col("ends")).alias("ends"),
+        F.when(inside, F.col("n")).otherwise(F.col("mid")).alias("mid"),
+        F.when(~inside, F.col("low")).when(F.col("next").rlike(r"^[\p{Ll}\d]"), F.col("n")).otherwise(0).alias("low"),
+    )
+
+
+def summed(places: DataFrame, *by: str) -> DataFrame:
+    return places.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("ends", "mid", "low")))
+
+
+def prefix_joined(asked: DataFrame, held: DataFrame, on: list[str]) -> DataFrame:
+    """``asked`` units with their own numbers and ``longer``: the places of all held units that start with them and are longer.
+
+    ``on`` are the columns that must agree besides the prefix. A piece length P is the greatest of 1, 2, 4, 8, 16, 32, 48, ... within the asked unit; hashes of
+    prefixes of P characters meet, the rest is compared exactly.
+    """
+    size = F.length("unit")
+    p = F.when(size >= STEP, size - size % STEP).when(size >= 8, 8).when(size >= 4, 4).when(size >= 2, 2).otherwise(1)
+    key = F.xxhash64(*on, "p", F.expr("substring(unit, 1, p)"))
+    asked = asked.where("unit <> ''").select(*on, "unit").distinct()
+    wanted = asked.withColumn("p", p).groupBy(key.alias("key")).agg(F.collect_set(size).alias("sizes"))
+    lengths = F.expr(f"filter(concat(array(1, 2, 4, 8), sequence({STEP}, greatest(length(unit), {STEP}), {STEP})), p -> p < length(unit))")
+    pieces = held.where("length(unit) > 1").select(*on, "unit", (F.col("ends") + F.col("mid")).alias("n"), F.explode(lengths).alias("p")).select(*on, "p", F.expr(f"substring(unit, 1, case when p >= {STEP} then p + {STEP} else 2 * p end)").alias("unit"), "n")
+    folded = pieces.groupBy(*on, "p", "unit").agg(F.sum("n").alias("n")).withColumn("key", key)
+    met = folded.join(wanted.hint("shuffle_hash"), "key").select(*on, "unit", "n", F.explode(F.expr("filter(sizes, s -> s < length(unit))")).alias("s"))
+    longer = met.select(*on, F.expr("substring(unit, 1, s)").alias("unit"), "n").groupBy(*on, "unit").agg(F.sum("n").alias("longer"))
+    own = held.select(*on, "unit", "ends", "mid", "low", F.lit(0).cast("long").alias("longer"), F.lit(False).alias("asks"))
+    none = F.lit(0).cast("long")
+    both = own.unionByName(longer.select(*on, "unit", none.alias("ends"), none.alias("mid"), none.alias("low"), "longer", F.lit(False).alias("asks"))).unionByName(asked.select(*on, "unit", none.alias("ends"), none.alias("mid"), none.alias("low"), none.alias("longer"), F.lit(True).alias("asks")))
+    return both.groupBy(*on, "unit").agg(*(F.sum(c).alias(c) for c in ("ends", "mid", "low", "longer")), F.max("asks").alias("asks")).where("asks").drop("asks")
+
+
+def strict_prefixes(bodies: DataFrame) -> DataFrame:
+    """(body, goes_on) of each body that is a strict prefix of another: what the next longer one goes on with."""
+    schema = T.StructType().add("part", T.IntegerType()).add("body", T.StringType()).add("next", T.StringType()).add("first", T.BooleanType())
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, before, first = TaskContext.get().partitionId(), None, True
+        part, before, opened = TaskContext.get().partitionId(), None, False
         for batch in batches:
             out = []
             for body in batch.column(0).to_pylist():
-                if before is not None and body.startswith(before):
+                if before is not None and body != before and body.startswith(before):
                     out.append((part, before, body[len(before) : len(before) + 8], False))
-                if first:
-                    out.append((part, body, None, True))  # what the last text of an earlier part must be held against
-                    first = False
+                if not opened:
+                    out.append((part, body, None, True))
+                    opened = True
                 before = body
             if out:
                 yield as_batch(out, arrow)
         if before is not None:
             yield as_batch([(part, before, None, False)], arrow)
 
-    bodies = cut(texts.where("body <> ''").select("body").distinct())
-    ordered = bodies.repartitionByRange(shuffle_width(bodies.sparkSession), "body").sortWithinPartitions("body")
+    ordered = bodies.select("body").repartitionByRange(shuffle_width(bodies.sparkSession), "body").sortWithinPartitions("body")
     seen = cut(ordered.mapInArrow(run, schema))
     inside = seen.where("next is not null").select("body", F.col("next").alias("goes_on"))
-    # one first and one last text a part: as few rows as parts
-    first = seen.where("edge").select((F.col("part") - 1).alias("part"), F.col("body").alias("then"))
-    last = seen.where("not edge and next is null").select("part", "body")
-    across = last.join(first, "part").where(F.expr("startswith(then, body) and then <> body")).select("body", F.expr("substring(then, length(body) + 1, 8)").alias("goes_on"))
+    # two rows a part: the last text of a part is held against the first of the next part that has any
+    edges = seen.where("next is null").withColumn("then", F.lead("body").over(Window.orderBy("part", F.col("first").desc())))
+    across = edges.where("not first and startswith(then, body) and then <> body").select("body", F.expr("substring(then, length(body) + 1, 8)").alias("goes_on"))
     return inside.union(across).groupBy("body").agg(F.min("goes_on").alias("goes_on"))
 
 
+def longer_copies(texts: DataFrame) -> DataFrame:
+    """(source, digest, goes_on) of texts without a full stop that are strict prefixes of longer texts of any source."""
+    sized = texts.where("body <> ''").select("source", "digest", "stops", F.length("body").alias("n"), "body").withColumn("top", F.floor(F.log2("n")).cast("int"))
+    hashes = F.expr("transform(sequence(0, top), i -> struct(cast(shiftleft(1, i) as int) as p, xxhash64(substring(body, 1, shiftleft(1, i))) as key))")
+    rows = cut(sized.select("source", "digest", "stops", "n", "top", F.inline(hashes)))
+    can = rows.groupBy("p", "key").agg(F.max("n").alias("most"), F.min(F.when(~F.col("stops") & (F.expr("shiftleft(1, top)") == F.col("p")), F.col("n"))).alias("least")).where("least < most")
+    asked = rows.where(~F.col("stops") & (F.expr("shiftleft(1, top)") == F.col("p")))
+    near = rows.join(can, ["p", "key"])
+    taking = near.where("n > least").select("source", "digest", (F.col("p") * 2).alias("take"), F.lit(False).alias("asks"))
+    asking = asked.join(can, ["p", "key"]).where("n < most").select("source", "digest", F.col("n").alias("take"), F.lit(True).alias("asks"))
+    held = cut(taking.union(asking).join(texts.select("source", "digest", "body"), ["source", "digest"]).select("source", "digest", "asks", F.expr("substring(body, 1, take)").alias("body")))
+    copies = strict_prefixes(held.select("body").distinct())
+    return held.where("asks").join(copies, "body").select("source", "digest", "goes_on")
+
+
 def verdicts(documents: DataFrame) -> DataFrame:
-    """(source, digest, cut) of every distinct text."""
+    """(source, digest, cut, evidence, mark, shape, goes_on) of every distinct text."""
     texts = cut(shaped(documents))
-    counts = cut(counted(texts))
-    known = endings(texts, counts)
-    pick = lambda kind, *names: known.where(F.col("kind") == kind).select("source", *names, *(F.col(c).alias(f"{kind}_{c}") for c in ("ends", "mid", "low", "longer")))
-    pair, dotted, single = pick("w", "before", "word"), pick("d", "before", "word"), pick("u", "word")
-    line, number = pick("l", F.col("word").alias("line")), pick("n", F.col("word").alias("number"))
-    longer = strict_prefixes(texts.where("shape = 'text'"))
-    # bodies can be long: the copy evidence is joined by digest of the body
-    held = texts.withColumn("key", F.sha2("body", 256)).drop("body").withColumn("stop", F.lit(None).cast("boolean"))
-    stops = texts.select("source", "digest", F.expr(r"regexp_like(substring(body, -4), '[.!?。！？][\"\'”’»)\\]]*$') or regexp_like(body, '>$')").alias("stops"), F.expr(r"regexp_like(body, '[\\x{3400}-\\x{9fff}]$')").alias("han"))
-    joined = held.drop("stop").join(stops, ["source", "digest"]).join(pair, ["source", "before", "word"], "left").join(dotted, ["source", "before", "word"], "left").join(single, ["source", "word"], "left").join(line, ["source", "line"], "left").join(number, ["source", "number"], "left").join(longer.select(F.sha2("body", 256).alias("key"), "goes_on"), "key", "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    # inside a number or word: what it starts is seen more often than it itself
-    partial = n("w_longer") > n("w_ends") + n("w_mid")
-    goes_on_low = (n("w_mid") >= 2) & (n("w_low") > 0.5 * n("w_mid"))
-    closing_line = F.col("line").isNotNull() & (n("l_ends") >= 2) & (n("l_ends") >= n("l_longer")) & (n("l_ends") >= n("l_mid")) & (n("n_longer") <= n("n_ends")) & (~partial | (n("l_ends") >= 5))
-    short_line = F.col("line").isNotNull() & ((n("l_longer") > n("l_ends")) | (n("n_longer") > n("n_ends")))
-    # a word that opens a sentence or line has no pair to speak for it
-    opens = F.expr(r"before = '\n' or regexp_like(before, '[.!?:。！？：，>-]$')")
-    by_word = ~partial & (n("u_ends") >= 3) & (n("u_ends") >= 4 * n("u_mid")) & (n("u_ends") >= n("u_longer"))
-    ending = by_word | (~opens & (n("w_ends") >= 2) & (n("w_ends") >= n("w_mid")) & (n("w_ends") >= n("w_longer")))
-    on_purpose = (n("d_ends") >= 2) & (n("d_ends") > n("w_mid") + n("w_longer"))
-    copied_on = F.col("goes_on").isNotNull() & ~F.col("stops")
-    is_cut = (
-        F.when(F.col("mark") == "broken", True)
-        .when(F.col("shape") == "open", True)
-        .when(F.col("shape").isin("whole", "blank"), False)
-        .when(F.col("mark") == "dots", ~on_purpose)
-        .when(copied_on & ~closing_line & ~by_word, True)
-        .when(F.col("stops"), partial | goes_on_low)
-        .when(closing_line, False)
-        .when(short_line, True)
-        .otherwise(~ending)
-    )
-    return joined.select("source", "digest", is_cut.alias("cut"), "goes_on", "mark", "shape")
+    entries = cut(counted_entries(texts))
+    ends = texts.where("shape <> 'blank'").select("source", "digest", "mark", "shape", "entry", "word", "before", "stops")
+    dotted = texts.where("mark = 'dots'").groupBy("source", "entry").agg(F.count(F.lit(1)).alias("dotted"))
+    by_entry = prefix_joined(ends.select("source", F.col("entry").alias("unit")), entries, ["source"])
+    by_word = prefix_joined(ends.select("source", F.col("word").alias("unit")), summed(word_places(entries), "source", "unit"), ["source"])
+    named = lambda df, unit, to: df.select("source", F.col("unit").alias(unit), F.struct("ends", "mid", "low", "longer").alias(to))
+    one = ends.join(named(by_entry, "entry", "e"), ["source", "entry"], "left").join(named(by_word, "word", "w"), ["source", "word"], "left").join(dotted, ["source", "entry"], "left")
+    one = cut(one.withColumn("by_entry", says("e", 2)).withColumn("by_word", says("w")))
+    # the pair is asked where the entry says nothing and the word is contested
+    contested = F.col("by_entry").isNull() & ~F.col("before").rlike(OPENING) & (F.col("before") != "") & (F.col("word") != "")
+    open_pairs = one.where(contested).select("source", "before", F.col("word").alias("unit")).distinct()
+    wanted = open_pairs.select("source", "before").distinct()
+    places = word_places(entries).join(wanted, ["source", "before"], "left_semi")
+    by_pair = prefix_joined(open_pairs, summed(places, "source", "before", "unit"), ["source", "before"])
+    pairs = by_pair.select("source", "before", F.col("unit").alias("word"), F.struct("ends", "mid", "low", "longer").alias("p"), F.lit(True).alias("paired"))
+    two = one.withColumn("contested", contested).join(pairs, ["source", "before", "word"], "left").withColumn("by_pair", F.when(F.col("contested"), says("p")))
+    two = two.join(longer_copies(texts), ["source", "digest"], "left")
+    e_ends = F.coalesce(F.col("e.ends"), F.lit(0)) - F.when(F.col("mark") == "", 1).otherwise(0)
+    value = F.col("goes_on").isNotNull() & ~F.col("goes_on").startswith("\n") & ~F.col("stops") & (e_ends <= 0) & F.coalesce(F.col("by_word"), F.lit(True))
+    on_purpose = (F.col("mark") == "dots") & (F.col("dotted") > 1) & (F.col("dotted") - 1 > F.coalesce(F.col("e.mid"), F.lit(0)) + F.coalesce(F.col("e.longer"), F.lit(0)))
+    level = F.when(value, "value").when(F.col("by_entry").isNotNull(), "entry").when(F.col("by_pair").isNotNull(), "pair").when(F.col("by_word").isNotNull(), "word")
+    prefix = F.coalesce(F.when(value, True), F.col("by_entry"), F.col("by_pair"), F.col("by_word"), F.lit(False))
+    is_cut = F.when((F.col("mark") == "broken") | (F.col("shape") == "open"), True).when((F.col("shape") == "whole") | on_purpose, False).otherwise(prefix)
+    evidence = F.when(~is_cut, None).when(prefix, level).when(F.col("shape") == "open", "open").when(F.col("mark") == "broken", "broken")
+    return two.select("source", "digest", is_cut.alias("cut"), evidence.alias("evidence"), "mark", "shape", "goes_on")
+
+
+def says(numbers: str, least: int = 1) -> Column:
+    """True (cut), False (whole) or NULL (a tie, or seen less than ``least`` times) of one level; the text's own ending doesn't count."""
+    of = lambda c: F.coalesce(F.col(f"{numbers}.{c}"), F.lit(0))
+    ends = F.greatest(of("ends") - F.when(F.col("mark") == "", 1).otherwise(0), F.lit(0))
+    on = of("mid") + of("longer")
+    closed = F.when((of("longer") > ends + of("mid")) | ((of("mid") >= 2) & (of("low") > 0.5 * of("mid"))), True).when(ends + of("mid") > 0, False)
+    return F.when(on + ends < least, None).when(F.col("stops"), closed).when(on > ends, True).when(on < ends, False)
+
+
+def judged(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, cut, evidence, ...) of every document with a text."""
+    ids = documents.where("doc_id is not null and text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.sha2("text", 256).alias("digest"))
+    return ids.join(verdicts(documents), ["source", "digest"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
 
 
 def found(documents: DataFrame) -> DataFrame:
@@ -290,12 +282,11 @@ def found(documents: DataFrame) -> DataFrame:
     return judged(documents).where("cut").select("doc_id").distinct()
 
 
-def judged(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, cut) of every document with a text."""
-    ids = documents.where("doc_id is not null and text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.sha2("text", 256).alias("digest"))
-    return ids.join(verdicts(documents), ["source", "digest"]).select("doc_id", "source", "cut", "mark", "shape", "goes_on")
-
-
 def rates(documents: DataFrame) -> DataFrame:
     """Texts and cut texts of each source."""
     return judged(documents).groupBy("source").agg(F.count_distinct("doc_id").alias("texts"), F.count_distinct(F.when(F.col("cut"), F.col("doc_id"))).alias("cut_texts")).withColumn("rate", F.round(F.col("cut_texts") / F.col("texts"), 6))
+
+
+def evidence(documents: DataFrame) -> DataFrame:
+    """Cut texts of each source by the level or form that told."""
+    return judged(documents).where("cut").groupBy("source", "evidence").agg(F.count_distinct("doc_id").alias("cut_texts"))

@@ -1,5 +1,6 @@
 """Texts that lost their end."""
 
+import hashlib
 import random
 
 from strataloom.llm import truncation as tr
@@ -7,11 +8,31 @@ from strataloom.llm import truncation as tr
 SENTENCES = ["The desk stands along the north wall and leaves 0.75 m in front of it.", "We kept the lamp where the scan found it.", "Light comes from the west only, which is fine.", "The sofa sits approx. 1.2 m off the wall.", "Nobody had asked for a second chair."]
 
 
-def test_marks():
-    assert tr.trimmed("The des (more)") == ("The des", "mark") and tr.trimmed("The des [...]  ")[0] == "The des" and tr.trimmed("abc ...")[0] == "abc"
-    assert tr.trimmed("it is so…") == ("it is so…", "dots") and tr.trimmed("wh�") == ("wh", "broken")
+def test_forms():
     assert tr.open_json('{"a":[1,2') and tr.open_json('{"a":1}') is False and tr.open_json("plain") is None
     assert tr.open_markup("<p>x</p>") is False and tr.open_markup("<p>x") and tr.open_markup("<p>x</p>a &nb")
+    assert tr.form(None) == "text" and tr.form('{"a":1}') == "whole"
+
+
+def test_what_stands_behind(spark):
+    texts = ["The des (more)", "The des [...]  ", "abc ...", "it is so…", "wh\ufffd", "  ", "one 12 two. Three", "第一句。第二"]
+    rows = {r.digest: r for r in tr.shaped(spark.createDataFrame([(t, None) for t in texts], "text string, source string")).collect()}
+    by = {t: rows[hashlib.sha256(t.encode()).hexdigest()] for t in texts}
+    assert [(by[t].body, by[t].mark) for t in texts[:5]] == [("The des", "mark"), ("The des", "mark"), ("abc", "mark"), ("it is so…", "dots"), ("wh", "broken")]
+    assert by["  "].shape == "blank" and by["it is so…"].entry == "it is so"
+    last = by["one 12 two. Three"]
+    assert (last.entry, last.word, last.before, last.marked) == ("Three", "Three", "", "one 0 two.\x04\x01Three\x02")
+    assert (by["第一句。第二"].entry, by["第一句。第二"].word, by["第一句。第二"].before) == ("第二", "二", "第")
+
+
+def test_prefix_join_equals_brute_force(spark):
+    pick = random.Random(7)
+    held = list({("g" + str(i % 2), "".join(pick.choice("ab") for _ in range(pick.randrange(1, 40)))) for i in range(400)})
+    asked = list({(g, u[: pick.randrange(1, len(u) + 1)]) for g, u in held[:150]}) + [("g1", "zz"), ("g1", "")]
+    numbers = {k: (pick.randrange(3), pick.randrange(3), 0) for k in held}
+    got = tr.prefix_joined(spark.createDataFrame(asked, "g string, unit string"), spark.createDataFrame([(*k, *v) for k, v in numbers.items()], "g string, unit string, ends long, mid long, low long"), ["g"]).collect()
+    want = {(g, u): (*numbers.get((g, u), (0, 0, 0)), sum(sum(n[:2]) for (h, w), n in numbers.items() if h == g and w != u and w.startswith(u))) for g, u in set(asked) if u}
+    assert {(r.g, r.unit): (r.ends, r.mid, r.low, r.longer) for r in got} == want
 
 
 def corpus():
@@ -54,6 +75,16 @@ def test_found(spark):
 
 
 def test_strict_prefixes(spark):
-    texts = spark.createDataFrame([("alpha beta",), ("alpha beta gamma",), ("alpha",), ("beta",), ("alpha",)], "body string")
-    got = {r.body: r.goes_on for r in tr.strict_prefixes(texts).collect()}
-    assert set(got) == {"alpha", "alpha beta"} and got["alpha beta"] == " gamma"
+    pick = random.Random(3)
+    texts = sorted({"".join(pick.choice("abc") for _ in range(pick.randrange(1, 7))) for _ in range(300)})
+    want = {t for t in texts if any(u != t and u.startswith(t) for u in texts)}
+    got = {r.body for r in tr.strict_prefixes(spark.createDataFrame([(t,) for t in texts], "body string")).collect()}
+    assert got == want
+
+
+def test_longer_copies(spark):
+    pick = random.Random(5)
+    bodies = ["".join(pick.choice("ab ") for _ in range(pick.randrange(1, 9))) for _ in range(80)] + ["x" * n for n in (63, 64, 65, 5000)] + ["Stop.", "Stop. On"]
+    texts = [(f"s{i % 3}", str(i), b, b.endswith(".")) for i, b in enumerate(bodies)]
+    got = {r.digest for r in tr.longer_copies(spark.createDataFrame(texts, "source string, digest string, body string, stops boolean")).collect()}
+    assert got == {d for _, d, b, s in texts if not s and any(o != b and o.startswith(b) for o in bodies)}
