@@ -21,8 +21,8 @@ A second kind of evidence stands beside the prefixes and is labelled as such: ``
 dots stay where other texts end in the same entry with dots.
 
 Scale: texts are moved once, to fold repeats. Units are counted with partial sums, so a unit written everywhere is one row a task. A prefix join
-emits for a unit of n characters n/16 + 4 pieces, folded by sums before any of them meets an asked unit: the rows of a hot prefix are its different continuations of
-at most 16 characters, whatever its number of copies.
+emits for a unit of n characters n/32 + 3 pieces, folded by sums before any of them meets an asked unit: the rows of a hot prefix are its different continuations of
+at most 32 characters, whatever its number of copies.
 
 Defined cases: NULL and blank texts are no cases; repeated texts share one verdict, each doc_id comes out;
 a NULL source is a source of its own; a doc_id that is NULL gives no row; other columns are ignored.
@@ -50,13 +50,13 @@ STOP = r"[.!?。！？][\"'”’»)\]]*$|>$"
 BLANKS = " \t\n\r\x0b\x0c 　"
 #: Characters at the end in which a mark is looked for.
 MARK_SPAN = 200
-#: Borders between entries of a line, and signs that are words of their own.
-BORDER = r"(?:(?<=[.!?])[\"')»”]?[^\S\n]+|(?<=[。！？>])(?![\x03\n]|$)|(?=<)|(?<=[,{}\[])(?=[\"{])|(?<=,)[^\S\n]*(?=\"))"
+#: Last signs of an entry with what parts it from the next one; a tag opens an entry of its own.
+BORDER = r"([.!?,。！？>{}\[])(?:(?<=[.!?])[\"')»”]?[^\S\n]+|(?<=[。！？>])(?!\n|$)|(?<=[,{}\[])(?=[\"{])|(?<=,)[^\S\n]+(?=\"))"
 SIGN = r"([　-ヿ㐀-鿿＀-￯])"
 #: Words after which any word may stand: they say nothing about the next one.
 OPENING = r"[.!?:。！？：，>-]$"
-#: Length of the pieces by which prefixes are joined.
-STEP = 16
+#: Prefixes are joined by pieces of 1, 4, 16, 32, 64, 96, ... characters.
+STEP = 32
 
 
 def open_json(body):
@@ -110,28 +110,25 @@ def form(body):
 def shaped(documents: DataFrame) -> DataFrame:
     """One row for each distinct (source, text): body, what stood behind it, form, the entries as one marked text, and the last entry and words.
 
-    In ``marked`` each entry ends with a sign that says what follows it (2 end of a line or text, 3 a small letter or digit, 4 something else in the line, 5 unknown
-    because the text was marked as cut) and sign 1 parts the entries.
+    In ``marked`` sign 1 parts the entries; sign 2 before it tells that a line ends there, and sign 5 at the end that the text was marked as cut.
     """
     one = spread(documents.where("text is not null").select(F.coalesce("source", F.lit("")).alias("source"), "text")).withColumn("digest", F.sha2("text", 256)).groupBy("source", "digest").agg(F.first("text").alias("text"))
     text = one.withColumn("text", F.rtrim("text", F.lit(BLANKS))).withColumn("end", F.expr(f"right(text, {MARK_SPAN})"))
-    text = text.withColumn("mark", F.when(F.col("text").endswith("�"), "broken").when(F.col("end").rlike(MARK), "mark").when(F.col("end").rlike(DOTS), "dots").otherwise(""))
-    put = F.when(F.col("mark") == "mark", F.length(F.regexp_extract("end", MARK, 0))).otherwise(0)
-    body = F.when(F.col("mark") == "broken", F.rtrim("text", F.lit(BLANKS + "�"))).when(F.col("mark") == "mark", F.rtrim(F.substring(F.col("text"), F.lit(1), F.length("text") - put), F.lit(BLANKS))).otherwise(F.col("text"))
-    text = text.withColumn("body", body).drop("text", "end")
+    text = text.withColumn("put", F.when(F.expr("right(text, 1)").rlike(r"[\])>.…eE]"), F.length(F.regexp_extract("end", MARK, 0))).otherwise(0))
+    text = text.withColumn("mark", F.when(F.col("text").endswith("�"), "broken").when(F.col("put") > 0, "mark").when(F.col("text").endswith("…") | F.col("text").endswith("..."), "dots").otherwise(""))
+    body = F.when(F.col("mark") == "broken", F.rtrim("text", F.lit(BLANKS + "�"))).when(F.col("mark") == "mark", F.rtrim(F.expr("left(text, length(text) - put)"), F.lit(BLANKS))).otherwise(F.col("text"))
+    text = text.select("source", "digest", "mark", body.alias("body"))
     forms = F.pandas_udf(lambda s: pd.Series([form(b) for b in s]), "string")
-    text = text.withColumn("shape", F.when(F.col("body") == "", F.when(F.col("mark") == "", "blank").otherwise("open")).otherwise(forms(F.when(F.col("body").rlike(r"^[\[{]|<"), F.col("body")))))
+    brackets = F.col("body").startswith("{") | F.col("body").startswith("[") | F.col("body").contains("<")
+    text = text.withColumn("shape", F.when(F.col("body") == "", F.when(F.col("mark") == "", "blank").otherwise("open")).otherwise(forms(F.when(brackets, F.col("body")))))
     plain = F.when(F.col("mark") == "dots", F.regexp_replace("body", DOTS, "")).otherwise(F.col("body"))
-    marked = F.regexp_replace(plain, r"\d+", "0")
-    for pattern, sign in ((BORDER + r"(?=[\p{Ll}\d])", "\x03\x01"), (BORDER, "\x04\x01"), (r"[^\S\n]*\n\s*", "\x02\x01")):
-        marked = F.regexp_replace(marked, pattern, sign)
-    text = text.withColumn("marked", marked)
-    entry = F.element_at(F.split("marked", "\x01"), -1)
-    words = F.filter(words_of(F.col("entry")), lambda w: w != "")
-    text = text.withColumn("entry", entry).withColumn("words", words)
-    text = text.withColumn("word", F.coalesce(F.try_element_at("words", F.lit(-1)), F.lit(""))).withColumn("before", F.coalesce(F.try_element_at("words", F.lit(-2)), F.lit("")))
+    marked = F.replace(F.regexp_replace(plain, "[0-9]+", "0"), F.lit("<"), F.lit("\x01<"))
+    text = text.withColumn("marked", F.replace(F.regexp_replace(marked, BORDER, "$1\x01"), F.lit("\n"), F.lit("\x02\x01")))
+    text = text.withColumn("entry", F.ltrim(F.element_at(F.split("marked", "\x01"), -1)))
+    text = text.withColumn("words", F.filter(words_of(F.col("entry")), lambda w: w != ""))
+    last = lambda i: F.coalesce(F.try_element_at("words", F.lit(i)), F.lit(""))
     ended = F.concat("marked", F.when(F.col("mark") == "", "\x02").otherwise("\x05"))
-    return text.select("source", "digest", "body", "mark", "shape", ended.alias("marked"), "entry", "word", "before", F.col("body").rlike(STOP).alias("stops"))
+    return text.select("source", "digest", "body", "mark", "shape", ended.alias("marked"), "entry", last(-1).alias("word"), last(-2).alias("before"), F.expr("right(body, 16)").rlike(STOP).alias("stops"))
 
 
 def words_of(entry: Column) -> Column:
@@ -140,9 +137,12 @@ def words_of(entry: Column) -> Column:
 
 def counted_entries(texts: DataFrame) -> DataFrame:
     """(source, unit, ends, mid, low) of every distinct entry."""
-    entries = texts.select("source", F.explode(F.split("marked", "\x01")).alias("e")).where("length(e) > 1").select("source", F.expr("substring(e, 1, length(e) - 1)").alias("unit"), F.expr("right(e, 1)").alias("then"))
-    count = lambda *signs: F.sum(F.col("then").isin(*signs).cast("long"))
-    return entries.where("then <> '\x05'").groupBy("source", "unit").agg(count("\x02").alias("ends"), count("\x03", "\x04").alias("mid"), count("\x03").alias("low"))
+    next_sign = "left(ltrim(get(a, i + 1)), 1)"
+    entries = texts.select("source", F.split("marked", "\x01").alias("a")).select("source", F.expr(f"inline(transform(a, (e, i) -> struct(ltrim(e) as e, {next_sign} as then)))"))
+    ended = F.col("e").endswith("\x02")
+    kept = entries.where(~F.col("e").endswith("\x05")).select("source", F.rtrim(F.col("e"), F.lit(" \t\r\x02")).alias("unit"), ended.alias("ended"), (~ended & F.col("then").rlike(r"[\p{Ll}0-9]")).alias("low"))
+    count = lambda c: F.sum(c.cast("long"))
+    return kept.where("unit <> ''").groupBy("source", "unit").agg(count(F.col("ended")).alias("ends"), count(~F.col("ended")).alias("mid"), count(F.col("low")).alias("low"))
 
 
 def word_places(entries: DataFrame) -> DataFrame:
@@ -166,16 +166,19 @@ def summed(places: DataFrame, *by: str) -> DataFrame:
 def prefix_joined(asked: DataFrame, held: DataFrame, on: list[str]) -> DataFrame:
     """``asked`` units with their own numbers and ``longer``: the places of all held units that start with them and are longer.
 
-    ``on`` are the columns that must agree besides the prefix. A piece length P is the greatest of 1, 2, 4, 8, 16, 32, 48, ... within the asked unit; hashes of
+    ``on`` are the columns that must agree besides the prefix. A piece length P is the greatest of 1, 4, 16, 32, 64, ... within the asked unit; hashes of
     prefixes of P characters meet, the rest is compared exactly.
     """
     size = F.length("unit")
-    p = F.when(size >= STEP, size - size % STEP).when(size >= 8, 8).when(size >= 4, 4).when(size >= 2, 2).otherwise(1)
+    p = F.when(size >= STEP, size - size % STEP).when(size >= 16, 16).when(size >= 4, 4).otherwise(1)
     key = F.xxhash64(*on, "p", F.expr("substring(unit, 1, p)"))
     asked = asked.where("unit <> ''").select(*on, "unit").distinct()
     wanted = asked.withColumn("p", p).groupBy(key.alias("key")).agg(F.collect_set(size).alias("sizes"))
-    lengths = F.expr(f"filter(concat(array(1, 2, 4, 8), sequence({STEP}, greatest(length(unit), {STEP}), {STEP})), p -> p < length(unit))")
-    pieces = held.where("length(unit) > 1").select(*on, "unit", (F.col("ends") + F.col("mid")).alias("n"), F.explode(lengths).alias("p")).select(*on, "p", F.expr(f"substring(unit, 1, case when p >= {STEP} then p + {STEP} else 2 * p end)").alias("unit"), "n")
+    # level i stands for pieces of 1, 4, 16, 32, 64, ... characters that are shorter than the unit
+    top = F.when(size > 16, 2 + (size - 1 - (size - 1) % STEP) / STEP).when(size > 4, 1).otherwise(0).cast("int")
+    levels = held.where("length(unit) > 1").select(*on, "unit", (F.col("ends") + F.col("mid")).alias("n"), F.explode(F.sequence(F.lit(0), top)).alias("i"))
+    at = lambda i: F.when(i == 0, 1).when(i == 1, 4).when(i == 2, 16).otherwise((i - 2) * STEP)
+    pieces = levels.select(*on, at(F.col("i")).alias("p"), F.substring(F.col("unit"), F.lit(1), at(F.col("i") + 1)).alias("unit"), "n")
     folded = pieces.groupBy(*on, "p", "unit").agg(F.sum("n").alias("n")).withColumn("key", key)
     met = folded.join(wanted.hint("shuffle_hash"), "key").select(*on, "unit", "n", F.explode(F.expr("filter(sizes, s -> s < length(unit))")).alias("s"))
     longer = met.select(*on, F.expr("substring(unit, 1, s)").alias("unit"), "n").groupBy(*on, "unit").agg(F.sum("n").alias("longer"))
@@ -239,16 +242,16 @@ def verdicts(documents: DataFrame) -> DataFrame:
     ends = texts.where("shape <> 'blank'").select("source", "digest", "mark", "shape", "entry", "word", "before", "stops")
     dotted = texts.where("mark = 'dots'").groupBy("source", "entry").agg(F.count(F.lit(1)).alias("dotted"))
     by_entry = prefix_joined(ends.select("source", F.col("entry").alias("unit")), entries, ["source"])
-    by_word = prefix_joined(ends.select("source", F.col("word").alias("unit")), summed(word_places(entries), "source", "unit"), ["source"])
+    places = cut(summed(word_places(entries), "source", "before", "unit"))
+    by_word = prefix_joined(ends.select("source", F.col("word").alias("unit")), summed(places, "source", "unit"), ["source"])
     named = lambda df, unit, to: df.select("source", F.col("unit").alias(unit), F.struct("ends", "mid", "low", "longer").alias(to))
     one = ends.join(named(by_entry, "entry", "e"), ["source", "entry"], "left").join(named(by_word, "word", "w"), ["source", "word"], "left").join(dotted, ["source", "entry"], "left")
     one = cut(one.withColumn("by_entry", says("e", 2)).withColumn("by_word", says("w")))
-    # the pair is asked where the entry says nothing and the word is contested
-    contested = F.col("by_entry").isNull() & ~F.col("before").rlike(OPENING) & (F.col("before") != "") & (F.col("word") != "")
+    # the pair is asked where the entry says nothing and the word is contested: more than one in twenty places speaks against the others
+    contested = F.col("by_entry").isNull() & ~F.col("before").rlike(OPENING) & (F.col("before") != "") & (F.col("word") != "") & disputed("w")
     open_pairs = one.where(contested).select("source", "before", F.col("word").alias("unit")).distinct()
-    wanted = open_pairs.select("source", "before").distinct()
-    places = word_places(entries).join(wanted, ["source", "before"], "left_semi")
-    by_pair = prefix_joined(open_pairs, summed(places, "source", "before", "unit"), ["source", "before"])
+    near = places.join(open_pairs.select("source", "before").distinct(), ["source", "before"], "left_semi")
+    by_pair = prefix_joined(open_pairs, near, ["source", "before"])
     pairs = by_pair.select("source", "before", F.col("unit").alias("word"), F.struct("ends", "mid", "low", "longer").alias("p"), F.lit(True).alias("paired"))
     two = one.withColumn("contested", contested).join(pairs, ["source", "before", "word"], "left").withColumn("by_pair", F.when(F.col("contested"), says("p")))
     two = two.join(longer_copies(texts), ["source", "digest"], "left")
@@ -271,6 +274,14 @@ def says(numbers: str, least: int = 1) -> Column:
     return F.when(on + ends < least, None).when(F.col("stops"), closed).when(on > ends, True).when(on < ends, False)
 
 
+def disputed(numbers: str) -> Column:
+    """Whether more than one in twenty of the places of a unit speaks against the verdict of the others."""
+    of = lambda c: F.coalesce(F.col(f"{numbers}.{c}"), F.lit(0))
+    on, every = of("mid") + of("longer"), of("ends") + of("mid") + of("longer")
+    closed = 20 * (of("longer") + of("low")) > every
+    return F.when(F.col("stops"), closed).otherwise(20 * F.least(on, of("ends")) > every)
+
+
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, cut, evidence, ...) of every document with a text."""
     ids = documents.where("doc_id is not null and text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.sha2("text", 256).alias("digest"))

@@ -21,7 +21,7 @@ def test_what_stands_behind(spark):
     assert [(by[t].body, by[t].mark) for t in texts[:5]] == [("The des", "mark"), ("The des", "mark"), ("abc", "mark"), ("it is so…", "dots"), ("wh", "broken")]
     assert by["  "].shape == "blank" and by["it is so…"].entry == "it is so"
     last = by["one 12 two. Three"]
-    assert (last.entry, last.word, last.before, last.marked) == ("Three", "Three", "", "one 0 two.\x04\x01Three\x02")
+    assert (last.entry, last.word, last.before, last.marked) == ("Three", "Three", "", "one 0 two.\x01Three\x02")
     assert (by["第一句。第二"].entry, by["第一句。第二"].word, by["第一句。第二"].before) == ("第二", "二", "第")
 
 
