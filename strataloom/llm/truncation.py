@@ -18,7 +18,7 @@ copy is no evidence where the last word or entry is a known ending.
 
 A second kind of evidence stands beside the prefixes and is labelled as such: ``open`` (JSON by a delimiter stack, markup by its open elements) and ``broken``
 (a broken character at the end). ``evidence`` names the level that decided. Something put behind a cut (dots, "(more)") is set apart first;
-dots stay where other texts end in the same entry with dots.
+dots stay where other texts end in the same entry with dots, unless it ends inside a number.
 
 Scale: texts are moved once, to fold repeats. Units are counted with partial sums, so a unit written everywhere is one row a task. A prefix join
 emits for a unit of n characters n/32 + 3 pieces, folded by sums before any of them meets an asked unit: the rows of a hot prefix are its different continuations of
@@ -125,7 +125,7 @@ def shaped(documents: DataFrame) -> DataFrame:
     marked = F.replace(F.regexp_replace(plain, "[0-9]+", "0"), F.lit("<"), F.lit("\x01<"))
     text = text.withColumn("marked", F.replace(F.regexp_replace(marked, BORDER, "$1\x01"), F.lit("\n"), F.lit("\x02\x01")))
     text = text.withColumn("entry", F.ltrim(F.element_at(F.split("marked", "\x01"), -1)))
-    text = text.withColumn("words", F.filter(words_of(F.col("entry")), lambda w: w != ""))
+    text = text.withColumn("words", words_of(F.col("entry")))
     last = lambda i: F.coalesce(F.try_element_at("words", F.lit(i)), F.lit(""))
     ended = F.concat("marked", F.when(F.col("mark") == "", "\x02").otherwise("\x05"))
     return text.select("source", "digest", "body", "mark", "shape", ended.alias("marked"), "entry", last(-1).alias("word"), last(-2).alias("before"), F.expr("right(body, 16)").rlike(STOP).alias("stops"))
@@ -135,12 +135,18 @@ def words_of(entry: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(entry, SIGN, " $1 ")), r"\s+")
 
 
+def small(name: str) -> Column:
+    """Whether a text begins with a small letter or a digit."""
+    c = F.expr(f"left({name}, 1)")
+    return c.between("a", "z") | c.between("0", "9") | ((c > "\x7f") & (F.lower(c) == c) & (F.upper(c) != c))
+
+
 def counted_entries(texts: DataFrame) -> DataFrame:
     """(source, unit, ends, mid, low) of every distinct entry."""
     next_sign = "left(ltrim(get(a, i + 1)), 1)"
     entries = texts.select("source", F.split("marked", "\x01").alias("a")).select("source", F.expr(f"inline(transform(a, (e, i) -> struct(ltrim(e) as e, {next_sign} as then)))"))
     ended = F.col("e").endswith("\x02")
-    kept = entries.where(~F.col("e").endswith("\x05")).select("source", F.rtrim(F.col("e"), F.lit(" \t\r\x02")).alias("unit"), ended.alias("ended"), (~ended & F.col("then").rlike(r"[\p{Ll}0-9]")).alias("low"))
+    kept = entries.where(~F.col("e").endswith("\x05")).select("source", F.rtrim(F.col("e"), F.lit(" \t\r\x02")).alias("unit"), ended.alias("ended"), (~ended & small("then")).alias("low"))
     count = lambda c: F.sum(c.cast("long"))
     return kept.where("unit <> ''").groupBy("source", "unit").agg(count(F.col("ended")).alias("ends"), count(~F.col("ended")).alias("mid"), count(F.col("low")).alias("low"))
 
@@ -148,14 +154,15 @@ def counted_entries(texts: DataFrame) -> DataFrame:
 def word_places(entries: DataFrame) -> DataFrame:
     """(source, before, unit, ends, mid, low): the words of counted entries; inside an entry the next word tells how it goes on."""
     n = F.col("ends") + F.col("mid")
-    split = entries.select("source", "ends", "mid", "low", n.alias("n"), F.filter(words_of(F.col("unit")), lambda w: w != "").alias("w")).where("size(w) > 0")
-    places = split.select("source", "ends", "mid", "low", "n", F.expr("inline(transform(w, (x, i) -> struct(coalesce(get(w, i - 1), '') as before, x as unit, get(w, i + 1) as next)))"))
+    split = entries.select("source", "ends", "mid", "low", n.alias("n"), words_of(F.col("unit")).alias("w"))
+    shifted = split.select("source", "ends", "mid", "low", "n", F.expr("concat(array(''), slice(w, 1, size(w) - 1))").alias("before"), F.col("w").alias("unit"), F.expr("slice(w, 2, size(w))").alias("next"))
+    places = shifted.select("source", "ends", "mid", "low", "n", F.inline(F.arrays_zip("before", "unit", "next"))).where("unit <> ''")
     inside = F.col("next").isNotNull()
     return places.select(
         "source", "before", "unit",
         F.when(inside, 0).otherwise(F.col("ends")).alias("ends"),
         F.when(inside, F.col("n")).otherwise(F.col("mid")).alias("mid"),
-        F.when(~inside, F.col("low")).when(F.col("next").rlike(r"^[\p{Ll}\d]"), F.col("n")).otherwise(0).alias("low"),
+        F.when(~inside, F.col("low")).when(small("next"), F.col("n")).otherwise(0).alias("low"),
     )
 
 
@@ -221,25 +228,26 @@ def strict_prefixes(bodies: DataFrame) -> DataFrame:
 
 
 def longer_copies(texts: DataFrame) -> DataFrame:
-    """(source, digest, goes_on) of texts without a full stop that are strict prefixes of longer texts of any source."""
-    sized = texts.where("body <> ''").select("source", "digest", "stops", F.length("body").alias("n"), "body").withColumn("top", F.floor(F.log2("n")).cast("int"))
-    hashes = F.expr("transform(sequence(0, top), i -> struct(cast(shiftleft(1, i) as int) as p, xxhash64(substring(body, 1, shiftleft(1, i))) as key))")
-    rows = cut(sized.select("source", "digest", "stops", "n", "top", F.inline(hashes)))
-    can = rows.groupBy("p", "key").agg(F.max("n").alias("most"), F.min(F.when(~F.col("stops") & (F.expr("shiftleft(1, top)") == F.col("p")), F.col("n"))).alias("least")).where("least < most")
-    asked = rows.where(~F.col("stops") & (F.expr("shiftleft(1, top)") == F.col("p")))
-    near = rows.join(can, ["p", "key"])
-    taking = near.where("n > least").select("source", "digest", (F.col("p") * 2).alias("take"), F.lit(False).alias("asks"))
-    asking = asked.join(can, ["p", "key"]).where("n < most").select("source", "digest", F.col("n").alias("take"), F.lit(True).alias("asks"))
-    held = cut(taking.union(asking).join(texts.select("source", "digest", "body"), ["source", "digest"]).select("source", "digest", "asks", F.expr("substring(body, 1, take)").alias("body")))
-    copies = strict_prefixes(held.select("body").distinct())
-    return held.where("asks").join(copies, "body").select("source", "digest", "goes_on")
+    """(id, goes_on) of texts without a full stop that are strict prefixes of longer texts of any source."""
+    sized = texts.where("body <> ''").select("id", "stops", F.length("body").alias("n"), "body").withColumn("top", F.floor(F.log2("n")).cast("int"))
+    asked = sized.where("not stops").select("id", "n", "top", F.xxhash64("top", F.expr("substring(body, 1, shiftleft(1, top))")).alias("key"))
+    wanted = asked.groupBy("key").agg(F.min("n").alias("least"))
+    hashes = F.expr("transform(sequence(0, top), i -> struct(i, xxhash64(i, substring(body, 1, shiftleft(1, i))) as key))")
+    held = sized.select("id", "n", F.inline(hashes))
+    # longer texts whose prefix meets that of an asked one; of them twice the length of that prefix is compared
+    longer = cut(held.join(wanted.hint("shuffle_hash"), "key").where("n > least").select("id", "key", F.expr("shiftleft(2, i)").alias("take")))
+    met = asked.join(longer.select("key").distinct(), "key", "left_semi").select("id", F.col("n").alias("take"), F.lit(True).alias("asks"))
+    taken = longer.groupBy("id", "take").agg(F.lit(False).alias("asks")).unionByName(met)
+    pieces = cut(taken.join(texts.select("id", "body"), "id").select("id", "asks", F.expr("substring(body, 1, take)").alias("body")))
+    copies = strict_prefixes(pieces.select("body").distinct())
+    return pieces.where("asks").join(copies, "body").select("id", "goes_on")
 
 
 def verdicts(documents: DataFrame) -> DataFrame:
     """(source, digest, cut, evidence, mark, shape, goes_on) of every distinct text."""
-    texts = cut(shaped(documents))
+    texts = cut(shaped(documents).withColumn("id", F.monotonically_increasing_id()))  # the ids are kept with the rows
     entries = cut(counted_entries(texts))
-    ends = texts.where("shape <> 'blank'").select("source", "digest", "mark", "shape", "entry", "word", "before", "stops")
+    ends = texts.where("shape <> 'blank'").select("id", "source", "digest", "mark", "shape", "entry", "word", "before", "stops")
     dotted = texts.where("mark = 'dots'").groupBy("source", "entry").agg(F.count(F.lit(1)).alias("dotted"))
     by_entry = prefix_joined(ends.select("source", F.col("entry").alias("unit")), entries, ["source"])
     places = cut(summed(word_places(entries), "source", "before", "unit"))
@@ -254,10 +262,10 @@ def verdicts(documents: DataFrame) -> DataFrame:
     by_pair = prefix_joined(open_pairs, near, ["source", "before"])
     pairs = by_pair.select("source", "before", F.col("unit").alias("word"), F.struct("ends", "mid", "low", "longer").alias("p"), F.lit(True).alias("paired"))
     two = one.withColumn("contested", contested).join(pairs, ["source", "before", "word"], "left").withColumn("by_pair", F.when(F.col("contested"), says("p")))
-    two = two.join(longer_copies(texts), ["source", "digest"], "left")
+    two = two.join(longer_copies(texts), "id", "left")
     e_ends = F.coalesce(F.col("e.ends"), F.lit(0)) - F.when(F.col("mark") == "", 1).otherwise(0)
     value = F.col("goes_on").isNotNull() & ~F.col("goes_on").startswith("\n") & ~F.col("stops") & (e_ends <= 0) & F.coalesce(F.col("by_word"), F.lit(True))
-    on_purpose = (F.col("mark") == "dots") & (F.col("dotted") > 1) & (F.col("dotted") - 1 > F.coalesce(F.col("e.mid"), F.lit(0)) + F.coalesce(F.col("e.longer"), F.lit(0)))
+    on_purpose = (F.col("mark") == "dots") & (F.col("dotted") > 1) & ~F.col("entry").rlike("[0-9]$") & (F.col("dotted") - 1 > F.coalesce(F.col("e.mid"), F.lit(0)) + F.coalesce(F.col("e.longer"), F.lit(0)))
     level = F.when(value, "value").when(F.col("by_entry").isNotNull(), "entry").when(F.col("by_pair").isNotNull(), "pair").when(F.col("by_word").isNotNull(), "word")
     prefix = F.coalesce(F.when(value, True), F.col("by_entry"), F.col("by_pair"), F.col("by_word"), F.lit(False))
     is_cut = F.when((F.col("mark") == "broken") | (F.col("shape") == "open"), True).when((F.col("shape") == "whole") | on_purpose, False).otherwise(prefix)
