@@ -1,20 +1,19 @@
 """Rooms that stand, exactly or nearly, on both sides of a split.
 
-A room becomes a text: one word for each placed object, made of the coarse cells of the room's
-frame, the object's place and its size, in sorted order. Train rooms are written once, in
-their own frame; rooms of the evaluation splits in all four orientations. The suffixes of all texts are
-sorted in partitions by their first word (a sparse suffix array, one entry an object). Where suffixes
-of both sides share a prefix of at least one word, the shared spans are handed on and merged into the
-coverage of the pair; an exact check of frame and objects follows.
-
-Nothing is lost to cell borders: a value within TOLERANCE of a border is asked for in both cells. A pair must
-match ceil(0.8 n) objects of the evaluation room, so of any n - ceil(0.8 n) + m of its objects m have a partner:
-only that many suffixes are asked for, those with the rarest first words, and a pair goes to the exact check only
-if m of them meet (MEET, fewer where a room has fewer objects).
-
-Scale: identical rooms are one class from the start, copies are expanded at the end only. Words held by many train
-rooms are salted. A pass over suffixes holds the evaluation suffixes of one word and salt and streams the others. Suffixes are kept
-DEPTH words long, which bounds their size and changes no candidate.
+A room becomes a text: each placed object is a word of eight letters, the coarse cells of the room's frame (width, height), of the object's
+place and of its size, and the words stand in sorted order. Train rooms are written once, in their own frame; rooms of the evaluation splits in all four orientations.
+The suffixes of all texts that begin with a word (a sparse suffix array) are put in partitions by their first word, sorted, and read in order: neighbours that share at
+least their first word form a run. In a run, suffixes of both sides whose first objects agree within the tolerance reveal a shared span: that object, and the words both
+suffixes go on with. The spans of a pair of rooms are merged into its coverage, the number of objects of the evaluation room inside them. Pairs with enough coverage go
+to an exact check of frame and objects.
+
+Nothing is lost to cell borders: an evaluation suffix is asked for in every spelling that a partner may have, with the tolerance of places and sizes for these and that of
+outlines for the frame. Nothing is lost to the bound on coverage: a pair must match ceil(0.8 n) objects of the evaluation room, so of any n - ceil(0.8 n) + m of its objects m have a
+partner and begin a span; only that many suffixes are asked for, those with the rarest first words, and a coverage of m is what a pair must reach (MEET, fewer where a room has fewer
+objects). Suffixes are kept DEPTH words long: a longer span would begin again at later suffixes and could only raise a coverage, so that no pair is lost.
+
+Scale: identical rooms are one class from the start, copies are expanded at the end only. A run with many suffixes is split on both sides: evaluation suffixes into blocks, train
+suffixes into blocks, and each pair of blocks is a run of its own of at most about HEAVY rows a side, searched by place and not pair by pair. Only agreeing objects are handed on.
 
 Defined cases: rooms without readable text, frame or placed objects give nothing; objects without
 placement count as objects without partner; repeated rows fold; a uid on both sides doesn't pair with itself; NULL splits are neither side; a
@@ -23,10 +22,12 @@ frame of no area is compared like any other; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
-import itertools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,13 +35,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strataloom.functions.jsontext import elements, id_text, read_json
 from strataloom.operators.nested import own_id
-from strataloom.runtime import as_batch, cut, map_records, shuffle_width, spread
+from strataloom.runtime import cut, map_records, shuffle_width, spread
 
-#: Metres by which places, sizes and outlines may differ.
+#: Metres by which places and sizes may differ, and by which corners may stand off an outline.
 TOLERANCE = 0.05
-#: Edge of a cell in metres, share of objects that must match, words kept of a suffix, train suffixes a salt.
-CELL, SHARE, DEPTH, HEAVY = 0.35, 0.8, 12, 20_000
 EPS = 1e-9
+FRAME = TOLERANCE * math.sqrt(2)
+#: Edge of a cell in metres, share of objects that must match, words kept of a suffix, suffixes of one word and side in a run.
+CELL, SHARE, DEPTH, HEAVY = 0.6, 0.8, 8, 20_000
+#: Limits of the eight letters; the small surplus covers values kept in single precision.
+LIMITS = np.array([FRAME] * 2 + [TOLERANCE] * 6) + 1e-4
+#: Letters begin half a cell lower, so that the floor isn't a border.
+SHIFT = 0.5
 
 
 def numbers(value, n):
@@ -93,24 +99,34 @@ def turned(outline, objects, quarter):
 def values_of(outline, objects):
     """What the words of a room are made of: its extent, then place and size of the object."""
     w, h = max(p[0] for p in outline), max(p[1] for p in outline)
-    return [[w, h, *o] for o in objects]
+    return np.array([[w, h, *o] for o in objects])
 
 
-def word_of(cells):
-    return ".".join(map(str, cells))
+def letters(cells):
+    """Cells as letters, eight bytes a word; cells that are 256 apart share a letter, which later checks undo."""
+    return (np.asarray(cells).astype(np.int64) & 255).astype(np.uint8)
 
 
-def base_word(values):
-    return word_of(math.floor(v / CELL) for v in values)
+def base_cells(values):
+    return np.floor(values / CELL + SHIFT)
 
 
 def near_words(values):
-    """All words that a partner within TOLERANCE may have."""
-    axes = []
-    for v in values:
-        low, high = math.floor((v - TOLERANCE) / CELL), math.floor((v + TOLERANCE) / CELL)
-        axes.append(range(low, high + 1))
-    return [word_of(c) for c in itertools.product(*axes)]
+    """(row, word) of all words that a partner of each row of ``values`` may have."""
+    low, high = np.floor((values - LIMITS) / CELL + SHIFT), np.floor((values + LIMITS) / CELL + SHIFT)
+    row, cells = np.arange(len(values)), low.copy()
+    for axis in range(8):
+        for step in range(1, int((high - low)[:, axis].max(initial=0)) + 1):
+            more = (cells[:, axis] == low[row, axis]) & (low[row, axis] + step <= high[row, axis])
+            other = cells[more]
+            other[:, axis] += step
+            row, cells = np.concatenate([row, row[more]]), np.concatenate([cells, other])
+    return row, as_words(letters(cells))
+
+
+def as_words(found):
+    """Rows of eight letters as numbers that sort like the letters."""
+    return np.ascontiguousarray(found).view(">u8").ravel().astype(np.uint64).view(np.int64)
 
 
 ROOM = "uid string, side string, sig string, outline array<array<double>>, objects array<array<double>>, n int"
@@ -137,91 +153,187 @@ def rooms(selected: DataFrame) -> DataFrame:
     return map_records(spread(selected.select("uid", side.alias("side"), "row")), ROOM, make, 256)
 
 
-WORDS = "sig string, turn int, at int, word string, rest string, vals array<double>, k int, need int"
+def text_of(outline, objects, turn):
+    """(words, values, letters) of a room in one orientation, in the order of its text."""
+    values = values_of(*turned(outline, objects, turn))
+    found = letters(base_cells(values))
+    order = np.lexsort(found.T[::-1])
+    return as_words(found[order]), values[order], found[order]
+
+
+def asked_of(n, placed):
+    """(suffixes to ask for, coverage to reach) of a room of n objects, or None where too few of them are placed."""
+    must = math.ceil(SHARE * n - EPS)
+    need = min(MEET, must)
+    return (placed - must + need, need) if placed >= must else None
+
+
 #: Asked suffixes that must meet.
 MEET = 2
+SUFFIX = "word long, block int, other int, rest binary, asks boolean, room long, turn int, at int, need int, vals binary"
+
+
+def pack(values):
+    return values.astype(np.float32).tobytes()
 
 
-def written(classes: DataFrame, turns: int) -> DataFrame:
-    """The suffixes of each class: first word, the words after it, the values of the first, how many must be asked for."""
+def train_suffixes(classes: DataFrame) -> DataFrame:
+    """All suffixes of train rooms in their own frame."""
 
     def make():
         def act(record):
-            sig, outline, objects, n = record
-            for turn in range(turns):
-                values = values_of(*turned(outline, objects, turn))
-                text = sorted((base_word(v), v) for v in values)
-                must = math.ceil(SHARE * n - EPS)
-                need = min(MEET, must)
-                k = len(text) - must + need if len(text) >= must else 0
-                for i, (word, v) in enumerate(text):
-                    yield sig, turn, i, word, " ".join(w for w, _ in text[i + 1 : i + DEPTH]), v, k, need
+            room, outline, objects = record
+            words, values, found = text_of(outline, objects, 0)
+            for i, word in enumerate(words.tolist()):
+                yield word, found[i + 1 : i + DEPTH].tobytes(), room, i, pack(values[i])
 
         return act
 
-    return map_records(classes.select("sig", "outline", "objects", "n"), WORDS, make)
+    return map_records(classes.select("room", "outline", "objects"), "word long, rest binary, room long, at int, vals binary", make)
 
 
-SPAN = T.StructType().add("sig_e", T.StringType()).add("turn", T.IntegerType()).add("sig_t", T.StringType()).add("at", T.IntegerType()).add("span", T.IntegerType()).add("need", T.IntegerType())
+def asked_words(classes: DataFrame) -> DataFrame:
+    """Words of evaluation rooms in all orientations, with the number that must be asked for."""
 
+    def make():
+        def act(record):
+            room, outline, objects, n = record
+            if asks := asked_of(n, len(objects)):
+                for turn in range(4):
+                    for i, word in enumerate(text_of(outline, objects, turn)[0].tolist()):
+                        yield room, turn, i, word, asks[0]
 
-def suffixes(train: DataFrame, evals: DataFrame) -> DataFrame:
-    """All suffixes that can meet: train suffixes, and the asked ones of the evaluation rooms in every near spelling."""
-    ours = cut(written(train, 1))
-    held = ours.groupBy("word").agg(F.count(F.lit(1)).alias("held"))
-    theirs = written(evals, 4).where("k > 0")
-    rank = Window.partitionBy("sig", "turn").orderBy(F.coalesce("held", F.lit(0)), "at")
-    asked = theirs.join(held, "word", "left").withColumn("r", F.row_number().over(rank)).where("r <= k").select("sig", "turn", "at", "rest", "vals", "need")
+        return act
+
+    return map_records(classes.select("room", "outline", "objects", "n"), "room long, turn int, at int, word long, k int", make)
+
+
+def asked_suffixes(chosen: DataFrame) -> DataFrame:
+    """The chosen suffixes of evaluation rooms in every near spelling; chosen holds 4-fold positions ``at * 4 + turn``."""
 
     def make():
-        return lambda r: [(word, r[3], r[0], r[1], r[2], r[5]) for word in near_words(r[4])]
-
-    spelled = map_records(asked, "word string, rest string, sig string, turn int, at int, need int", make)
-    salts = F.ceil(F.col("held") / HEAVY)
-    met = cut(spelled.join(held, "word"))
-    asking = met.select("word", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "rest", F.lit("eval").alias("side"), "sig", "turn", "at", "need")
-    wanted = met.select("word", "held").distinct()
-    holding = ours.join(wanted, "word").select("word", F.pmod(F.xxhash64("sig"), salts).alias("salt"), "rest", F.lit("train").alias("side"), "sig", "turn", "at", "need")
+        def act(record):
+            room, outline, objects, n, places = record
+            need = asked_of(n, len(objects))[1]
+            for turn in range(4):
+                at = [p // 4 for p in places if p % 4 == turn]
+                if at:
+                    _, values, found = text_of(outline, objects, turn)
+                    for j, word in zip(*(x.tolist() for x in near_words(values[at]))):
+                        i = at[j]
+                        yield word, found[i + 1 : i + DEPTH].tobytes(), room, turn, i, need, pack(values[i])
+
+        return act
+
+    return map_records(chosen.select("room", "outline", "objects", "n", "places"), "word long, rest binary, room long, turn int, at int, need int, vals binary", make)
+
+
+def suffixes(train: DataFrame, evals: DataFrame) -> DataFrame:
+    """All suffixes that can meet: train suffixes, and the asked ones of the evaluation rooms in every near spelling."""
+    ours = cut(train_suffixes(train))
+    held = cut(ours.groupBy("word").agg(F.count(F.lit(1)).alias("held")))
+    rank = Window.partitionBy("room", "turn").orderBy(F.coalesce("held", F.lit(0)), "at")
+    ranked = asked_words(evals).join(held, "word", "left").withColumn("r", F.row_number().over(rank)).where("r <= k")
+    chosen = ranked.groupBy("room").agg(F.collect_list(F.col("at") * 4 + F.col("turn")).alias("places"))
+    theirs = cut(asked_suffixes(evals.join(chosen, "room")))
+    # blocks of words that many suffixes of a side begin with
+    blocks = lambda n: F.ceil(F.col(n) / HEAVY).cast("int")
+    many = held.where(F.col("held") > HEAVY).select("word", blocks("held").alias("t")).join(theirs.groupBy("word").agg(F.count(F.lit(1)).alias("asks")).where(F.col("asks") > HEAVY).select("word", blocks("asks").alias("e")), "word", "full").select("word", F.coalesce("t", F.lit(1)).alias("t"), F.coalesce("e", F.lit(1)).alias("e"))
+    one = F.lit(1)
+    own = lambda n: F.pmod(F.xxhash64("room", "at"), F.coalesce(n, one)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, one) - 1))
+    asking = theirs.join(many, "word", "left").select("word", own("e").alias("block"), every("t").alias("other"), "rest", F.lit(True).alias("asks"), "room", "turn", "at", "need", "vals")
+    holding = ours.join(many, "word", "left").select("word", every("e").alias("block"), own("t").alias("other"), "rest", F.lit(False).alias("asks"), "room", F.lit(0).alias("turn"), "at", F.lit(0).alias("need"), "vals")
     return asking.unionByName(holding)
 
 
-def spans(sorted_suffixes: DataFrame) -> DataFrame:
-    """Shared spans of suffixes of both sides, from one pass over each sorted partition."""
+SPAN = T.StructType().add("room_e", T.LongType()).add("turn", T.IntegerType()).add("room_t", T.LongType()).add("at", T.IntegerType()).add("span", T.IntegerType()).add("need", T.IntegerType())
+
+
+def shared_words(a, b):
+    """Common prefix of two suffixes behind their first words, in words."""
+    n = min(len(a), len(b)) // 8 * 8
+    for i in range(0, n, 8):
+        if a[i : i + 8] != b[i : i + 8]:
+            return i // 8
+    return n // 8
+
+
+def agreeing(mine, others):
+    """Indices (i, j) of rows of two arrays of values that agree within the limits; searched by the x of places."""
+    order = np.argsort(others[:, 2], kind="stable")
+    x = others[order, 2]
+    low = np.searchsorted(x, mine[:, 2] - LIMITS[2], "left")
+    many = np.searchsorted(x, mine[:, 2] + LIMITS[2], "right") - low
+    i = np.repeat(np.arange(len(mine)), many)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
+    fits = (np.abs(mine[i] - others[j]) <= LIMITS).all(axis=1)
+    return i[fits], j[fits]
+
+
+def spans(ordered: DataFrame) -> DataFrame:
+    """Shared spans of suffixes of both sides, from one pass over each sorted partition.
+
+    Neighbours that share their first word (and block) are a run; a run is searched as soon as its last suffix has passed.
+    """
     arrow = to_arrow_schema(SPAN)
 
-    def run(batches):
-        key, group, out = None, [], []
+    def search(run):
+        vals = np.frombuffer(b"".join(run["vals"]), np.float32).reshape(-1, 8).astype(np.float64)
+        asks = np.array(run["asks"])
+        mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+        for part in range(0, len(mine), 512):
+            some = mine[part : part + 512]
+            i, j = agreeing(vals[some], vals[others])
+            for e, t in zip(some[i].tolist(), others[j].tolist()):
+                yield run["room"][e], run["turn"][e], run["room"][t], run["at"][e], 1 + shared_words(run["rest"][e], run["rest"][t]), run["need"][e]
+
+    names = ("room", "turn", "at", "need", "asks", "rest", "vals")
+
+    def act(batches):
+        held, key, both, out = {n: [] for n in names}, None, set(), []
+
+        def flush(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
         for batch in batches:
-            for word, salt, rest, side, sig, turn, at, need in zip(*(c.to_pylist() for c in batch.columns)):
-                if (word, salt) != key:
-                    key, group = (word, salt), []
-                if side == "eval":  # sorted first within a word and salt
-                    group.append((rest.split(), sig, turn, at, need))
-                elif group:
-                    tail = rest.split()
-                    for mine, sig_e, turn_e, at_e, need_e in group:
-                        span = 1
-                        for a, b in zip(mine, tail):
-                            if a != b:
-                                break
-                            span += 1
-                        out.append((sig_e, turn_e, sig, at_e, span, need_e))
-                    if len(out) >= 8192:
-                        yield as_batch(out, arrow)
-                        out = []
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            # borders: neighbours that don't share their first word
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            starts = np.flatnonzero(new).tolist() + [batch.num_rows]
+            columns = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
+            sides = columns["asks"].to_numpy(zero_copy_only=False)
+            for a, b in zip(starts, starts[1:]):
+                mine = tuple(k[a] for k in keys)
+                last = b == batch.num_rows
+                if mine != key:
+                    if len(both) == 2:
+                        out.extend(search(held))
+                    held, key, both = {n: [] for n in names}, mine, set()
+                    if not last and (sides[a:b].all() or not sides[a:b].any()):
+                        continue
+                both.update(sides[a:b].tolist())
+                for n in names:
+                    held[n].extend(columns[n].slice(a, b - a).to_pylist())
+            if len(out) >= 8192:
+                yield flush(out)
+                out = []
+        if len(both) == 2:
+            out.extend(search(held))
         if out:
-            yield as_batch(out, arrow)
+            yield flush(out)
 
-    return sorted_suffixes.mapInArrow(run, SPAN)
+    return ordered.mapInArrow(act, SPAN)
 
 
 def candidates(train: DataFrame, evals: DataFrame) -> DataFrame:
-    """(sig_e, turn, sig_t, covered): pairs that share a span, with the number of words in merged spans."""
+    """(room_e, turn, room_t, covered): pairs whose merged spans cover enough objects of the evaluation room."""
     array = suffixes(train, evals)
-    width = shuffle_width(array.sparkSession)
-    ordered = array.repartition(width, "word", "salt").sortWithinPartitions("word", "salt", F.col("side") == "train", "rest").select("word", "salt", "rest", "side", "sig", "turn", "at", "need")
+    order = ["word", "block", "other"]
+    ordered = array.repartition(shuffle_width(array.sparkSession), *order).sortWithinPartitions(*order, "rest").select(*order, "rest", "asks", "room", "turn", "at", "need", "vals")
     merged = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("span") - 1)))))
-    return spans(ordered).groupBy("sig_e", "turn", "sig_t").agg(merged.alias("covered"), F.count_distinct("at").alias("met"), F.max("need").alias("need")).where("met >= need").select("sig_e", "turn", "sig_t", "covered")
+    return spans(ordered).groupBy("room_e", "turn", "room_t").agg(merged.alias("covered"), F.max("need").alias("need")).where("covered >= need").select("room_e", "turn", "room_t", "covered")
 
 
 def outline_distance(point, outline):
@@ -236,9 +348,8 @@ def outline_distance(point, outline):
     return math.sqrt(best)
 
 
-def same_outline(a, b, tolerance=TOLERANCE):
+def same_outline(a, b, limit=FRAME + EPS):
     """Whether each corner of either outline lies on the other."""
-    limit = tolerance * math.sqrt(2) + EPS
     return all(outline_distance(p, b) <= limit for p in a) and all(outline_distance(p, a) <= limit for p in b)
 
 
@@ -246,8 +357,6 @@ def partners(a, b, tolerance=TOLERANCE):
     """Largest number of disjoint pairs of objects with the same place and size."""
     order = sorted(range(len(b)), key=lambda j: b[j][0])
     xs = [b[j][0] for j in order]
-    import bisect
-
     near = []
     for o in a:
         low, high = bisect.bisect_left(xs, o[0] - tolerance - EPS), bisect.bisect_right(xs, o[0] + tolerance + EPS)
@@ -289,33 +398,34 @@ def same_room(a, b):
 
 
 def matched_classes(classes: DataFrame) -> DataFrame:
-    """(sig_e, sig_t, covered) of classes that are the same room, after the exact check."""
+    """(room_e, room_t, covered) of classes that are the same room, after the exact check."""
     train, evals = classes.where("in_train"), classes.where("in_eval")
     pairs = cut(candidates(train, evals))
     content = F.struct("outline", "objects", "n")
-    both = pairs.join(evals.select(F.col("sig").alias("sig_e"), content.alias("e")), "sig_e").join(train.select(F.col("sig").alias("sig_t"), content.alias("t")), "sig_t").select("sig_e", "sig_t", "turn", "covered", "e", "t")
+    both = pairs.join(evals.select(F.col("room").alias("room_e"), content.alias("e")), "room_e").join(train.select(F.col("room").alias("room_t"), content.alias("t")), "room_t").select("room_e", "room_t", "turn", "covered", "e", "t")
 
     def make():
         def act(record):
-            sig_e, sig_t, turn, covered, e, t = record
+            room_e, room_t, turn, covered, e, t = record
             outline, objects = turned(e["outline"], e["objects"], turn)
             if same_room((outline, objects, e["n"]), (t["outline"], t["objects"], t["n"])):
-                yield sig_e, sig_t, covered
+                yield room_e, room_t, covered
 
         return act
 
-    return map_records(both, "sig_e string, sig_t string, covered int", make).groupBy("sig_e", "sig_t").agg(F.max("covered").alias("covered"))
+    return map_records(both, "room_e long, room_t long, covered int", make).groupBy("room_e", "room_t").agg(F.max("covered").alias("covered"))
 
 
 def overlaps(selected: DataFrame) -> DataFrame:
-    """(uid_e, uid_t) of every room of an evaluation split that also stands in train."""
+    """(uid_e, uid_t, covered) of every room of an evaluation split that also stands in train."""
     parsed = cut(rooms(selected))
-    classes = cut(parsed.groupBy("sig").agg(F.first("outline").alias("outline"), F.first("objects").alias("objects"), F.first("n").alias("n"), F.max(F.col("side") == "train").alias("in_train"), F.max(F.col("side") == "eval").alias("in_eval")))
-    members = parsed.select("sig", "uid", "side").distinct()
+    grouped = parsed.groupBy("sig").agg(F.first("outline").alias("outline"), F.first("objects").alias("objects"), F.first("n").alias("n"), F.max(F.col("side") == "train").alias("in_train"), F.max(F.col("side") == "eval").alias("in_eval"))
+    classes = cut(grouped.withColumn("room", F.monotonically_increasing_id()))  # the numbers are kept with the rows
+    members = parsed.select("sig", "uid", "side").distinct().join(classes.select("sig", "room"), "sig")
     pairs = matched_classes(classes)
-    e = members.where("side = 'eval'").select(F.col("sig").alias("sig_e"), F.col("uid").alias("uid_e"))
-    t = members.where("side = 'train'").select(F.col("sig").alias("sig_t"), F.col("uid").alias("uid_t"))
-    return pairs.join(e, "sig_e").join(t, "sig_t").where("uid_e <> uid_t").select("uid_e", "uid_t").distinct()
+    e = members.where("side = 'eval'").select(F.col("room").alias("room_e"), F.col("uid").alias("uid_e"))
+    t = members.where("side = 'train'").select(F.col("room").alias("room_t"), F.col("uid").alias("uid_t"))
+    return pairs.join(e, "room_e").join(t, "room_t").where("uid_e <> uid_t").groupBy("uid_e", "uid_t").agg(F.max("covered").alias("covered"))
 
 
 def found(selected: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 import json
 import random
 
+import numpy as np
+
 from strataloom.llm import overlap
 
 
@@ -66,7 +68,50 @@ def test_partners_is_a_matching():
 
 def test_near_words_hold_every_partner():
     pick = random.Random(9)
-    for _ in range(500):
+    for _ in range(300):
         v = [pick.uniform(0, 6) for _ in range(8)]
-        w = [x + pick.uniform(-overlap.TOLERANCE, overlap.TOLERANCE) for x in v]
-        assert overlap.base_word(w) in overlap.near_words(v)
+        w = [x + pick.uniform(-1, 1) * (overlap.FRAME if i < 2 else overlap.TOLERANCE) for i, x in enumerate(v)]
+        row, words = overlap.near_words(np.array([v, v]))
+        mine = overlap.as_words(overlap.letters(overlap.base_cells(np.array([w]))))[0]
+        assert mine in words[row == 0] and mine in words[row == 1] and len(set(words[row == 0])) == (row == 0).sum()
+
+
+def test_frame_off_by_more_than_the_tolerance_of_places(spark):
+    """6 cm of difference between two frames pass the exact check and must be asked for across a cell border."""
+    pick = random.Random(11)
+    for border in (4.5, 5.1):  # borders of cells of 0.6 m that begin half a cell lower
+        base = scatter(pick, 6)
+        a, b = border - 0.015, border + 0.045
+        rows = [("a", "train", room(base, [[0, 0], [a, 0], [a, 4], [0, 4]])), ("b", "test", room(base, [[0, 0], [b, 0], [b, 4], [0, 4]]))]
+        assert [tuple(r) for r in overlap.found(spark.createDataFrame(rows, "uid string, split string, row string")).collect()] == [("a", "b")]
+
+
+def test_hot_words_are_split_on_both_sides(spark, monkeypatch):
+    pick = random.Random(12)
+    shared = scatter(pick, 2)
+    rows = [(f"{side[0]}{i}", side, room(shared + scatter(pick, 1 + i % 2))) for side in ("train", "test") for i in range(20)]
+    twin = scatter(pick, 3)
+    rows += [("t-twin", "train", room(shared + twin)), ("e-twin", "test", room(shaken(pick, shared + twin)))]
+    df = spark.createDataFrame(rows, "uid string, split string, row string")
+    whole = sorted(tuple(r) for r in overlap.overlaps(df).collect())
+    assert ("e-twin", "t-twin") in [w[:2] for w in whole]
+    monkeypatch.setattr(overlap, "HEAVY", 3)
+    assert sorted(tuple(r) for r in overlap.overlaps(df).collect()) == whole
+
+
+def test_spans_come_from_sorted_neighbours(spark):
+    """Suffixes that don't stand beside each other aren't read as one run: the order decides."""
+    v = overlap.pack(np.ones(8))
+    rows = [(7, 0, 0, b"", True, 1, 0, 0, 1, v), (8, 0, 0, b"", False, 3, 0, 0, 0, v), (7, 0, 0, b"", False, 2, 0, 0, 0, v)]
+    df = spark.createDataFrame(rows, overlap.SUFFIX).select("word", "block", "other", "rest", "asks", "room", "turn", "at", "need", "vals").coalesce(1)
+    assert overlap.spans(df).count() == 0
+    got = overlap.spans(df.sortWithinPartitions("word", "block", "other", "rest")).collect()
+    assert [(r.room_e, r.room_t, r.span) for r in got] == [(1, 2, 1)]
+
+
+def test_coverage_merges_spans(spark):
+    pick = random.Random(13)
+    base = scatter(pick, 12)
+    rows = [("a", "train", room(base)), ("b", "test", room(base))]
+    (pair,) = overlap.overlaps(spark.createDataFrame(rows, "uid string, split string, row string")).collect()
+    assert overlap.MEET <= pair.covered <= 12
