@@ -215,13 +215,12 @@ def asked_suffixes(chosen: DataFrame) -> DataFrame:
         def act(record):
             room, outline, objects, n, places = record
             need = asked_of(n, len(objects))[1]
-            for turn in range(4):
-                at = [p // 4 for p in places if p % 4 == turn]
-                if at:
-                    _, values, found = text_of(outline, objects, turn)
-                    for j, word in zip(*(x.tolist() for x in near_words(values[at]))):
-                        i = at[j]
-                        yield word, found[i + 1 : i + DEPTH].tobytes(), room, turn, i, need, pack(values[i])
+            spots = [(p % 4, p // 4) for p in sorted(places, key=lambda p: p % 4)]
+            texts = {turn: text_of(outline, objects, turn) for turn in {t for t, _ in spots}}
+            packed = [(t, i, texts[t][2][i + 1 : i + DEPTH].tobytes(), pack(texts[t][1][i])) for t, i in spots]
+            for j, word in zip(*(x.tolist() for x in near_words(np.array([texts[t][1][i] for t, i in spots])))):
+                turn, i, rest, vals = packed[j]
+                yield word, rest, room, turn, i, need, vals
 
         return act
 
@@ -259,70 +258,64 @@ def shared_words(a, b):
     return n // 8
 
 
-def agreeing(mine, others):
-    """Indices (i, j) of rows of two arrays of values that agree within the limits; searched by the x of places."""
-    order = np.argsort(others[:, 2], kind="stable")
-    x = others[order, 2]
-    low = np.searchsorted(x, mine[:, 2] - LIMITS[2], "left")
-    many = np.searchsorted(x, mine[:, 2] + LIMITS[2], "right") - low
-    i = np.repeat(np.arange(len(mine)), many)
-    j = order[np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
-    fits = (np.abs(mine[i] - others[j]) <= LIMITS).all(axis=1)
-    return i[fits], j[fits]
+#: Pairs of rows that are compared at once.
+CHUNK = 500_000
+
+
+def agreeing(run, asks, values):
+    """Indices (i, j) of asking and other rows of the same run whose values agree within the limits; searched by the x of places, CHUNK pairs at a time."""
+    x = np.clip(values[:, 2], -1e4, 1e4) + run * 4e4
+    mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+    others = others[np.argsort(x[others], kind="stable")]
+    low = np.searchsorted(x[others], x[mine] - LIMITS[2] - 1e-3, "left")
+    many = np.searchsorted(x[others], x[mine] + LIMITS[2] + 1e-3, "right") - low
+    kept = many > 0
+    mine, low, many = mine[kept], low[kept], many[kept]
+    group = np.cumsum(many) // CHUNK
+    for g in np.unique(group):
+        at = np.flatnonzero(group == g)
+        i = np.repeat(mine[at], many[at])
+        j = others[np.arange(len(i)) - np.repeat(np.cumsum(many[at]) - many[at], many[at]) + np.repeat(low[at], many[at])]
+        fits = (run[i] == run[j]) & (np.abs(values[i] - values[j]) <= LIMITS).all(axis=1)
+        yield i[fits], j[fits]
 
 
 def spans(ordered: DataFrame) -> DataFrame:
     """Shared spans of suffixes of both sides, from one pass over each sorted partition.
 
-    Neighbours that share their first word (and block) are a run; a run is searched as soon as its last suffix has passed.
+    Neighbours that share their first word (and block) are a run; all runs that end within a batch are searched together, the last one waits for the next batch.
     """
     arrow = to_arrow_schema(SPAN)
-
-    def search(run):
-        vals = np.frombuffer(b"".join(run["vals"]), np.float32).reshape(-1, 8).astype(np.float64)
-        asks = np.array(run["asks"])
-        mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
-        for part in range(0, len(mine), 512):
-            some = mine[part : part + 512]
-            i, j = agreeing(vals[some], vals[others])
-            for e, t in zip(some[i].tolist(), others[j].tolist()):
-                yield run["room"][e], run["turn"][e], run["room"][t], run["at"][e], 1 + shared_words(run["rest"][e], run["rest"][t]), run["need"][e]
-
     names = ("room", "turn", "at", "need", "asks", "rest", "vals")
 
-    def act(batches):
-        held, key, both, out = {n: [] for n in names}, None, set(), []
-
-        def flush(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+    def search(table, until):
+        """Spans of the runs in the first ``until`` rows."""
+        keys = [table.column(n).to_numpy()[:until] for n in ("word", "block", "other")]
+        new = np.zeros(until, np.int64)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        c = {n: table.column(n).slice(0, until) for n in names}
+        asks = c["asks"].to_numpy(zero_copy_only=False)
+        values = np.frombuffer(b"".join(c["vals"].to_pylist()), np.float32).reshape(-1, 8).astype(np.float64)
+        rest = c["rest"].to_pylist()
+        room, turn, at, need = (c[n].to_numpy() for n in ("room", "turn", "at", "need"))
+        for i, j in agreeing(np.cumsum(new), asks, values):
+            if len(i):
+                span = [1 + shared_words(rest[a], rest[b]) for a, b in zip(i.tolist(), j.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((room[i], turn[i], room[j], at[i], span, need[i]), arrow)], schema=arrow)
 
+    def act(batches):
+        held = None
         for batch in batches:
-            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            # borders: neighbours that don't share their first word
-            new = np.ones(batch.num_rows, bool)
-            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-            starts = np.flatnonzero(new).tolist() + [batch.num_rows]
-            columns = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
-            sides = columns["asks"].to_numpy(zero_copy_only=False)
-            for a, b in zip(starts, starts[1:]):
-                mine = tuple(k[a] for k in keys)
-                last = b == batch.num_rows
-                if mine != key:
-                    if len(both) == 2:
-                        out.extend(search(held))
-                    held, key, both = {n: [] for n in names}, mine, set()
-                    if not last and (sides[a:b].all() or not sides[a:b].any()):
-                        continue
-                both.update(sides[a:b].tolist())
-                for n in names:
-                    held[n].extend(columns[n].slice(a, b - a).to_pylist())
-            if len(out) >= 8192:
-                yield flush(out)
-                out = []
-        if len(both) == 2:
-            out.extend(search(held))
-        if out:
-            yield flush(out)
+            held = pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks() if held is not None else pa.Table.from_batches([batch])
+            # the last border: where neighbours don't share their first word
+            keys = [held.column(n).to_numpy() for n in ("word", "block", "other")]
+            borders = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+            if len(borders):
+                until = int(borders[-1]) + 1
+                yield from search(held, until)
+                held = held.slice(until)
+        if held is not None and held.num_rows:
+            yield from search(held, held.num_rows)
 
     return ordered.mapInArrow(act, SPAN)
 
