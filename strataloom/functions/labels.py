@@ -1,0 +1,112 @@
+"""What the label of a box says of it, one label at a time.
+
+A label is read as a list of words; a kind is a set of words, and a label is of a kind by its last word or by any of its words. Plain labels are those of
+functions.text.category. A missing label has no words and is of no kind.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+# Labels whose first synonym says nothing, and their names.
+CATEGORY_ALIASES = {
+    "corner/side table": "side table",
+    "three-seat / multi-seat sofa": "three seat sofa",
+    "three-seat / multi-person sofa": "three seat sofa",
+    "coffeetablefactory": "coffee table",
+    "sidetablefactory": "side table",
+    "boxcomforterfactory": "comforter",
+    "comforterfactory": "comforter",
+}
+# Digits and letters that an asset leaves behind its name, and the words of labels that say nothing.
+ASSET_HASH = r"(?=[a-f]*\d)[0-9a-f]{8}\b"
+SAYS_NOTHING = {"object", "objects", "unknown"}
+# Words of kinds of things.
+WORDS = {
+    "flat": "rug carpet mat doormat bathmat placemat playmat floormat yogamat exercisemat fitnessmat",
+    "seat": "chair armchair stool bench seat ottoman pouf",
+    "table": "table desk counter island bar workstation vanity workbench",
+    "no top": "sofa couch loveseat sectional bed armchair chair bench",
+    "hanging": "pendant chandelier ceiling downlight hanging",
+    "own frame": "chair stool seat swing",
+    "wall art": "painting picture poster artwork art mirror whiteboard blackboard frame",
+    "ground only": "bed sofa couch loveseat sectional chair armchair table desk fridge refrigerator oven stove dishwasher stool bench ottoman piano tub bathtub washer dryer wardrobe armoire bookcase dresser",
+    "floor furniture": "bed sofa couch loveseat sectional table desk chair armchair stool bench ottoman cabinet wardrobe dresser bookcase bookshelf sideboard nightstand fridge refrigerator oven stove dishwasher washer dryer piano tub bathtub toilet console stand chest armoire shelf cupboard",
+    "soft cover": "bedding comforter blanket quilt duvet bedspread bedcover coverlet",
+    "soft hanging": "curtain curtains drape drapes blind blinds shade shades screening valance",
+    "finish": "floor ceiling tile tiles baseboard skirting trim mold molding moulding panel paneling board boards cladding covering socket outlet drain pipe pipes design decoration sticker background wallpaper",
+    "divider": "partition divider screen",
+    "structure": "door window curtain drape blind beam pillar stair staircase stairway stairwell railing rail handrail banister guardrail balustrade baseboard radiator opening doorframe partition fireplace chimney otherstructure structure doorway arch archway bulkhead niche fence step ramp elevator duct drain pipe socket outlet tile",
+    "not structure": "lamp light fan cabinet shelf mat rug towel chair table console stool candle figurine box plant planter basket display station clothes freestanding portable ladder bench sofa couch bed wardrobe desk seat bookcase bookshelf dresser sideboard ottoman",
+    "surface": "wall floor ceiling column",
+    "of surfaces": "panel paneling design combination mold molding moulding background trim skirting board tile cladding covering decoration sticker styling decorative decor structural support concrete low half suspended",
+    "flush": "door doorframe window curtain drape blind frame opening baseboard rail railing radiator beam shade screening design mold molding panel paneling combination wall floor ceiling skirting trim tile board",
+    "door": "door doorway doorframe",
+}
+#: Kinds whose words may also stand in the plural.
+PLURAL = {"flat", "hanging", "wall art", "structure", "not structure", "surface", "of surfaces", "flush", "door"}
+KINDS = {kind: frozenset(words.split()) | (frozenset(w + "s" for w in words.split()) if kind in PLURAL else frozenset()) for kind, words in WORDS.items()}
+
+
+@lru_cache(maxsize=65536)
+def plain(label: str | None) -> str:
+    """First synonym of a label in plain words, without asset hash and instance number."""
+    low = (label or "").lower()
+    before = low.split("(", 1)[0]
+    first = re.match(r"[^,(/]*", CATEGORY_ALIASES.get(before.strip(), low))[0]
+    words = re.sub(ASSET_HASH, " ", " ".join(re.findall("[a-z0-9]+", first))).split()
+    if "or" in words[1:-1]:
+        words = words[: words.index("or", 1)]
+    named = max((i for i, w in enumerate(words) if re.search("[a-z]", w)), default=None)
+    if named is not None:
+        words = [*words[:named], re.sub(r"(?<=[a-z])\d+$", "", words[named])]
+    return " ".join(words)
+
+
+def last_word(label) -> str:
+    return plain(label).rpartition(" ")[2]
+
+
+def raw_words(label) -> list[str]:
+    """Words of letters of the whole label, synonyms included."""
+    return re.findall("[a-z]+", (label or "").lower())
+
+
+def ends_as(label, kind: str) -> bool:
+    return last_word(label) in KINDS[kind]
+
+
+def holds(words, kind: str) -> bool:
+    return not KINDS[kind].isdisjoint(words)
+
+
+def says_nothing(label) -> bool:
+    first = plain(label).partition(" ")[0]
+    return not first or first in SAYS_NOTHING or first.startswith("other")
+
+
+def hangs(label) -> bool:
+    words = plain(label).split()
+    return holds(words, "hanging") and not holds(words, "own frame")
+
+
+def is_art(label) -> bool:
+    return holds(plain(label).split(), "wall art")
+
+
+def is_bedside(label) -> bool:
+    return "night" in plain(label) or "bedside" in plain(label)
+
+
+def is_finish(label) -> bool:
+    last = last_word(label)
+    return (last in KINDS["finish"] or last.rstrip("s") in KINDS["finish"]) and not holds(plain(label).split(), "divider")
+
+
+def is_structure(label) -> bool:
+    """A part of the building by its name: a word of structure, or nothing but words of surfaces."""
+    words = raw_words(label)
+    if holds(words, "not structure"):
+        return False
+    return holds(words, "structure") or (holds(words, "surface") and all(w in KINDS["surface"] or w in KINDS["of surfaces"] for w in words))

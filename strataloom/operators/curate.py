@@ -15,13 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions import geometry as G
+from strataloom.functions import labels as L
 from strataloom.functions.jsontext import elements, id_text, read_json
 from strataloom.operators import rooms as R
 from strataloom.operators.nested import own_id
 from strataloom.runtime import map_records, spread
 
-#: Metres of sinking and floating that are snapped to the floor; least free area.
-SUNK, FLOATING, AREA = 0.30, 0.50, 0.5
+#: Metres by which floor boxes may be sunk; least area of a floor and of a hidden obstacle in square metres.
+SUNK, AREA, HIDDEN = 0.30, 0.5, 0.5
+#: Metres: boxes lower than this are coverings, structure higher than this doesn't shape the floor, band along the walls, thickest wall, too far outside; and the
+#: square metres by which a part of a wall may stand in the room.
+LOW, HIGH, BAND, THICK, FAR, INTRUSION = 0.15, 1.5, 0.10, 0.30, 0.5, 0.05
 #: Fewest objects of a released room; there is no most.
 LEAST_OBJECTS = 1
 SYSTEM = "Place every listed object in the room. Answer with one JSON object that holds placements in the listed order."
@@ -33,56 +37,201 @@ def shown(x):
     return int(v) if v == int(v) else v
 
 
-def refused(value, room):
-    """First rule that refuses a room, or None."""
+def facts(value, room):
+    """What the refusing rules look at."""
     meta = value.get("meta") if isinstance(value.get("meta"), dict) else {}
-    named = [own_id(k, e) for k, e in elements(value.get("objects") or next((r.get("furniture") for _, r in elements(value.get("rooms")) if isinstance(r, dict)), None))]
-    if meta.get("front_known") is not True:
-        return "front_unknown"
-    if meta.get("n_incomplete"):
-        return "incomplete_objects"
-    if len(set(named)) != len(named):
-        return "duplicate_source_ids"
-    if room["form"] not in ("polygon", "hull") and "rooms" not in value:
-        return "boundary"
-    if G.clean_ring(room["outline"]) is None if room["outline"] else True:
-        return "boundary_shape"
-    if len(room["objects"]) < len(named):
-        return "bad_numbers"
-    if len(room["objects"]) < LEAST_OBJECTS:
-        return "object_count"
-    return None
+    inner = next((r.get("furniture") for _, r in elements(value.get("rooms")) if isinstance(r, dict)), None)
+    named = [own_id(k, e) for k, e in elements(value.get("objects") or inner)]
+    height = value.get("height")
+    return {"meta": meta, "named": named, "room": room, "exported": "rooms" in value, "height": height, "ring": G.clean_ring(room["outline"]) if room["outline"] else None}
+
+
+# Reasons of a refusal, in the order in which they are looked for.
+REFUSALS = (
+    ("front_unknown", lambda f: f["meta"].get("front_known") is not True),
+    ("incomplete_objects", lambda f: bool(f["meta"].get("n_incomplete"))),
+    ("duplicate_source_ids", lambda f: len(set(f["named"])) < len(f["named"])),
+    ("boundary", lambda f: f["room"]["form"] not in ("polygon", "hull") and not f["exported"]),
+    ("boundary_shape", lambda f: f["ring"] is None),
+    ("bad_numbers", lambda f: f["height"] is not None and not (R.floats([f["height"]], 1) and f["height"] > 0)),
+    ("bad_numbers", lambda f: len(f["room"]["objects"]) < len(f["named"])),
+    ("object_count", lambda f: len(f["room"]["objects"]) < LEAST_OBJECTS),
+    ("boundary_shape", lambda f: G.area(f["ring"]) < AREA),
+)
+
+
+def refused(value, room):
+    """First reason that refuses a room, or None."""
+    seen = facts(value, room)
+    return next((reason for reason, holds in REFUSALS if holds(seen)), None)
+
+
+def without(objects, dropped):
+    """Objects without the dropped ones and all that rests on them."""
+    gone = set(dropped)
+    below: dict = {}
+    for o in objects:
+        below.setdefault(o["parent"], []).append(o["id"])
+    queue = list(gone)
+    for name in queue:
+        more = [i for i in below.get(name, ()) if i not in gone]
+        gone.update(more)
+        queue.extend(more)
+    return [o for o in objects if o["id"] not in gone]
+
+
+def carried(objects):
+    """Objects that stand on the floor, or on one that does."""
+    by = {o["id"]: o for o in objects}
+    good: dict = {}
+    for o in objects:
+        trail, at = [], o
+        while at is not None and at["id"] not in good and at["id"] not in trail:
+            trail.append(at["id"])
+            at = by.get(at["parent"]) if at["anchor"] == "object" else None
+        last = by[trail[-1]] if trail else None
+        ends = good.get(at["id"], False) if at is not None else last is not None and last["anchor"] == "floor"
+        good.update(dict.fromkeys(trail, ends))
+    return [o for o in objects if good[o["id"]]]
+
+
+def shown_structure(room, parts):
+    """Parts of the building that are told as boxes: no finishes, soft hangings, high parts, slabs, or walls of the room itself."""
+    ring, floor = room["outline"], G.area(room["outline"])
+    for o in parts:
+        if L.is_finish(o["kind"]) or L.holds(L.plain(o["kind"]).split(), "soft hanging") or o["z"] >= HIGH:
+            continue
+        if ring and o["w"] * o["d"] >= 0.8 * floor:
+            continue
+        own_wall = L.last_word(o["kind"]) == "wall" and (room["form"] == "hull" or not ring or G.area_away(R.ring_of(o), ring, BAND) < INTRUSION)
+        if not own_wall:
+            yield {**o, "what": "structure"}
+
+
+def worth_showing(fixed, objects, room):
+    """Fixed boxes that touch the room, aren't coverings or slabs, and aren't a second box of a placed object; cut at the floor where they are sunk."""
+    ring, floor = room["outline"], G.area(room["outline"])
+    rings = [(R.ring_of(o), o["z"], o["z"] + o["h"]) for o in objects]
+    for f in fixed:
+        top = f["z"] + f["h"]
+        if top < LOW:
+            continue
+        if f["z"] < -R.FLOOR:
+            f = {**f, "z": 0.0, "h": top}
+        own = R.ring_of(f)
+        size = G.area(own)
+        reach = THICK if f["what"] == "structure" else BAND
+        if size <= 0 or size >= 0.5 * floor or G.gap(own, ring) > reach:
+            continue
+        if f["what"] != "structure":
+            over = [c for r, low, high in rings if min(top, high) - max(f["z"], low) > R.TOL for c in G.parts_within(r, [own])]
+            if over and G.covered_area(over) >= 0.5 * size:
+                continue
+        yield f
+
+
+def leaves_no_hole(o, room):
+    """A box that may be left out without a hole in the layout: coverings, soft things, finishes, and openings that keep to the walls."""
+    words = L.raw_words(o["kind"])
+    if L.ends_as(o["kind"], "flat") or L.ends_as(o["kind"], "soft cover") or L.holds(words, "soft hanging") or L.is_finish(o["kind"]):
+        return True
+    stays = lambda: G.area_away(R.ring_of(o), room["outline"], BAND) < INTRUSION
+    loose = not {"partition", "screen", "clothes"}.isdisjoint(words)
+    if o["structure"]:
+        return stays() if room["form"] == "polygon" else (L.holds(words, "flush") and not loose) or stays()
+    if room["form"] == "polygon" and not stays():
+        return False
+    while len(words) > 1 and words[-1] in ("floor", "wall", "ceiling"):  # where it stands, not what it is
+        words.pop()
+    return bool(words) and L.is_structure(o["kind"]) and not loose and words[-1] in L.KINDS["flush"]
+
+
+def hidden_area(room, left_out, objects, fixed):
+    """Floor under boxes that were left out, in square metres, that no placed or fixed box explains."""
+    parts = G.convex_parts(room["outline"])
+    pieces = [c for o in left_out for c in G.parts_within(R.ring_of(o), parts)]
+    if not pieces:
+        return 0.0
+    covers = [R.ring_of(o) for o in [*(o for o in objects if not o["parent"]), *fixed] if o["h"] >= LOW]
+    explained = [c for r in covers for c in G.parts_within(r, pieces)]
+    return max(0.0, G.covered_area(pieces) - (G.covered_area(explained) if explained else 0.0))
 
 
 def prepared(room):
-    """(room, flags): anchors inferred, near-floor boxes snapped, objects of walls and ceilings left out with what rests on them."""
+    """(room, flags): parts of the building shown as fixed, anchors inferred, boxes snapped to what carries them, the rest told as fixed or left out.
+
+    Fixed boxes are tagged ``structure``, ``generic`` (labels that say nothing), ``wall``, ``floating`` or ``frontless``. Flags name what a reader of the room should know.
+    """
     flags = set()
-    anchors = {i: (a, p) for i, a, p, _ in R.anchored(room)}
-    objects, kept = [], {}
-    for o in sorted(room["objects"], key=lambda o: o["z"]):
-        anchor, parent = anchors[o["id"]]
-        o = {**o, "anchor": anchor, "parent": parent}
-        if anchor == "floor" and o["z"] != 0.0 and -SUNK <= o["z"] <= FLOATING:
+    parts = [o for o in room["objects"] if R.structural(o, room["source"])]
+    names = {o["id"] for o in parts}
+    rest = {**room, "objects": [o for o in room["objects"] if o["id"] not in names and not L.ends_as(o["kind"], "soft cover")]}
+    anchors = {i: (a, p) for i, a, p, _ in R.anchored(rest)}
+    every = [{**o, "anchor": anchors[o["id"]][0], "parent": anchors[o["id"]][1]} for o in rest["objects"]]
+    objects = carried(every)
+    generic = {o["id"] for o in objects if L.says_nothing(o["kind"])}
+    objects = without(objects, generic | {o["id"] for o in objects if not o["parent"] and o["z"] < -SUNK})
+    by = {o["id"]: o for o in objects}
+
+    def unheld(o):
+        parent = by.get(o["parent"])
+        if parent is None:
+            return True
+        above = o["z"] - parent["z"] - parent["h"]
+        floats = anchors[o["id"]] == ("object", o["parent"]) and above > R.TOL  # lowered onto it below
+        return not (floats or abs(above) <= R.TOL + G.EPS) or G.box_distance((o["x"], o["y"]), parent["x"], parent["y"], parent["w"], parent["d"], parent["yaw"]) > R.TOL + G.EPS
+
+    objects = without(objects, [o["id"] for o in objects if o["parent"] and unheld(o)])
+    frontless = {o["id"] for o in objects if o["frontless"]}
+    objects = without(objects, frontless)
+    kept = {o["id"] for o in objects}
+
+    def told(o):
+        stands = -SUNK <= o["z"] <= R.FLOOR or o["anchor"] == "fixed" or o["id"] in frontless
+        return o["id"] not in kept and not o["parent"] and o["h"] >= LOW and stands and not (L.hangs(o["kind"]) or L.is_art(o["kind"]))
+
+    what = lambda o: "generic" if o["id"] in generic else "frontless" if o["id"] in frontless else "floating" if o["anchor"] == "fixed" else "wall"
+    candidates = [*room["fixed"], *shown_structure(room, parts), *({**o, "what": what(o)} for o in every if told(o))]
+    fixed = list(worth_showing([{"what": "structure", **f} for f in candidates], objects, room)) if room["outline"] else candidates
+    shown_ids = kept | {f["id"] for f in fixed}
+    resting = {o["id"] for o in every if o["parent"]}
+    low = lambda o: o["z"] <= R.FLOOR and o["z"] + o["h"] >= LOW
+    left_out = [o for o in room["objects"] if o["id"] not in shown_ids and o["id"] not in resting and low(o) and not (L.hangs(o["kind"]) or L.is_art(o["kind"])) and room["outline"] and not leaves_no_hole(o, room)]
+    # heights: the floor, or the top of what carries an object; lowest first, so carriers are done before
+    done: dict = {}
+    snapped = []
+    for o in sorted(objects, key=lambda o: (bool(o["parent"]), o["z"])):
+        top = done[o["parent"]]["z"] + done[o["parent"]]["h"] if o["parent"] in done else 0.0
+        if o["parent"] and o["z"] - by[o["parent"]]["z"] - by[o["parent"]]["h"] > R.TOL:
+            flags.add("support_lowered")
+        if not o["parent"] and abs(o["z"]) > R.FLOOR:
             flags.add("z_snapped")
-            o["z"] = 0.0
-        if anchor == "floor" or (anchor == "object" and parent in kept):
-            if anchor == "object":
-                top = kept[parent]["z"] + kept[parent]["h"]
-                if o["z"] != top:
-                    flags.add("support_lowered")
-                o["z"] = top
-            kept[o["id"]] = o
-            objects.append(o)
-    out = {**room, "objects": objects}
-    _, wrong, share = R.checked(out)
-    for name, flag in (("outside", "oob_objects"), ("fixed_hits", "fixed_collision"), ("severe", "overlapping_furniture")):
-        if wrong[name]:
+        done[o["id"]] = {**o, "z": top}
+        snapped.append(done[o["id"]])
+    fixed = [{**f, "z": 0.0 if -R.FLOOR <= f["z"] <= R.FLOOR else f["z"]} for f in fixed]
+    out = {**room, "objects": snapped, "fixed": fixed}
+    _, wrong, _ = R.checked(out)
+    floor = G.area(room["outline"]) if room["outline"] else 0.0
+    if wrong["outside"] and room["outline"] and max(G.outside_by(p, room["outline"]) for o in snapped for p in R.ring_of(o)) > FAR:
+        flags.add("oob_far")
+    hidden = hidden_area(room, left_out, snapped, fixed)
+    tall = lambda o: not o["parent"] and not L.ends_as(o["kind"], "flat") and o["h"] >= 0.5
+    for flag, holds in (
+        ("oob_objects", wrong["outside"]),
+        ("fixed_collision", wrong["fixed_hits"]),
+        ("overlapping_furniture", wrong["severe"]),
+        ("hidden_obstacle", hidden >= HIDDEN),
+        ("small_area", floor and floor < 1.0),
+        ("room_filling_object", floor and any(tall(o) and o["w"] * o["d"] >= 0.8 * floor for o in snapped)),
+        ("single_object", len(snapped) == 1),
+        ("tilted", any(o["tilted"] for o in snapped)),
+        ("front_fixed", frontless),
+        ("height_dropped", room["height"] and any(o["z"] + o["h"] > room["height"] + R.TOL for o in snapped)),
+    ):
+        if holds:
             flags.add(flag)
-    floor = sum(G.area(R.ring_of(o)) for o in objects if o["anchor"] == "floor" and R.head(o["kind"]) not in R.FLAT)
-    if room["outline"] and G.area(room["outline"]) - floor < AREA:
-        flags.add("room_filling_object")
-    if len(objects) == 1:
-        flags.add("single_object")
+    if "height_dropped" in flags:
+        out["height"] = None
     return out, sorted(flags)
 
 
@@ -93,7 +242,7 @@ def canonical(room):
     seen: dict = {}
     names = {}
     for part, o in order:
-        slug = "_".join("".join(c if c.isalnum() else " " for c in o["kind"].split(",")[0].split("/")[0]).split()) or "object"
+        slug = "object" if L.says_nothing(o["kind"]) else L.plain(o["kind"]).replace(" ", "_")
         seen[slug] = seen.get(slug, 0) + 1
         names[part, o["id"]] = f"{slug}_{seen[slug]}"
     return {**room, "fixed": [{**o, "id": names[p, o["id"]]} for p, o in order if p == "fixed"], "objects": [{**o, "id": names[p, o["id"]], "parent": names.get(("object", o["parent"]))} for p, o in order if p == "object"]}
@@ -130,8 +279,6 @@ def prepare(raw: DataFrame) -> DataFrame:
             clean, flags = prepared(room)
             if not clean["objects"]:
                 return [(uid, source, house, "object_count", flags, 0, True, None, None, None, aliases, bool(meta.get("eval_only")), None, None)]
-            if any(o[1].get("tilted") for o in elements(value.get("objects")) if isinstance(o[1], dict)):
-                flags = sorted({*flags, "tilted"})
             return [(uid, source, house, None, flags, len(clean["objects"]), True, *R.keys_of(clean), R.copy_key(clean), aliases, bool(meta.get("eval_only")), *rendered(canonical(clean)))]
 
         return act

@@ -15,7 +15,8 @@ def box(name, x, y, z=0.0, size=(1.0, 1.0, 1.0), kind="box", **more):
 
 
 def record(objects, **more):
-    return {"group": "house_1", "boundary": [[0, 0], [5, 0], [5, 5], [0, 5]], "boundary_type": "polygon", "height": 3, "objects": objects, "meta": {"front_known": True, "n_incomplete": 0}, **more}
+    """A furnished corner room of 6.4 m by 4.8 m in the own form of records."""
+    return {"group": "villa-27", "boundary": [[0, 0], [6.4, 0], [6.4, 4.8], [0, 4.8]], "boundary_type": "polygon", "height": 2.6, "objects": objects, "meta": {"front_known": True, "n_incomplete": 0}, **more}
 
 
 def test_assignment_is_the_cheapest():
@@ -29,18 +30,75 @@ def test_assignment_is_the_cheapest():
 
 
 def test_reasons(spark):
-    good = [box("a", 1, 1), box("b", 1, 1, 1.02, (0.3, 0.3, 0.3))]
-    rows = {"ok": record(good), "front": record(good, meta={}), "open": record(good, meta={"front_known": True, "n_incomplete": 2}), "twice": record(good + good[:1]), "form": record(good, boundary_type="proxy"), "shape": record(good, boundary=[[0, 0], [1, 0], [2, 0]]), "number": record([box("a", 1, 1, size=(1, "x", 1))]), "none": record([])}
-    raw = spark.createDataFrame([("s", k, json.dumps(v), "x") for k, v in rows.items()] + [("s", "ok", json.dumps(json.dumps(rows["ok"])), "x"), ("s", "null", None, "x"), ("s", None, json.dumps(rows["ok"]), "x")], RAW)
+    crate = box("crate-7", 2.1, 1.4, size=(0.9, 0.7, 0.8), kind="crate")
+    vase = box("vase-1", 2.0, 1.5, 0.83, (0.2, 0.2, 0.3), "vase")
+    good = [crate, vase]
+    line = [[0, 0], [3, 0], [6, 0], [4, 0]]
+    rows = {
+        "sound": (record(good), None),
+        "front": (record(good, meta={"n_incomplete": 0}), "front_unknown"),
+        "gaps": (record(good, meta={"front_known": True, "n_incomplete": 3}), "incomplete_objects"),
+        "ids": (record([*good, vase]), "duplicate_source_ids"),
+        "form": (record(good, boundary_type="sketch"), "boundary"),
+        "line": (record(good, boundary=line), "boundary_shape"),
+        "tiny": (record(good, boundary=[[0, 0], [0.6, 0], [0.6, 0.6], [0, 0.6]]), "boundary_shape"),
+        "height": (record(good, height=-2), "bad_numbers"),
+        "word": (record([{**crate, "size": [0.9, "wide", 0.8]}]), "bad_numbers"),
+        "bare": (record([]), "object_count"),
+    }
+    raw = spark.createDataFrame([("s", k, json.dumps(v), "x") for k, (v, _) in rows.items()] + [("s", "sound", json.dumps(json.dumps(rows["sound"][0])), "x"), ("s", "null", None, "x"), ("s", None, json.dumps(rows["sound"][0]), "x")], RAW)
     got = {r.uid: r for r in curate.prepare(raw).collect()}
-    assert {k: r.reason for k, r in got.items()} == {"ok": None, "front": "front_unknown", "open": "incomplete_objects", "twice": "duplicate_source_ids", "form": "boundary", "shape": "boundary_shape", "number": "bad_numbers", "none": "object_count"}
-    assert got["ok"].flags == ["support_lowered"] and got["ok"].objects == 2
-    answer = json.loads(got["ok"].assistant)["placements"]
-    assert answer[1]["on"] == answer[0]["id"] == "box_1" and answer[1]["pos"] == [1, 1, 1]
-    assert [o["id"] for o in json.loads(got["ok"].user)["objects"]] == ["box_1", "box_2"]
+    assert {k: r.reason for k, r in got.items()} == {k: reason for k, (_, reason) in rows.items()}
+    assert got["sound"].flags == [] and got["sound"].objects == 2
+    answer = json.loads(got["sound"].assistant)["placements"]
+    assert answer[1]["on"] == answer[0]["id"] == "crate_1" and answer[1]["pos"] == [2, 1.5, 0.8]
+    assert [o["id"] for o in json.loads(got["sound"].user)["objects"]] == ["crate_1", "vase_1"]
     assert curate.prepare(raw.limit(0)).count() == 0
 
 
+def prepared(*objects, fixed=(), **more):
+    room, flags = curate.prepared(R.read_room(json.dumps(record(list(objects), fixed=list(fixed), **more))))
+    return {o["id"]: o for o in room["objects"]}, {f["id"]: f["what"] for f in room["fixed"]}, flags
+
+
+def test_parts_of_the_building_are_told_or_left_out():
+    door = box("d", 3.0, 0.0, 0, (1.0, 0.1, 2.0), "door")
+    inner_wall = box("w", 3.0, 2.4, 0, (2.0, 0.2, 2.5), "wall")
+    own_wall = box("o", 3.2, 4.8, 0, (6.4, 0.1, 2.5), "wall")
+    beam = box("b", 3.0, 2.0, 2.2, (3.0, 0.2, 0.2), "ceiling beam")
+    skirting = box("k", 0.05, 2.0, 0, (0.1, 3.0, 0.2), "baseboard")
+    objects, fixed, flags = prepared(door, inner_wall, own_wall, beam, skirting, box("a", 1, 1, kind="desk"))
+    assert set(objects) == {"a"} and fixed == {"d": "structure", "w": "structure"} and flags == ["single_object"]
+    lamp = box("l", 4, 2, 0, (0.3, 0.3, 1.5), "floor lamp")
+    assert set(prepared(lamp, box("a", 1, 1, kind="desk"))[0]) == {"l", "a"}
+
+
+def test_what_cannot_be_placed_is_told_as_fixed():
+    objects, fixed, flags = prepared(box("g", 4, 2, kind="unknown"), box("n", 2, 3, kind="cabinet", front_known=False), box("v", 5.5, 4.3, 0.4, (0.8, 0.5, 0.5), "vanity cabinet"), box("t", 1, 1, kind="table"))
+    assert set(objects) == {"t"} and fixed == {"g": "generic", "n": "frontless", "v": "floating"} and flags == ["front_fixed", "single_object"]
+    # a second box of a placed object isn't told, and what stands on a dropped one goes with it
+    objects, fixed, _ = prepared(box("t", 2, 2, kind="table"), box("g", 2, 2, 0, (0.9, 0.9, 0.9), "object"), box("c", 4, 3, kind="unknown"), box("e", 4, 3, 1.0, (0.2, 0.2, 0.2), "cup"))
+    assert set(objects) == {"t"} and fixed == {"c": "generic"}
+
+
+def test_heights_are_snapped():
+    objects, _, flags = prepared(box("s", 2, 2, 0.42, (2.0, 0.9, 0.8), "sofa"), box("p", 5, 3, kind="plant"))
+    assert objects["s"]["z"] == 0 and flags == ["z_snapped"]
+    # over a box it would sink into, it is put on that box instead
+    objects, _, flags = prepared(box("b", 2, 2, 0, (2.2, 1.2, 0.3), "platform"), box("s", 2, 2, 0.42, (2.0, 0.9, 0.8), "sofa"))
+    assert (objects["s"]["parent"], objects["s"]["z"]) == ("b", 0.3) and flags == ["support_lowered"]
+    assert set(prepared(box("s", 2, 2, -0.4, kind="sofa"), box("p", 5, 3, kind="plant"))[0]) == {"p"}
+
+
+def test_flags():
+    desk = box("a", 1, 1, kind="desk")
+    assert "oob_far" in prepared(desk, box("x", 8, 2, kind="desk"))[2]
+    assert "hidden_obstacle" in prepared(desk, box("x", 4, 3, -0.35, (1.2, 1.2, 1.2), "sofa"))[2]
+    assert prepared(desk, box("r", 4, 3, 0, (2, 2, 0.01), "rug"), box("u", 4, 3, 0, (1, 2, 0.5), "duvet"))[2] == []
+    assert "height_dropped" in prepared(desk, box("x", 4, 3, 0, (1, 1, 2.9), "wardrobe"))[2]
+    assert "room_filling_object" in prepared(box("x", 3.2, 2.4, 0, (6.2, 4.7, 2.0), "kitchen"))[2]
+
+
 def test_canonical_is_stable():
     room = R.read_room(json.dumps(record([box("x", 1, 1), box("y", 3, 3, size=(2, 1, 1), kind="desk, wide"), box("z", 2, 4)])))
     shuffled = {**room, "objects": room["objects"][::-1]}
