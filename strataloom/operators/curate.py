@@ -312,7 +312,7 @@ SCORES = "output_id string, uid string, state string, objects int, outside int,
 
 def scored(answers: DataFrame, rooms: DataFrame) -> DataFrame:
     """Checks of every distinct answer, and the mean distance of its objects from the target, as labelled and after matching like with like."""
-    asked = rooms.where("uid is not null").groupBy("uid").agg(F.min("request").alias("request"), F.min("target").alias("target"))
+    asked = rooms.where("uid is not null").select("uid", "request", "target").distinct()
     both = answers.select("output_id", "uid", "raw").distinct().join(asked, "uid").select("output_id", "uid", "raw", "request", "target")
 
     def make():
@@ -345,7 +345,7 @@ def scored(answers: DataFrame, rooms: DataFrame) -> DataFrame:
 
         return act
 
-    return map_records(both, SCORES, make, 1024)
+    return map_records(both, SCORES, make, 1024).distinct()
 
 
 def assignment(cost):

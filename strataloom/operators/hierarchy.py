@@ -15,7 +15,8 @@ locality with more nodes than that is salted over several tasks. Nothing is sent
 
 Defined cases: a NULL or unknown parent is no link; several rows of one node keep the smallest
 non-null parent; a node linking to itself is a circle; nodes that hang on a circle never end
-either: their root is '' and their depth -1, their path is empty; rows with a NULL node are dropped as no node.
+either: their root is '' and their depth -1, their path is empty (``circle_states`` tells them from those on it); rows with a NULL node are dropped as no node.
+A level of at most ``fragment_rows`` nodes is one fragment of one task; the answers don't depend on it.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from strataloom.functions.jsontext import elements, id_text, read_json
 from strataloom.operators.nested import own_id
 from strataloom.runtime import as_batch, cut, map_records, shuffle_width, spread
 
-FRAGMENT_ROWS = 100_000
+FRAGMENT_ROWS = 50_000
 LOCAL = T.StructType()
 for _name in ("g", "n", "parent"):
     LOCAL.add(_name, T.StringType())
@@ -211,3 +212,24 @@ def _resolve(links: DataFrame, rows: int, group: str, node: str) -> DataFrame:
 def descendants(resolved: DataFrame, group: str, node: str) -> DataFrame:
     """(group, ancestor, descendant, distance) for every pair on a path; the size of the result is the sum of the depths."""
     return resolved.where("depth > 0").select(group, F.col(node).alias("descendant"), F.col("depth"), F.posexplode("path").alias("at", "ancestor")).where("at < depth").select(group, "ancestor", "descendant", (F.col("depth") - F.col("at")).cast("int").alias("distance"))
+
+
+def circle_states(resolved: DataFrame, edges: DataFrame, group: str, node: str, parent: str) -> DataFrame:
+    """(group, node, state) of nodes whose links never end: ``circle`` on a circle, ``below_circle`` where it only hangs on one.
+
+    The links of these nodes are doubled until their targets no longer get fewer: links of that length lead onto circles only, and onto all of them.
+    Rounds grow with the logarithm of the longest tail, not of the circles.
+    """
+    caught = resolved.where("depth < 0").select(F.col(group).alias("g"), F.col(node).alias("n"))
+    links = cut(caught.join(edges.select(F.col(group).alias("g"), F.col(node).alias("n"), F.col(parent).alias("to")), ["g", "n"]).groupBy("g", "n").agg(F.min("to").alias("to")))
+    ends = links.select("g", F.col("to").alias("n")).distinct()
+    jumps, left = links, links.count()
+    while True:
+        now = ends.count()
+        if now == left:
+            break
+        left = now
+        jumps = cut(jumps.join(jumps.select("g", F.col("n").alias("to"), F.col("to").alias("next")), ["g", "to"]).select("g", "n", F.col("next").alias("to")))
+        ends = jumps.select("g", F.col("to").alias("n")).distinct()
+    on = ends.withColumn("state", F.lit("circle"))
+    return links.join(on, ["g", "n"], "left").select(F.col("g").alias(group), F.col("n").alias(node), F.coalesce("state", F.lit("below_circle")).alias("state"))

@@ -23,12 +23,13 @@ def boxes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def room_overlap(spark: SparkSession, root: str) -> DataFrame:
-    """Share of the footprint of a room that overlaps, and its collisions (overlap in height too)."""
+    """Share of the footprint of a room that overlaps, in whole millionths (rounded half up on whole numbers), and its collisions (overlap in height too)."""
     b = boxes(spark, root)
     pairs = R.overlapping_pairs(b.drop("area"), "room", "box", 200, keep=["z0", "z1"])
     tall = F.least("z1_a", "z1_b") - F.greatest("z0_a", "z0_b") > 5
     per = pairs.groupBy("room").agg(F.sum("area").alias("shared"), F.count(F.when(tall & (F.col("area") > 100), 1)).alias("collisions"))
-    return b.groupBy("room").agg(F.sum("area").alias("whole"), F.count(F.lit(1)).alias("boxes")).join(per, "room", "left").select("room", "boxes", F.coalesce("collisions", F.lit(0)).alias("collisions"), F.round(F.coalesce("shared", F.lit(0)) / F.col("whole"), 6).alias("overlap"))
+    both = b.groupBy("room").agg(F.sum("area").alias("whole"), F.count(F.lit(1)).alias("boxes")).join(per, "room", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    return both.select("room", "boxes", F.coalesce("collisions", F.lit(0)).alias("collisions"), F.expr("(shared * 2000000 + whole) div (2 * whole)").alias("overlap_millionths"))
 
 
 def same_kind_overlap(spark: SparkSession, root: str) -> DataFrame:
@@ -52,7 +53,7 @@ def support_below(spark: SparkSession, root: str) -> DataFrame:
 def support_chains(spark: SparkSession, root: str) -> DataFrame:
     """Root and depth of every part, if part k rests on part k / 3."""
     edges = table(spark, root, "part").select(F.lit("all").alias("g"), F.col("p_partkey").cast("string").alias("n"), F.when(F.col("p_partkey") % 7 != 0, F.floor(F.col("p_partkey") / 3)).cast("string").alias("p"))
-    done = hierarchy.resolve(edges, "g", "n", "p", fragment_rows=500)
+    done = hierarchy.resolve(edges, "g", "n", "p")
     return done.select(F.col("n").cast("long").alias("part"), F.col("root_id").cast("long").alias("top"), F.col("depth").cast("long").alias("depth"))
 
 
@@ -65,36 +66,27 @@ def drop_dependants(spark: SparkSession, root: str) -> DataFrame:
 
 
 def nearest_size(spark: SparkSession, root: str) -> DataFrame:
-    """For each part the nearest other part of its name, by the sum of log ratios; candidates meet in bands of size."""
-    parts = table(spark, root, "part").select("p_partkey", "p_name", F.log(F.col("p_size").cast("double")).alias("a"), F.log("p_retailprice").alias("b"))
-    asked = parts.where("p_partkey % 5 = 0")
-    pool = parts.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("ref"), "p_name", F.col("a").alias("a2"), F.col("b").alias("b2"))
-    met = R.banded_join(asked, pool, ["p_name"], "a", "a2", 0.25)
-    cost = F.round(F.abs(F.col("a") - F.col("a2")) + F.abs(F.col("b") - F.col("b2")), 9)
-    return R.best_candidate(met.withColumn("cost", cost), ["p_partkey"], F.struct("cost", "ref"), ["ref", "cost"])
-
-
-def nearest_size_whole(spark: SparkSession, root: str) -> DataFrame:
-    """For every part the nearest other part of its name, by the sum of log ratios."""
+    """For every part the nearest other part of its name, by the sum of log ratios; the search widens until each nearest is proven."""
     return R.nearest_by_log_size(table(spark, root, "part"), "p_partkey", "p_name", ("p_size", "p_retailprice"))
 
 
 def offset_votes(spark: SparkSession, root: str) -> DataFrame:
-    """The shift between two sets of placements that most pairs of one asset agree on, and the pairs near it."""
-    left = table(spark, root, "supplier").select(F.col("s_nationkey").alias("asset"), F.floor("s_acctbal").alias("x"))
-    right = table(spark, root, "customer").where("c_custkey < 400").select(F.col("c_nationkey").alias("asset"), F.floor("c_acctbal").alias("x2"))
-    shifts = left.join(right, "asset").groupBy((F.floor((F.col("x2") - F.col("x")) / 50) * 50).alias("shift")).agg(F.count(F.lit(1)).alias("votes"))
-    return shifts.agg(F.max_by("shift", F.struct("votes", -F.col("shift"))).alias("shift"), F.max("votes").alias("votes"), F.count(F.lit(1)).alias("shifts"))
-
-
-def offset_votes_whole(spark: SparkSession, root: str) -> DataFrame:
-    """The shift between all placements of two sets that most of the first agree on, within 25 of it (the reach of a bin of offset_votes)."""
+    """The shift between all placements of two sets that most of the first agree on, within 25 of it; ties go to the smaller shift."""
     left = table(spark, root, "supplier").select(F.col("s_nationkey").alias("asset"), F.floor("s_acctbal").alias("x"))
     right = table(spark, root, "customer").select(F.col("c_nationkey").alias("asset"), F.floor("c_acctbal").alias("x2"))
     votes = R.shift_votes(left, right, "asset", "x", "x2", 25)
     return votes.agg(F.max_by("shift", F.struct("votes", -F.col("shift"))).alias("shift"), F.max("votes").alias("votes"), F.count(F.lit(1)).alias("shifts"))
 
 
+def line_forest(spark: SparkSession, root: str) -> DataFrame:
+    """Trees of all order lines in one locality, larger than a fragment: a line rests on the line before it, the first of an order on the first of order k / 3."""
+    lines = table(spark, root, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("n")).distinct()
+    name = lambda order, n: F.concat_ws("-", order.cast("string"), n.cast("string"))
+    up = F.when(F.col("n") > 1, name(F.col("l_orderkey"), F.col("n") - 1)).otherwise(name(F.floor(F.col("l_orderkey") / 3), F.lit(1)))
+    done = hierarchy.resolve(lines.select(F.lit("all").alias("g"), name(F.col("l_orderkey"), F.col("n")).alias("line"), up.alias("up")), "g", "line", "up")
+    return done.select("line", "root_id", F.col("depth").cast("long").alias("depth"))
+
+
 def reject_reasons(spark: SparkSession, root: str) -> DataFrame:
     """First rule that refuses a line, counted."""
     reason = F.when(F.col("l_quantity").isNull(), "bad_numbers").when(F.col("l_extendedprice") <= 0, "bad_numbers").when(F.col("l_quantity") > 48, "object_count").when(F.col("l_discount") >= 0.1, "flagged:discount").when((F.col("l_returnflag") == "R") & (F.col("l_tax") > 0.06), "flagged:return")
@@ -183,20 +175,21 @@ def shared_cells(spark: SparkSession, root: str) -> DataFrame:
     return filled.groupBy("room").agg(F.count(F.lit(1)).alias("cells"), F.count(F.when(F.col("held") > 1, 1)).alias("shared"))
 
 
-QUERIES = {f.__name__: f for f in (room_overlap, same_kind_overlap, support_below, support_chains, drop_dependants, nearest_size, nearest_size_whole, offset_votes, offset_votes_whole, reject_reasons, flag_filter, mask_journal, unique_keys, id_sets, height_conflicts, range_conflicts, full_reconciliation, patch_overlay, aligned_arrays, positional_zip, shared_cells)}
+QUERIES = {f.__name__: f for f in (room_overlap, same_kind_overlap, support_below, support_chains, drop_dependants, nearest_size, offset_votes, line_forest, reject_reasons, flag_filter, mask_journal, unique_keys, id_sets, height_conflicts, range_conflicts, full_reconciliation, patch_overlay, aligned_arrays, positional_zip, shared_cells)}
 
 _B = """WITH l AS (SELECT DISTINCT l_orderkey, CAST(l_linenumber AS BIGINT) AS ln, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
 , b AS (SELECT l_orderkey AS room, format('{}-{}-{}-{}', ln, l_partkey, l_suppkey, q) AS box, l_partkey % 11 AS kind, l_partkey * 7 % 500 AS x0, l_suppkey * 13 % 400 AS y0, l_partkey * 7 % 500 + 20 + q * 2 AS x1, l_suppkey * 13 % 400 + 20 + ln * 10 AS y1, l_partkey % 3 * 40 AS z0, l_partkey % 3 * 40 + 40 + ln * 5 AS z1, (20 + q * 2) * (20 + ln * 10) AS area FROM l)
 , p AS (SELECT a.room, a.box AS box_a, b.box AS box_b, a.kind AS kind_a, b.kind AS kind_b, a.area AS size_a, b.area AS size_b, a.z0 AS z0_a, a.z1 AS z1_a, b.z0 AS z0_b, b.z1 AS z1_b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS area FROM b a JOIN b ON a.room = b.room AND a.box < b.box AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0))"""
 _CHAIN = "WITH RECURSIVE e AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey // 3 END AS p, p_size = 13 AS bad FROM part)"
 ORACLES = {
-    "room_overlap": _B + ", s AS (SELECT room, sum(area) AS shared, count(*) FILTER (least(z1_a, z1_b) - greatest(z0_a, z0_b) > 5 AND area > 100) AS collisions FROM p GROUP BY 1), w AS (SELECT room, sum(area) AS whole, count(*) AS boxes FROM b GROUP BY 1) SELECT room, boxes, coalesce(collisions, 0) AS collisions, round(CAST(coalesce(shared, 0) AS DOUBLE) / CAST(whole AS DOUBLE), 6) AS overlap FROM w LEFT JOIN s USING (room)",
+    "room_overlap": _B + ", s AS (SELECT room, sum(area) AS shared, count(*) FILTER (least(z1_a, z1_b) - greatest(z0_a, z0_b) > 5 AND area > 100) AS collisions FROM p GROUP BY 1), w AS (SELECT room, sum(area) AS whole, count(*) AS boxes FROM b GROUP BY 1) SELECT room, boxes, coalesce(collisions, 0) AS collisions, CAST((coalesce(shared, 0) * 2000000 + whole) // (2 * whole) AS BIGINT) AS overlap_millionths FROM w LEFT JOIN s USING (room)",
     "same_kind_overlap": _B + " SELECT room, box_a, box_b, area FROM p WHERE kind_a = kind_b AND area > 0.3 * least(size_a, size_b) AND greatest(size_a, size_b) <= 3 * least(size_a, size_b)",
     "support_below": _B + ", c AS (SELECT room, box_a AS box, z0_a AS bottom, size_a AS size, box_b AS support, z1_b AS top, area FROM p UNION ALL SELECT room, box_b, z0_b, size_b, box_a, z1_a, area FROM p), f AS (SELECT * FROM c WHERE abs(bottom - top) <= 15 AND bottom > 0 AND area * 2 >= size) SELECT room, box, first(support ORDER BY top DESC, support DESC) AS support, max(top) AS top FROM f GROUP BY 1, 2",
     "support_chains": _CHAIN + ", r AS (SELECT n, n AS top, CAST(0 AS BIGINT) AS depth FROM e WHERE p IS NULL UNION ALL SELECT e.n, r.top, r.depth + 1 FROM r JOIN e ON e.p = r.n) SELECT n AS part, top, depth FROM r",
     "drop_dependants": _CHAIN + ", g AS (SELECT n FROM e WHERE bad UNION SELECT e.n FROM g JOIN e ON e.p = g.n) SELECT count(*) AS kept, CAST(sum(n) AS BIGINT) AS checksum FROM e WHERE n NOT IN (SELECT n FROM g)",
-    "nearest_size": "WITH c AS (SELECT a.p_partkey, b.p_partkey AS ref, round(abs(ln(a.p_size) - ln(b.p_size)) + abs(ln(a.p_retailprice) - ln(b.p_retailprice)), 9) AS cost FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey % 5 = 0 AND b.p_partkey % 5 <> 0 AND abs(ln(a.p_size) - ln(b.p_size)) <= 0.25) SELECT p_partkey, first(ref ORDER BY cost, ref) AS ref, min(cost) AS cost FROM c GROUP BY 1",
-    "offset_votes": "WITH s AS (SELECT CAST(floor((floor(c_acctbal) - floor(s_acctbal)) / 50) * 50 AS BIGINT) AS shift, count(*) AS votes FROM supplier JOIN customer ON s_nationkey = c_nationkey AND c_custkey < 400 GROUP BY 1) SELECT first(shift ORDER BY votes DESC, shift) AS shift, max(votes) AS votes, count(*) AS shifts FROM s",
+    "nearest_size": "WITH c AS (SELECT a.p_partkey, b.p_partkey AS ref, round(abs(ln(a.p_size) - ln(b.p_size)) + abs(ln(a.p_retailprice) - ln(b.p_retailprice)), 9) AS cost FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey) SELECT p_partkey, first(ref ORDER BY cost, ref) AS ref, min(cost) AS cost FROM c GROUP BY 1",
+    "offset_votes": "WITH a AS (SELECT s_suppkey AS k, s_nationkey AS asset, floor(s_acctbal) AS x FROM supplier), b AS (SELECT DISTINCT c_nationkey AS asset, floor(c_acctbal) AS x2 FROM customer), m AS (SELECT k, x2 - x AS d FROM a JOIN b USING (asset)), c AS (SELECT DISTINCT d AS shift FROM m), v AS (SELECT DISTINCT k, d + o AS shift FROM m, (SELECT unnest(range(-24, 25)) AS o)), s AS (SELECT c.shift, count(*) AS votes FROM c JOIN v ON v.shift = c.shift GROUP BY 1) SELECT CAST(first(shift ORDER BY votes DESC, shift) AS BIGINT) AS shift, max(votes) AS votes, count(*) AS shifts FROM s",
+    "line_forest": "WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS n FROM lineitem), e AS (SELECT o || '-' || n AS line, CASE WHEN n > 1 THEN o || '-' || (n - 1) ELSE (o // 3) || '-1' END AS up FROM l), r AS (SELECT line, line AS root_id, CAST(0 AS BIGINT) AS depth FROM e WHERE up NOT IN (SELECT line FROM e) UNION ALL SELECT e.line, r.root_id, r.depth + 1 FROM r JOIN e ON e.up = r.line) SELECT * FROM r",
     "reject_reasons": "SELECT CASE WHEN l_quantity IS NULL OR l_extendedprice <= 0 THEN 'bad_numbers' WHEN l_quantity > 48 THEN 'object_count' WHEN l_discount >= 0.1 THEN 'flagged:discount' WHEN l_returnflag = 'R' AND l_tax > 0.06 THEN 'flagged:return' ELSE 'kept' END AS reason, count(*) AS n FROM lineitem GROUP BY 1",
     "flag_filter": "SELECT source, count(*) AS kept FROM documents WHERE NOT coalesce(n_chars > 800, false) AND lang IS NOT NULL GROUP BY 1",
     "mask_journal": "WITH c AS (SELECT l_linestatus, 'position' AS field FROM lineitem WHERE l_discount >= 0 AND l_tax >= 0.07 UNION ALL SELECT l_linestatus, 'size' FROM lineitem WHERE l_quantity > 2 AND l_returnflag = 'R') SELECT l_linestatus, field, count(*) AS changes FROM c GROUP BY 1, 2",

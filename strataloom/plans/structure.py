@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.operators import hierarchy, nested
-from strataloom.runtime import table
+from strataloom.runtime import checkpoint_dir, cut, table
 
 OBJECT = "category string, size array<double>, pos array<double>, yaw double, anchor string, parent string, desc string"
+#: Schema of the payload of each tag.
+TAGS = {"objects": OBJECT, "fixed": OBJECT, "request": "category string, size array<double>, desc string", "placements": "pos array<double>, yaw double, `on` string"}
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -20,10 +24,26 @@ def p1_links(spark: SparkSession, root: str) -> DataFrame:
     return nested.emit_all(table(spark, root, "raw"), table(spark, root, "selected"), payload=True)
 
 
+def _stored(spark: SparkSession, root: str) -> str:
+    """All flat tables, written once by tag into the shared folder; the path."""
+    path = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+    nested.write_tables(p1_links(spark, root), path)
+    return path
+
+
 def p1_objects(spark: SparkSession, root: str) -> DataFrame:
-    """The typed table of the tag ``objects``."""
-    rows = nested.emit(table(spark, root, "raw"), "uid", "row", "scene").distinct()
-    return nested.apply_schema(rows, "objects", OBJECT)
+    """The typed table of the tag ``objects``, read back from the tables written by tag."""
+    return nested.read_table(spark, _stored(spark, root), "objects", OBJECT)
+
+
+def p1_tables(spark: SparkSession, root: str) -> DataFrame:
+    """Elements and records of each flat table, after all were written by tag and read back under their schemas."""
+    path = _stored(spark, root)
+    parts = [nested.read_table(spark, path, tag, schema).groupBy(F.lit(tag).alias("tag")).agg(F.count_distinct("record_key", "parent_key", "pk").alias("elements"), F.count_distinct("record_key").alias("records")) for tag, schema in TAGS.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -41,11 +61,17 @@ def p4_descendants(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_circles(spark: SparkSession, root: str) -> DataFrame:
-    """Objects per room that never reach a root."""
+    """Objects whose links never end: on a circle, or only hanging on one."""
+    edges = cut(hierarchy.room_edges(table(spark, root, "rooms")))
+    return hierarchy.circle_states(hierarchy.resolve_checked(edges, "uid", "object_id", "parent_id"), edges, "uid", "object_id", "parent_id")
+
+
+def p4_rooms(spark: SparkSession, root: str) -> DataFrame:
+    """Objects per room: all, those that never reach a root, and the greatest depth."""
     return p4_paths(spark, root).groupBy("uid").agg(F.count(F.when(F.col("depth") < 0, 1)).alias("caught"), F.count(F.lit(1)).alias("objects"), F.max("depth").alias("deepest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_objects, p4_found, p4_paths, p4_descendants, p4_circles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_objects, p1_tables, p4_found, p4_paths, p4_descendants, p4_circles, p4_rooms)}
 # SQL of the hierarchies: the links, then a recursive walk down from the roots
 _WALK = """
     WITH RECURSIVE r AS (SELECT DISTINCT uid, request, target, parents FROM rooms)
@@ -80,5 +106,7 @@ ORACLES = {
     "p4_found": _WALK + " SELECT uid, object_id, root_id, depth FROM f",
     "p4_paths": _WALK + " SELECT uid, object_id, root_id, depth, path FROM f",
     "p4_descendants": _WALK + ", d AS (SELECT uid, object_id AS descendant, depth, path, unnest(range(0, depth)) AS n FROM f WHERE depth > 0) SELECT uid, path[n + 1] AS ancestor, descendant, CAST(depth - n AS INTEGER) AS distance FROM d",
-    "p4_circles": _WALK + " SELECT uid, count(*) FILTER (depth < 0) AS caught, count(*) AS objects, max(depth) AS deepest FROM f GROUP BY 1",
+    "p1_tables": _ELEMENTS + " SELECT section AS tag, count(DISTINCT {'a': uid, 'b': holder, 'c': own}) AS elements, count(DISTINCT uid) AS records FROM w WHERE own IS NOT NULL GROUP BY 1",
+    "p4_circles": _WALK + ", c AS (SELECT k.uid, k.id, k.p FROM k JOIN f ON f.uid = k.uid AND f.object_id = k.id AND f.depth < 0), s(uid, id, spot) AS (SELECT uid, id, p FROM c UNION SELECT s.uid, s.id, c.p FROM s JOIN c ON c.uid = s.uid AND c.id = s.spot) SELECT uid, id AS object_id, CASE WHEN bool_or(spot = id) THEN 'circle' ELSE 'below_circle' END AS state FROM s GROUP BY 1, 2",
+    "p4_rooms": _WALK + " SELECT uid, count(*) FILTER (depth < 0) AS caught, count(*) AS objects, max(depth) AS deepest FROM f GROUP BY 1",
 }

@@ -2,7 +2,7 @@
 
 Lineage is cut only with ``checkpoint()`` into the shared folder that the
 session names in ``spark.checkpoint.dir``; a folder of our own is used only
-where that setting is absent, as in local tests.
+where that setting is absent in a local session, as in tests.
 """
 
 from __future__ import annotations
@@ -42,12 +42,18 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints; taken from the session, made only where it is unset."""
+    """The folder for checkpoints, taken from the session.
+
+    Only a session on one machine may leave it unset, as tests do; elsewhere a folder of one machine would be lost with it, so that is refused.
+    """
     jsc = spark.sparkContext._jsc.sc()
     held = jsc.getCheckpointDir()
     if held.isDefined():
         return held.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="strataloom-ckpt-"))
     return jsc.getCheckpointDir().get()
 

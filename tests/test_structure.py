@@ -93,6 +93,25 @@ def test_room_edges(spark):
     assert len(got) == 15
 
 
+def test_circle_states_against_brute_force(spark):
+    pick = random.Random(4)
+    for n in (12, 60):
+        links = {f"n{i}": f"n{pick.randrange(n)}" if pick.random() < 0.9 else None for i in range(n)} | {"a0": "a0", **{f"a{i}": f"a{i - 1}" for i in range(1, 9)}}
+        edges = spark.createDataFrame([(g, k, v) for g in ("g", "h") for k, v in links.items()], "g string, n string, p string")
+        want = set()
+        for node in links:
+            trail, at = [], node
+            while at is not None and at not in trail:
+                trail.append(at)
+                at = links[at]
+            if at is not None:
+                want.add((node, "circle" if at == node else "below_circle"))
+        got = hierarchy.circle_states(hierarchy.resolve(edges, "g", "n", "p"), edges, "g", "n", "p").collect()
+        assert {(r.n, r.state) for r in got if r.g == "h"} == want and len(got) == 2 * len(want)
+    none = edges.limit(0)
+    assert hierarchy.circle_states(hierarchy.resolve(none, "g", "n", "p"), none, "g", "n", "p").count() == 0
+
+
 def test_descendants(spark):
     edges = spark.createDataFrame([("g", "a", None), ("g", "b", "a"), ("g", "c", "b"), ("g", "x", "x")], "g string, n string, p string")
     got = {tuple(r) for r in hierarchy.descendants(hierarchy.resolve(edges, "g", "n", "p"), "g", "n").collect()}
