@@ -3,7 +3,8 @@
 Texts of one size are alike, so the packing is found over the histogram of sizes, which has at most
 as many rows as the capacity: minimum bin slack. The largest size left opens a container; a bitset
 subset-sum over the other sizes left, with their counts, finds the sum closest to the room that
-remains, and the counts used are traced back. That pattern is repeated as often as the counts allow; patterns follow
+remains, and the counts used are traced back. Slack that even the least number of containers leaves is spread evenly: a fill that wastes no more than that ends the search,
+so small sizes aren't used up early. That pattern is repeated as often as the counts allow; patterns follow
 until nothing is left. The patterns then give every text its container: texts of a size are ranked by hash, and a
 rank falls into the slot of exactly one pattern.
 
@@ -31,11 +32,13 @@ from strataloom.runtime import cut, map_records
 PATTERN = "profile string, pattern long, repeats long, base long, size long, used long, first long"
 
 
-def fill(counts: dict[int, int], room: int) -> dict[int, int]:
-    """The multiset of sizes whose sum comes closest to ``room`` from below, as size -> count."""
+def fill(counts: dict[int, int], room: int, spare: int = 0) -> dict[int, int]:
+    """The multiset of sizes whose sum comes closest to ``room`` from below, as size -> count.
+
+    Sizes are taken in from the largest down; as soon as a sum within ``spare`` of the room is reached, smaller sizes aren't looked at and stay for later.
+    """
     reach, history, pieces = 1, [1], []
     limit = (1 << (room + 1)) - 1
-    goal = 1 << room
     for size in sorted((s for s in counts if s <= room), reverse=True):
         left, step = min(counts[size], room // size), 1
         while left > 0:
@@ -45,7 +48,7 @@ def fill(counts: dict[int, int], room: int) -> dict[int, int]:
             history.append(reach)
             left -= use
             step *= 2
-        if reach & goal:
+        if reach >> (room - min(spare, room)):
             break
     at, used = reach.bit_length() - 1, {}
     for i in range(len(pieces) - 1, -1, -1):
@@ -56,41 +59,41 @@ def fill(counts: dict[int, int], room: int) -> dict[int, int]:
     return used
 
 
-def descend(counts: dict[int, int], room: int) -> dict[int, int]:
-    """As many as fit of each size, largest first."""
-    used = {}
-    for size in sorted((s for s in counts if s <= room), reverse=True):
-        n = min(counts[size], room // size)
-        if n:
-            used[size] = n
-            room -= n * size
-    return used
-
-
-def patterns(histogram: dict[int, int], capacity: int, filling=fill):
+def patterns(histogram: dict[int, int], capacity: int):
     """(pattern, repeats) pairs that use up the histogram; pattern is size -> count in one container."""
     left = {s: n for s, n in histogram.items() if n > 0 and 0 < s <= capacity}
+    total = sum(s * n for s, n in left.items())
     while left:
+        # what the least number of containers leaves free anyway, for each of them: slack up to that costs no container
+        least = -(-total // capacity)
+        spare = (least * capacity - total) // least
         top = max(left)
         left[top] -= 1
-        used = filling({s: n for s, n in left.items() if n > 0}, capacity - top) if capacity > top else {}
+        used = fill({s: n for s, n in left.items() if n > 0}, capacity - top, spare) if capacity > top else {}
         left[top] += 1
         used[top] = used.get(top, 0) + 1
         times = min(left[s] // n for s, n in used.items())
         for s, n in used.items():
+            total -= s * n * times
             left[s] -= n * times
             if not left[s]:
                 del left[s]
         yield used, times
 
 
-def solution(histogram: dict[int, int], capacity: int):
-    """The patterns of minimum bin slack, or those of largest-first filling where that needs fewer containers.
-
-    Closest fills use the small sizes up early; where sizes are few and large, that can cost a container at the end.
-    """
-    slack, plain = list(patterns(histogram, capacity)), list(patterns(histogram, capacity, descend))
-    return slack if sum(t for _, t in slack) <= sum(t for _, t in plain) else plain
+def largest_first(histogram: dict[int, int], capacity: int):
+    """Patterns like those of ``patterns``, each of as many as fit of each size from the largest down. Not used by the queries: for histograms of few coarse sizes,
+    where closest fills use small sizes up early and may need some containers more."""
+    left = {s: n for s, n in histogram.items() if n > 0 and 0 < s <= capacity}
+    while left:
+        used, room = {}, capacity
+        for size in sorted(left, reverse=True):
+            if n := min(left[size], room // size):
+                used[size] = n
+                room -= n * size
+        times = min(left[s] // n for s, n in used.items())
+        left = {s: n - used.get(s, 0) * times for s, n in left.items() if n > used.get(s, 0) * times}
+        yield used, times
 
 
 def pieces(documents: DataFrame, bins: DataFrame) -> DataFrame:
@@ -113,7 +116,7 @@ def slots(items: DataFrame) -> DataFrame:
         rows = []
         for (profile, capacity), part in pdf.groupby(["profile", "capacity"]):
             start, base = {}, 0
-            for number, (used, times) in enumerate(solution({int(s): int(n) for s, n in zip(part["size"], part["n"])}, int(capacity))):
+            for number, (used, times) in enumerate(patterns({int(s): int(n) for s, n in zip(part["size"], part["n"])}, int(capacity))):
                 for size, n in used.items():
                     first = start.get(size, 1)
                     rows.append((profile, number, times, base, size, n, first))

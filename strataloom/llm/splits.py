@@ -11,8 +11,8 @@ over the size multiplicities picks the multiset whose total lies closest to each
 share. What is taken of each size is then handed to families in hash order.
 
 Scale: the histogram of sizes has at most sqrt(2n) rows for n records and is the only
-thing a single task sees; the bitset is held under ``MAX_BITS`` by taking equal parts of every
-size in bulk first. Components and joins are distributed, see operators.components.
+thing a single task sees; the bitset has two bits for each record of a goal, and no history of bitsets is kept: what was taken is
+found again by halves. Links and answers are resolved for each distinct house, so the rows of a hot house meet one row; components and joins are distributed, see operators.components.
 
 Defined cases: NULL, empty or unreadable rows count as rooms with the house number of the uid; a
 uid with less than three pieces and no group is its own house; rooms that are selected but not
@@ -32,7 +32,8 @@ from strataloom.operators.components import components
 from strataloom.operators.ranking import ranked
 from strataloom.runtime import cut, map_records, spread
 
-MAX_BITS = 1 << 22
+#: Rows of one key that meet one row of a table before they are spread.
+HEAVY = 200_000
 _DIGITS = re.compile(r"[0-9]+")
 _OTHER = re.compile(r"[\W_]+")
 _ZEROS = re.compile(r"(?<![0-9])0+(?=[0-9])")
@@ -93,7 +94,15 @@ def families(raw: DataFrame, selected: DataFrame) -> DataFrame:
     chosen = selected_splits(selected)
     homes = one.groupBy("uid").agg(F.min("house").alias("house"), F.min("source").alias("source"))
     placed = chosen.join(homes, "uid", "left").withColumn("house", F.coalesce("house", F.concat(F.lit("u|"), "uid")))
-    return placed.join(roots.withColumnRenamed("node", "house"), "house", "left").select("uid", "split", "source", F.coalesce("root", "house").alias("family"))
+    return salted_lookup(placed, roots.withColumnRenamed("node", "house"), "house").select("uid", "split", "source", F.coalesce("root", "house").alias("family"))
+
+
+def salted_lookup(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Left join of rows to a table with one row a key. Keys of more than HEAVY rows are spread: their rows over salts, their one row copied to each salt."""
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HEAVY).select(key, F.ceil(F.col("_n") / HEAVY).cast("int").alias("_salts"))
+    spread_rows = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.floor(F.rand(7) * F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")  # at most one key for HEAVY rows
+    copied = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return spread_rows.join(copied, [key, "_salt"], "left").drop("_salt")
 
 
 def broken(placed: DataFrame) -> DataFrame:
@@ -102,50 +111,76 @@ def broken(placed: DataFrame) -> DataFrame:
     return placed.join(torn, "family").select("uid", "family_uid").distinct()
 
 
-def closest(sizes: dict[int, int], goal: int, max_bits: int = MAX_BITS) -> dict[int, int]:
-    """How many of each size to take so that their total lies as close to ``goal`` as can be.
-
-    Exact by a bitset over sums and binary pieces of the multiplicities, up to ``max_bits``;
-    beyond that equal parts of every size are taken first, and the rest is solved exactly.
-    """
-    taken = dict.fromkeys(sizes, 0)
-    total = sum(s * n for s, n in sizes.items())
-    goal = max(0, min(goal, total))
-    if goal > max_bits:
-        part = (goal - max_bits // 2) / total
-        taken = {s: int(n * part) for s, n in sizes.items()}
-        goal -= sum(s * n for s, n in taken.items())
-    pieces = []
+def binary_parts(sizes: dict[int, int], most: int) -> list[tuple[int, int]]:
+    """(size, families) pieces of 1, 2, 4, ... families, largest sizes first; together they give every multiplicity up to a total of ``most``."""
+    out = []
     for s, n in sorted(sizes.items(), reverse=True):
-        left, step = min(n - taken[s], 2 * goal // s if s else 0), 1
+        left, step = min(n, most // s if s else 0), 1
         while left > 0:
-            use = min(step, left)
-            pieces.append((s, use))
-            left -= use
+            out.append((s, min(step, left)))
+            left -= out[-1][1]
             step *= 2
-    limit = (1 << (2 * goal + 1)) - 1
-    reach, history = 1, [1]
-    for s, use in pieces:
-        reach |= (reach << (s * use)) & limit
-        history.append(reach)
-    under = reach & ((1 << (goal + 1)) - 1)
-    low = under.bit_length() - 1
+    return out
+
+
+def sums(pieces: list[tuple[int, int]], most: int) -> int:
+    """Bitset of the totals up to ``most`` that subsets of the pieces reach."""
+    reach, limit = 1, (1 << (most + 1)) - 1
+    for s, n in pieces:
+        reach |= (reach << (s * n)) & limit
+    return reach
+
+
+def mirrored(bits: int, top: int) -> int:
+    """Bit i of a bitset at top - i."""
+    return int(f"{bits:0{top + 1}b}"[::-1][: top + 1], 2)
+
+
+def chosen_pieces(pieces: list[tuple[int, int]], total: int) -> list[tuple[int, int]]:
+    """Pieces that sum up to a reachable total, by halves: no bitset but those of two halves is held, and the totals of the halves add up to the total."""
+    work, out = [(pieces, total)], []
+    while work:
+        some, at = work.pop()
+        if not at:
+            continue
+        if len(some) == 1:
+            out.extend(some)
+            continue
+        half = len(some) // 2
+        left, right = sums(some[:half], at), sums(some[half:], at)
+        both = left & mirrored(right, at)
+        share = (both & -both).bit_length() - 1
+        work += [(some[:half], share), (some[half:], at - share)]
+    return out
+
+
+def closest(sizes: dict[int, int], goal: int) -> dict[int, int]:
+    """How many of each size to take so that their total lies as close to ``goal`` as can be; the smaller total of two as close.
+
+    Exact at every size: a bitset over sums and binary pieces of the multiplicities. Pieces behind the first that makes the goal itself reachable aren't needed.
+    """
+    goal = max(0, min(goal, sum(s * n for s, n in sizes.items())))
+    pieces = binary_parts(sizes, 2 * goal)
+    reach, limit, needed = 1, (1 << (2 * goal + 1)) - 1, len(pieces)
+    for i, (s, n) in enumerate(pieces):
+        if (reach >> goal) & 1:
+            needed = i
+            break
+        reach |= (reach << (s * n)) & limit
+    low = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
     over = reach >> goal
     high = goal + (over & -over).bit_length() - 1 if over else None
-    at = high if high is not None and high - goal < goal - low else low
-    for i in range(len(pieces) - 1, -1, -1):
-        s, use = pieces[i]
-        if not (history[i] >> at) & 1:
-            at -= s * use
-            taken[s] += use
+    taken = dict.fromkeys(sizes, 0)
+    for s, n in chosen_pieces(pieces[:needed], high if high is not None and high - goal < goal - low else low):
+        taken[s] += n
     return taken
 
 
-def choose(sizes: dict[int, int], goals: list[tuple[str, int]], rest: str, max_bits: int = MAX_BITS) -> list[tuple[str, int, int, int]]:
+def choose(sizes: dict[int, int], goals: list[tuple[str, int]], rest: str) -> list[tuple[str, int, int, int]]:
     """(split, size, first, last) ranks of each size handed to each split; all others go to ``rest``."""
     left, start, out = dict(sizes), dict.fromkeys(sizes, 0), []
     for split, goal in goals:
-        for s, n in closest(left, goal, max_bits).items():
+        for s, n in closest(left, goal).items():
             if n:
                 out.append((split, s, start[s] + 1, start[s] + n))
                 start[s] += n

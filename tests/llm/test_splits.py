@@ -40,10 +40,22 @@ def test_closest_against_brute_force():
         assert abs(sum(s * n for s, n in taken.items()) - goal) == best
 
 
-def test_closest_in_bulk():
+def test_closest_with_many_families():
     sizes = {1: 5000, 3: 900, 17: 40}
-    taken = splits.closest(sizes, 4000, max_bits=512)
+    taken = splits.closest(sizes, 4000)
     assert sum(s * n for s, n in taken.items()) == 4000 and all(taken[s] <= sizes[s] for s in sizes)
+    # no piece of size one: the closest total isn't the goal
+    taken = splits.closest({6: 400_000, 10: 300_000}, 1_000_001)
+    assert 6 * taken[6] + 10 * taken[10] == 1_000_000
+    assert splits.mirrored(0b0011, 3) == 0b1100 and splits.closest({}, 5) == {} and splits.closest({4: 1}, 2) == {4: 0}
+
+
+def test_hot_houses_are_spread(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"h{i}") for i in range(60)], "uid long, house string")
+    small = spark.createDataFrame([("hot", "r")] + [(f"h{i}", f"r{i}") for i in range(0, 60, 4)], "house string, root string")
+    whole = {tuple(r) for r in splits.salted_lookup(rows, small, "house").select("uid", "house", "root").collect()}
+    monkeypatch.setattr(splits, "HEAVY", 7)
+    assert {tuple(r) for r in splits.salted_lookup(rows, small, "house").select("uid", "house", "root").collect()} == whole and len(whole) == 60
 
 
 def test_assign_keeps_families(spark):
