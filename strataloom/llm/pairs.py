@@ -268,7 +268,7 @@ class Judge:
         if body.lstrip().startswith("<think>"):
             return "truncated"
         if kind == "critic":
-            wanted = language_of(prompt.split("\n", 1)[0]) or "en"
+            wanted = language_of(prompt) or "en"
         try:
             value = json.loads(body)
             spans, opened = [(0, len(body))], None
@@ -292,8 +292,7 @@ class Judge:
 
     def foreign(self, kind, prompt, prose, values, wanted):
         """Free wording of a complete answer in another language than wanted."""
-        if len(prompt) and len(prose) > 20:
-            prose = self.own_lines(prompt, prose)
+        prose = self.own_lines(prompt, prose)
         wording = " \n ".join([prose, *(s for v in values for s in strings_of(v, FREE_KEYS))])
         spoken = language_of(wording)
         return spoken is not None and spoken != wanted
@@ -350,8 +349,8 @@ def judged(df: DataFrame) -> DataFrame:
 
 
 def pairs(placer: DataFrame, rooms: DataFrame, stream: DataFrame) -> DataFrame:
-    """(record_id, kind, prompt, answer, source) of placer answers and critic calls, each distinct pair once."""
-    requests = rooms.where("uid is not null").groupBy("uid").agg(F.min("request").alias("prompt"))
+    """(record_id, kind, prompt, answer, source) of placer answers and critic calls, each distinct pair once; an answer meets every distinct prompt of its uid."""
+    requests = rooms.where("uid is not null").select("uid", F.col("request").alias("prompt")).distinct()
     given = placer.select(F.col("output_id").alias("record_id"), "uid", F.col("raw").alias("answer"), F.col("engine").alias("source")).distinct()
     placed = given.join(requests, "uid", "left").select("record_id", F.lit("placer").alias("kind"), "prompt", "answer", "source")
     called = stream.select(F.col("call_id").alias("record_id"), F.lit("critic").alias("kind"), "prompt", F.col("raw_final_text").alias("answer"), F.col("expected_model").alias("source")).distinct()
