@@ -4,7 +4,7 @@ import itertools
 import random
 from collections import Counter
 
-from strataloom.llm import mixing, packing
+from strataloom.llm import mixing, packing, sizes
 
 
 def test_fill_is_the_best_subset():
@@ -93,3 +93,9 @@ def test_mixed_respects_repeats(spark):
     shares = {r.source: r.share for r in mixing.reached(mix, targets).collect()}
     assert abs(shares["a"] - 0.7) < 0.02 and abs(shares["b"] - 0.3) < 0.02
     assert mixing.mixed(docs.limit(0), targets).count() == 0 and mixing.mixed(docs, targets.limit(0)).count() == 0
+
+
+def test_both_tokenizers_count_alike():
+    pick = random.Random(5)
+    texts = ["", " ", "<|endoftext|>", "沙发 can't 12.5 m\n\n  end ", "naïve café"] + ["".join(pick.choice("ab 12é家.,'\n") for _ in range(200)) for _ in range(20)]
+    assert sizes.counter("/opt/tokenizers/byte_bpe_50k.tiktoken")(texts) == sizes.counter("/opt/tokenizers/byte_bpe_50k.json")(texts)
