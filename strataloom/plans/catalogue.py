@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import aggregates, inference, labels, publication, relations, release, rooms, sampling, structure
+from strataloom.plans import aggregates, inference, labels, publication, relations, release, rooms, samples, sampling, structure
 
-MODULES = (structure, labels, aggregates, relations, sampling, rooms, inference, publication, release)
+MODULES = (structure, labels, aggregates, relations, sampling, rooms, samples, inference, publication, release)
 FLAGSHIP = sampling.split_leakage_safe
 
 

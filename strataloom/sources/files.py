@@ -9,9 +9,11 @@ repeated member comes out as often as it occurs.
 
 from __future__ import annotations
 
+import codecs
 import fnmatch
 import io
 import json
+import re
 import struct
 import tarfile
 import xml.etree.ElementTree as ET
@@ -66,48 +68,60 @@ class JsonArrayReader(DataSourceReader):
             yield partition.value, at, text
 
 
+_MARKS = re.compile(r'["\\\[\]{},]')
+
+
+def opened(path):
+    """A byte stream of a file on any store that pyarrow knows by its URI; a path without scheme lies on this machine."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return store.open_input_stream(at)
+
+
 def array_elements(path, piece=1 << 20):
-    """Texts of the elements of the array in a file, read ``piece`` characters at a time."""
-    depth, quoted, escaped, held, start = 0, False, False, "", 0
-    with open(path, encoding="utf-8-sig") as file:
-        at = 0
-        begun = False
-        while True:
-            more = file.read(piece)
-            if not more:
-                return
-            held += more
-            while at < len(held):
-                c = held[at]
-                if escaped:
-                    escaped = False
-                elif quoted:
-                    escaped, quoted = c == "\\", c != '"'
+    """Texts of the elements of the array in a file, read ``piece`` bytes at a time; only signs that matter are looked at."""
+    decode = codecs.getincrementaldecoder("utf-8-sig")()
+    depth, quoted, skip, held, at, start = 0, False, -1, "", 0, 0
+    with opened(path) as file:
+        while more := file.read(piece):
+            held += decode.decode(more)
+            for m in _MARKS.finditer(held, at):
+                c, i = m.group(), m.start()
+                if i == skip:
+                    continue
+                if quoted:
+                    if c == "\\":
+                        skip = i + 1
+                    quoted = c != '"'
                 elif c == '"':
                     quoted = True
                 elif c in "[{":
                     depth += 1
-                    if depth == 1 and not begun:
-                        begun, start = True, at + 1
-                elif c in "]}" or (c == "," and depth == 1):
-                    if depth == 1:
-                        text = held[start:at].strip()
-                        if text:
-                            yield text
-                        if c == "]":
-                            return
-                        held, at, start = held[at + 1 :], -1, 0
-                    else:
-                        depth -= 1
-                at += 1
+                    start = i + 1 if depth == 1 else start
+                elif depth == 1 and c in "],":
+                    if text := held[start:i].strip():
+                        yield text
+                    if c == "]":
+                        return
+                    start = i + 1
+                elif c in "]}":
+                    depth -= 1
+            # what was handed on is let go
+            at, skip = len(held) - start, skip - start
+            held, start = held[start:], 0
+
+
+def array_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, at, value) of the elements of JSON arrays."""
+    ship(spark)
+    spark.dataSource.register(JsonArraySource)
+    return spark.read.format("jsonarray").option("paths", json.dumps(paths)).load()
 
 
 def json_array(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
     """The records of JSON arrays under a schema."""
-    ship(spark)
-    spark.dataSource.register(JsonArraySource)
-    rows = spark.read.format("jsonarray").option("paths", json.dumps(paths)).load()
-    return rows.select(F.from_json("value", schema).alias("r")).select("r.*")
+    return array_texts(spark, paths).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def archive_members(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -153,3 +153,16 @@ def upright(center, half, axes, tolerance=math.radians(5)):
     front, side = [i for i in range(3) if i != up]
     size = [2 * half[front], 2 * half[side], 2 * half[up]]
     return size, [center[0], center[1], center[2] - half[up]], math.atan2(axes[front][1], axes[front][0])
+
+
+def box_bounds(size, linear, yaw_deg):
+    """Extents of a box under a linear map, along axes turned by ``yaw_deg`` about z; None for unusable numbers or a map without volume."""
+    if not (isinstance(size, list) and len(size) == 3 and isinstance(yaw_deg, (int, float)) and all(isinstance(v, (int, float)) and math.isfinite(v) for v in [*size, yaw_deg, *(v for row in linear for v in row)])) or min(size) <= 0:
+        return None
+    (a, b, c), (d, e, f), (g, h, i) = linear
+    lengths = [math.hypot(*column) for column in zip(*linear)]
+    if min(lengths) == 0 or abs(a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)) <= 1e-12 * math.prod(lengths):
+        return None
+    co, si = math.cos(math.radians(yaw_deg)), math.sin(math.radians(yaw_deg))
+    rows = [[co * x + si * y for x, y in zip(linear[0], linear[1])], [co * y - si * x for x, y in zip(linear[0], linear[1])], linear[2]]
+    return [sum(abs(v) * s for v, s in zip(row, size)) for row in rows]
