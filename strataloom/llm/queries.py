@@ -129,29 +129,8 @@ def p8_evidence(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p2_whole, p3_found, p3_rates, p5_found, p5_counts, p6_containers, p6_items, p6_summary, p6_placed, p7_mix, p7_shares, p7_limits, p7_pools, p8_found, p8_rates, p8_evidence, p8_prefixes)}
 _READ = """CASE WHEN json_valid("row") THEN CASE WHEN json_type("row") = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string("row", '$')) THEN json_extract_string("row", '$') END ELSE "row" END END"""
-ORACLES = {
-    "p2_found": f"""
-        WITH RECURSIVE raw1 AS (SELECT DISTINCT uid, source, {_READ} AS j FROM raw)
-        , g AS (SELECT DISTINCT uid, source, j, coalesce(nullif(trim(json_extract_string(j, '$.group')), ''), split_part(uid, ':', 2)) AS g FROM raw1)
-        , x AS (SELECT uid, unnest(json_extract_string(j, '$.meta.group_aliases[*]')) AS a FROM g)
-        , k AS (SELECT uid, 'h|' || source || '|' || CAST(regexp_extract(g, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS key FROM g UNION SELECT uid, 'a|' || regexp_replace(regexp_replace(lower(a), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g'), '[^a-z0-9]', '', 'g') FROM x WHERE a IS NOT NULL)
-        , e AS (SELECT DISTINCT a.key AS a, b.key AS b FROM k a JOIN k b ON a.uid = b.uid)
-        , r(node, root) AS (SELECT a, min(b) FROM e GROUP BY a UNION SELECT e.a, min(r.root) FROM r JOIN e ON e.b = r.node GROUP BY e.a)
-        , f AS (SELECT node, min(root) AS root FROM r GROUP BY node)
-        , s AS (SELECT DISTINCT uid, CASE WHEN split = 'dev' THEN 'validation' ELSE split END AS split FROM selected)
-        , p AS (SELECT s.uid, s.split, min(f.root) AS root FROM s JOIN k ON k.uid = s.uid JOIN f ON f.node = k.key GROUP BY 1, 2)
-        , t AS (SELECT root, min(uid) AS family_uid FROM p GROUP BY 1 HAVING min(split) <> max(split))
-        SELECT DISTINCT p.uid, t.family_uid FROM p JOIN t ON t.root = p.root""",
-    "p2_whole": "SELECT count(DISTINCT uid) AS rooms, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS torn_families FROM selected WHERE uid IS NOT NULL",
-    "p6_placed": "SELECT profile, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND text <> '') AS texts, CAST(0 AS BIGINT) AS cut_texts, CAST(0 AS BIGINT) AS overfull FROM pack_bins WHERE profile IS NOT NULL AND capacity_tokens > 0 GROUP BY 1",
-    "p7_limits": "SELECT DISTINCT source, CAST(0 AS BIGINT) AS overused FROM mix_targets SEMI JOIN documents USING (source) WHERE target_share > 0 AND max_repeats > 0",
-    "p8_prefixes": """
-        WITH b AS (SELECT DISTINCT rtrim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160) || chr(12288)) AS body FROM documents WHERE text IS NOT NULL)
-        , h AS (SELECT body, left(body, 4) AS head FROM b WHERE body <> '')
-        SELECT sha256(body) AS digest FROM h a WHERE NOT regexp_matches(right(body, 16), '[.!?。！？]["''”’»)\\]]*$|>$')
-        AND (EXISTS (SELECT 1 FROM h b WHERE b.head = a.head AND length(b.body) > length(a.body) AND starts_with(b.body, a.body)) OR (length(a.body) < 4 AND EXISTS (SELECT 1 FROM h b WHERE length(b.body) > length(a.body) AND starts_with(b.body, a.body))))""",
-    # all pairs of rooms, each object with its partners; a matching by counts from both sides
-    "p5_found": f"""
+# all pairs of rooms, each object with its partners; a matching by counts from both sides
+_TWINS = f"""
         WITH s0 AS (SELECT DISTINCT uid, CASE lower(trim(split)) WHEN 'train' THEN 't' WHEN 'dev' THEN 'e' WHEN 'validation' THEN 'e' WHEN 'test' THEN 'e' END AS side, {_READ} AS j FROM selected WHERE uid IS NOT NULL)
         , s1 AS (SELECT row_number() OVER () AS r, uid, side, json_extract(j, '$.messages[*]') AS ms FROM s0 WHERE side IS NOT NULL AND j IS NOT NULL)
         , s2 AS (SELECT r, uid, side, json_extract_string(m, '$.role') AS role, regexp_replace(regexp_replace(json_extract_string(m, '$.content'), '^\s*```[a-z]*\s*', ''), '\s*```\s*$', '') AS c FROM (SELECT r, uid, side, unnest(ms) AS m FROM s1))
@@ -177,6 +156,32 @@ ORACLES = {
         , v AS (SELECT a.er, a.tr, a.q, a.side, a.i, a.x, a.y, b.x AS bx, b.y AS by1, b.x2 - b.x AS dx, b.y2 - b.y AS dy FROM l a JOIN l b ON b.er = a.er AND b.tr = a.tr AND b.q = a.q AND b.side <> a.side)
         , k AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((x - bx) * dx + (y - by1) * dy) / (dx * dx + dy * dy))) END AS k FROM v)
         , d AS (SELECT er, tr, q, side, i, min(sqrt(power(x - bx - k * dx, 2) + power(y - by1 - k * dy, 2))) AS d FROM k GROUP BY 1, 2, 3, 4, 5)
-        , ok AS (SELECT er, tr, q FROM d GROUP BY 1, 2, 3 HAVING max(d) <= 0.05 * sqrt(2) + 1e-9)
-        SELECT DISTINCT least(eu, tu) AS uid_a, greatest(eu, tu) AS uid_b FROM g JOIN ok USING (er, tr, q)""",
+        , ok AS (SELECT er, tr, q FROM d GROUP BY 1, 2, 3 HAVING max(d) <= 0.05 * sqrt(2) + 1e-9)"""
+ORACLES = {
+    "p2_found": f"""
+        WITH RECURSIVE raw1 AS (SELECT DISTINCT uid, source, {_READ} AS j FROM raw)
+        , g AS (SELECT DISTINCT uid, source, j, coalesce(nullif(trim(json_extract_string(j, '$.group')), ''), split_part(uid, ':', 2)) AS g FROM raw1)
+        , x AS (SELECT uid, unnest(json_extract_string(j, '$.meta.group_aliases[*]')) AS a FROM g)
+        , k AS (SELECT uid, 'h|' || source || '|' || CAST(regexp_extract(g, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS key FROM g UNION SELECT uid, 'a|' || regexp_replace(regexp_replace(lower(a), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g'), '[^a-z0-9]', '', 'g') FROM x WHERE a IS NOT NULL)
+        , e AS (SELECT DISTINCT a.key AS a, b.key AS b FROM k a JOIN k b ON a.uid = b.uid)
+        , r(node, root) AS (SELECT a, min(b) FROM e GROUP BY a UNION SELECT e.a, min(r.root) FROM r JOIN e ON e.b = r.node GROUP BY e.a)
+        , f AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+        , s AS (SELECT DISTINCT uid, CASE WHEN split = 'dev' THEN 'validation' ELSE split END AS split FROM selected)
+        , p AS (SELECT s.uid, s.split, min(f.root) AS root FROM s JOIN k ON k.uid = s.uid JOIN f ON f.node = k.key GROUP BY 1, 2)
+        , t AS (SELECT root, min(uid) AS family_uid FROM p GROUP BY 1 HAVING min(split) <> max(split))
+        SELECT DISTINCT p.uid, t.family_uid FROM p JOIN t ON t.root = p.root""",
+    "p2_whole": "SELECT count(DISTINCT uid) AS rooms, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS torn_families FROM selected WHERE uid IS NOT NULL",
+    "p6_placed": "SELECT profile, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND text <> '') AS texts, CAST(0 AS BIGINT) AS cut_texts, CAST(0 AS BIGINT) AS overfull FROM pack_bins WHERE profile IS NOT NULL AND capacity_tokens > 0 GROUP BY 1",
+    "p7_limits": "SELECT DISTINCT source, CAST(0 AS BIGINT) AS overused FROM mix_targets SEMI JOIN documents USING (source) WHERE target_share > 0 AND max_repeats > 0",
+    "p8_prefixes": """
+        WITH b AS (SELECT DISTINCT rtrim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160) || chr(12288)) AS body FROM documents WHERE text IS NOT NULL)
+        , h AS (SELECT body, left(body, 4) AS head FROM b WHERE body <> '')
+        SELECT sha256(body) AS digest FROM h a WHERE NOT regexp_matches(right(body, 16), '[.!?。！？]["''”’»)\\]]*$|>$')
+        AND (EXISTS (SELECT 1 FROM h b WHERE b.head = a.head AND length(b.body) > length(a.body) AND starts_with(b.body, a.body)) OR (length(a.body) < 4 AND EXISTS (SELECT 1 FROM h b WHERE length(b.body) > length(a.body) AND starts_with(b.body, a.body))))""",
+    "p5_found": _TWINS + " SELECT DISTINCT least(eu, tu) AS uid_a, greatest(eu, tu) AS uid_b FROM g JOIN ok USING (er, tr, q)",
+    "p5_counts": _TWINS + """
+        , placed AS (SELECT DISTINCT uid, CASE lower(trim(split)) WHEN 'dev' THEN 'validation' ELSE lower(trim(split)) END AS split, split_part(uid, ':', 1) AS uid_prefix FROM selected WHERE uid IS NOT NULL)
+        , leaked AS (SELECT eu AS uid, count(DISTINCT tu) AS twins FROM g JOIN ok USING (er, tr, q) GROUP BY 1)
+        SELECT split, source, count(DISTINCT uid) AS rooms, count(DISTINCT uid) FILTER (twins IS NOT NULL) AS leaked, CAST(coalesce(sum(twins), 0) AS BIGINT) AS pairs
+        FROM (SELECT DISTINCT placed.uid, placed.split, catalog.source, twins FROM placed LEFT JOIN (SELECT uid_prefix, source FROM source_catalog) catalog USING (uid_prefix) LEFT JOIN leaked USING (uid) WHERE placed.split IN ('validation', 'test')) GROUP BY 1, 2""",
 }
