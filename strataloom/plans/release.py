@@ -147,6 +147,12 @@ ORACLES = {
     "call_latency": """
         WITH c AS (SELECT DISTINCT call_id, expected_model, status, usage.total_tokens AS t, epoch_us(finished_at) - epoch_us(started_at) AS us FROM stream_state)
         SELECT expected_model, status, count(*) AS calls, round(avg(us / 1e6), 6) AS mean_s, round(quantile_cont(us / 1e6, 0.5), 6) AS p50_s, round(quantile_cont(us / 1e6, 0.95), 6) AS p95_s, CAST(sum(t) AS BIGINT) AS tokens FROM c GROUP BY 1, 2""",
+    "size_errors": """
+        WITH r AS (SELECT DISTINCT uid, source, target, sizes FROM rooms WHERE sizes IS NOT NULL AND json_valid(target) AND json_valid(sizes))
+        , p AS (SELECT uid, source, sizes, unnest(json_extract(target, '$.placements[*]')) AS x FROM r)
+        , v AS (SELECT source, CAST(json_extract(x, '$.size') AS DOUBLE[]) AS t, CAST(json_extract(sizes, '$."' || json_extract_string(x, '$.id') || '"') AS DOUBLE[]) AS g FROM p)
+        , l AS (SELECT source, [ln(g[i] / t[i]) for i in [1, 2, 3]] AS d FROM v WHERE len(t) = 3 AND len(g) = 3 AND list_min(t) > 0 AND list_min(g) > 0)
+        SELECT source, count(*) AS objects, round(avg((abs(d[1]) + abs(d[2]) + abs(d[3])) / 3), 6) AS log_mae, round(avg((d[1] + d[2] + d[3]) / 3), 6) AS log_bias FROM l GROUP BY 1""",
     "latest_receipts": """
         WITH r AS (SELECT output_id, first(engine ORDER BY received_at, engine) AS engine, count(*) AS receipts, max(epoch_us(received_at)) - min(epoch_us(received_at)) AS spread FROM placer_generate WHERE output_id IS NOT NULL GROUP BY 1)
         SELECT engine, count(*) AS answers, CAST(sum(receipts) AS BIGINT) AS receipts, max(spread) AS latest_us FROM r GROUP BY 1""",

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.functions import text
+from strataloom.operators import nested
 from strataloom.operators import rooms as R
+from strataloom.plans.structure import ELEMENTS, READ
 from strataloom.runtime import table
 from strataloom.sources import scenes
 
@@ -14,6 +17,18 @@ def room_checks(spark: SparkSession, root: str) -> DataFrame:
     return R.checks(table(spark, root, "raw"))
 
 
+def room_heights(spark: SparkSession, root: str) -> DataFrame:
+    """Objects of each room and those above its ceiling."""
+    return room_checks(spark, root).select("uid", "objects", "above")
+
+
+def room_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Every label of an object, its plain name and last word."""
+    rows = nested.emit(table(spark, root, "raw"), "uid", "row", "scene").where("tag = 'objects'")
+    label = F.coalesce(F.get_json_object("payload", "$.category"), F.get_json_object("payload", "$.furniture_category"))
+    return rows.select(label.alias("label")).where("label is not null").distinct().select("label", text.category(F.col("label")).alias("category"), text.head(F.col("label")).alias("head"), text.slug(F.col("label")).alias("slug"))
+
+
 def room_check_rates(spark: SparkSession, root: str) -> DataFrame:
     """Share of rooms of each source that pass every check."""
     c = room_checks(spark, root)
@@ -77,5 +92,27 @@ def room_hulls(spark: SparkSession, root: str) -> DataFrame:
     return ring.select("uid", F.size("ring").alias("corners"), F.round(scenes.ring_area(F.col("ring")), 4).alias("area"))
 
 
-QUERIES = {f.__name__: f for f in (room_checks, room_check_rates, room_anchors, room_relations, relation_counts, room_layout_twins, room_content_twins, room_outlines, room_settled, room_walkways, answer_states, answer_state_counts, exported_rooms, room_hulls)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (room_checks, room_heights, room_labels, room_check_rates, room_anchors, room_relations, relation_counts, room_layout_twins, room_content_twins, room_outlines, room_settled, room_walkways, answer_states, answer_state_counts, exported_rooms, room_hulls)}
+_LABEL = "coalesce(json_extract_string(x, '$.category'), json_extract_string(x, '$.furniture_category'))"
+ORACLES = {
+    "room_heights": f"""
+        WITH r AS (SELECT DISTINCT uid, {READ.format(c='"row"')} AS j FROM raw WHERE uid IS NOT NULL)
+        , v AS (SELECT row_number() OVER () AS n, uid, j, TRY_CAST(CASE WHEN json_type(j, '$.height') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN json_extract_string(j, '$.height') END AS DOUBLE) AS height FROM r WHERE json_type(j) = 'OBJECT')
+        , c AS (SELECT n, height, CASE WHEN json_type(j, '$.objects') IN ('ARRAY', 'OBJECT') AND CAST(json_extract(j, '$.objects') AS VARCHAR) NOT IN ('[]', '{{}}') THEN json_extract(j, '$.objects') ELSE json_extract(j, '$.rooms[0].furniture') END AS c FROM v)
+        , e AS (SELECT n, height, unnest(json_extract(c, '$[*]')) AS x, NULL AS k FROM c WHERE json_type(c) = 'ARRAY' UNION ALL SELECT n, height, json_extract(c, '$."' || k || '"'), k FROM (SELECT n, height, c, unnest(json_keys(c)) AS k FROM c WHERE json_type(c) = 'OBJECT'))
+        , b AS (SELECT n, height, coalesce(k, json_extract_string(x, '$.id'), json_extract_string(x, '$.furniture_instance_id')) AS id,
+            CASE WHEN json_type(x, '$.size') = 'ARRAY' THEN [TRY_CAST(json_extract(x, '$.size[' || i || ']') AS DOUBLE) for i in [0, 1, 2]] ELSE [TRY_CAST(json_extract(x, '$.furniture_size.' || f) AS DOUBLE) for f in ['width', 'length', 'height']] END AS s,
+            CASE WHEN json_type(x, '$.pos') = 'ARRAY' THEN [TRY_CAST(json_extract(x, '$.pos[' || i || ']') AS DOUBLE) for i in [0, 1, 2]] ELSE [TRY_CAST(json_extract(x, '$.furniture_position.' || f) AS DOUBLE) for f in ['x', 'y', 'z']] END AS p,
+            coalesce(TRY_CAST(json_extract(x, '$.yaw') AS DOUBLE), TRY_CAST(json_extract(x, '$.furniture_rotation.z') AS DOUBLE)) AS yaw FROM e WHERE json_type(x) = 'OBJECT')
+        , g AS (SELECT * FROM b WHERE id IS NOT NULL AND yaw IS NOT NULL AND s[1] > 0 AND s[2] > 0 AND s[3] > 0 AND p[1] IS NOT NULL AND p[2] IS NOT NULL AND p[3] IS NOT NULL)
+        , t AS (SELECT n, count(*) AS objects, count(*) FILTER (height <> 0 AND p[3] + s[3] > height + 0.05) AS above FROM g GROUP BY 1)
+        SELECT DISTINCT v.uid, CAST(coalesce(objects, 0) AS INTEGER) AS objects, CAST(coalesce(above, 0) AS INTEGER) AS above FROM v LEFT JOIN t USING (n)""",
+    "room_labels": ELEMENTS + f"""
+        , l1 AS (SELECT DISTINCT {_LABEL} AS label FROM w WHERE section = 'objects' AND {_LABEL} IS NOT NULL AND own IS NOT NULL)
+        , l2 AS (SELECT label, coalesce((SELECT MAP {{'corner/side table': 'side table', 'three-seat / multi-seat sofa': 'three seat sofa', 'three-seat / multi-person sofa': 'three seat sofa', 'coffeetablefactory': 'coffee table', 'sidetablefactory': 'side table', 'boxcomforterfactory': 'comforter', 'comforterfactory': 'comforter'}}[trim(split_part(lower(label), '(', 1))]), lower(label)) AS n FROM l1)
+        , l3 AS (SELECT label, trim(regexp_replace(regexp_extract(n, '^[^,(/]*'), '[^a-z0-9]+', ' ', 'g')) AS n FROM l2)
+        , l4 AS (SELECT label, trim(regexp_replace(list_aggregate([CASE WHEN length(x) >= 8 AND regexp_matches(x, '[0-9a-f]{{8}}$') AND regexp_matches(right(x, 8), '[0-9]') THEN left(x, -8) ELSE x END for x in string_split(n, ' ')], 'string_agg', ' '), ' +', ' ', 'g')) AS n FROM l3)
+        , l5 AS (SELECT label, split_part(n, ' or ', 1) AS n FROM l4)
+        , l6 AS (SELECT label, CASE WHEN regexp_matches(n, '[a-z]( *[0-9]+)+$') THEN regexp_replace(n, '( *[0-9]+)+$', '') ELSE n END AS category FROM l5)
+        SELECT label, category, string_split(category, ' ')[-1] AS head, CASE WHEN category = '' OR regexp_matches(category, '^(other[a-z0-9_]*|objects?|unknown)( |$)') THEN 'object' ELSE replace(category, ' ', '_') END AS slug FROM l6""",
+}

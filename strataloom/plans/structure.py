@@ -87,10 +87,10 @@ _WALK = """
     , f AS (SELECT k.uid, k.id AS object_id, coalesce(w.root, '') AS root_id, coalesce(w.depth, -1) AS depth, coalesce(w.path, []) AS path FROM k LEFT JOIN w ON w.uid = k.uid AND w.id = k.id)"""
 # SQL of the elements: texts read again where they hold a text, lists and maps opened alike, members walked down
 _OPEN = "SELECT uid, section, holder, CAST(NULL AS VARCHAR) AS key, unnest(json_extract(c, '$[*]')) AS x FROM {t} WHERE json_type(c) = 'ARRAY' UNION ALL SELECT uid, section, holder, k, json_extract(c, '$.\"' || k || '\"') FROM (SELECT uid, section, holder, c, unnest(json_keys(c)) AS k FROM {t} WHERE json_type(c) = 'OBJECT')"
-_READ = "CASE WHEN json_valid({c}) THEN CASE WHEN json_type({c}) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string({c}, '$')) THEN json_extract_string({c}, '$') END ELSE {c} END END"
+READ = "CASE WHEN json_valid({c}) THEN CASE WHEN json_type({c}) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string({c}, '$')) THEN json_extract_string({c}, '$') END ELSE {c} END END"
 _ID = "coalesce(key, json_extract_string(x, '$.id'), json_extract_string(x, '$.furniture_instance_id'))"
-_ELEMENTS = f"""
-    WITH RECURSIVE raw1 AS (SELECT DISTINCT uid, {_READ.format(c='"row"')} AS j FROM raw), sel1 AS (SELECT DISTINCT uid, {_READ.format(c='"row"')} AS j FROM selected)
+ELEMENTS = f"""
+    WITH RECURSIVE raw1 AS (SELECT DISTINCT uid, {READ.format(c='"row"')} AS j FROM raw), sel1 AS (SELECT DISTINCT uid, {READ.format(c='"row"')} AS j FROM selected)
     , s1 AS (SELECT uid, unnest(json_extract(j, '$.messages[*]')) AS m FROM sel1)
     , s2 AS (SELECT uid, json_extract_string(m, '$.role') AS role, regexp_replace(regexp_replace(json_extract_string(m, '$.content'), '^\\s*```[a-z]*\\s*', ''), '\\s*```\\s*$', '') AS t FROM s1)
     , c AS (SELECT uid, 'objects' AS section, uid AS holder, json_extract(j, '$.objects') AS c FROM raw1 UNION ALL SELECT uid, 'fixed', uid, json_extract(j, '$.fixed') FROM raw1
@@ -102,11 +102,11 @@ _ELEMENTS = f"""
         SELECT uid, section, coalesce(own, holder) AS holder, CAST(NULL AS VARCHAR) AS key, unnest(json_extract(x, '$.members[*]')) AS x FROM w WHERE json_type(x, '$.members') = 'ARRAY'
         UNION ALL SELECT uid, section, holder, k, json_extract(x, '$.members."' || k || '"') FROM (SELECT uid, section, coalesce(own, holder) AS holder, x, unnest(json_keys(x, '$.members')) AS k FROM w WHERE json_type(x, '$.members') = 'OBJECT')))"""
 ORACLES = {
-    "p1_found": _ELEMENTS + " SELECT DISTINCT uid, section, own AS item_id, holder AS holder_id FROM w WHERE own IS NOT NULL",
+    "p1_found": ELEMENTS + " SELECT DISTINCT uid, section, own AS item_id, holder AS holder_id FROM w WHERE own IS NOT NULL",
     "p4_found": _WALK + " SELECT uid, object_id, root_id, depth FROM f",
     "p4_paths": _WALK + " SELECT uid, object_id, root_id, depth, path FROM f",
     "p4_descendants": _WALK + ", d AS (SELECT uid, object_id AS descendant, depth, path, unnest(range(0, depth)) AS n FROM f WHERE depth > 0) SELECT uid, path[n + 1] AS ancestor, descendant, CAST(depth - n AS INTEGER) AS distance FROM d",
-    "p1_tables": _ELEMENTS + " SELECT section AS tag, count(DISTINCT {'a': uid, 'b': holder, 'c': own}) AS elements, count(DISTINCT uid) AS records FROM w WHERE own IS NOT NULL GROUP BY 1",
+    "p1_tables": ELEMENTS + " SELECT section AS tag, count(DISTINCT {'a': uid, 'b': holder, 'c': own}) AS elements, count(DISTINCT uid) AS records FROM w WHERE own IS NOT NULL GROUP BY 1",
     "p4_circles": _WALK + ", c AS (SELECT k.uid, k.id, k.p FROM k JOIN f ON f.uid = k.uid AND f.object_id = k.id AND f.depth < 0), s(uid, id, spot) AS (SELECT uid, id, p FROM c UNION SELECT s.uid, s.id, c.p FROM s JOIN c ON c.uid = s.uid AND c.id = s.spot) SELECT uid, id AS object_id, CASE WHEN bool_or(spot = id) THEN 'circle' ELSE 'below_circle' END AS state FROM s GROUP BY 1, 2",
     "p4_rooms": _WALK + " SELECT uid, count(*) FILTER (depth < 0) AS caught, count(*) AS objects, max(depth) AS deepest FROM f GROUP BY 1",
 }

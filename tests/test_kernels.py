@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strataloom.functions import geometry as G
+from strataloom.functions import labels as plain_labels
 from strataloom.functions import text
 from strataloom.operators import aggregate as A
 from strataloom.operators import relate, rooms
@@ -158,3 +159,34 @@ def test_versioned_commits(spark):
     rows = [("k", 0, "t1", "a"), ("k", 0, "t2", "lost"), ("k", 1, "t3", "b"), ("k", 1, "t3", "b"), ("k", 5, "t4", "gap"), ("m", 1, "t5", "early")]
     got = {(r.key, r.version, r.what) for r in ledger.committed(spark.createDataFrame(rows, "key string, expected long, token string, what string"), "key", "version", "expected", "token").collect()}
     assert got == {("k", 1, "a"), ("k", 2, "b")}
+
+
+def test_labels_on_one_value_and_on_columns_agree(spark):
+    labels = ["Corner/Side Table", "toilet, can, commode", "ceiling lamp(traffic light)", "pen_1", "2 seat sofa", "Lounge Chair / Cafe Chair", "King-size Bed", "glassnightstand5c8f77c6", "plant_or_flower_pot", "TV stand or console", "chair 12", "or chair", "chair or", "1 2", "a1b2 3", "", None, "Other furniture", "CoffeeTableFactory(12)", "bed 0a1b2c3d 7", "désk 3"]
+    df = spark.createDataFrame([(r,) for r in labels], "c string").select("c", text.category(F.col("c")).alias("n"), text.head(F.col("c")).alias("h"), text.slug(F.col("c")).alias("s"))
+    for r in df.collect():
+        assert (r.n, r.h) == (plain_labels.plain(r.c), plain_labels.last_word(r.c)), r.c
+        assert (r.s == "object") == plain_labels.says_nothing(r.c) or r.n == "object"
+    want = {"toilet, can, commode": "toilet", "ceiling lamp(traffic light)": "ceiling lamp", "pen_1": "pen", "2 seat sofa": "2 seat sofa", "King-size Bed": "king size bed", "plant_or_flower_pot": "plant"}
+    assert {k: plain_labels.plain(k) for k in want} == want
+    kinds = [("Bedroom / Hotel", "bedroom/hotel"), ("Misc.", None), ("Meeting Room 1", "meeting room"), ("Restrooms F2", "restroom"), ("Apartment 2 Storage", "storage"), ("LivingRoom_4p", "living room"), (None, None)]
+    got = spark.createDataFrame(kinds, "c string, want string").select(text.room_type(F.col("c")).alias("n"), "want").collect()
+    assert [r.n for r in got] == [r.want for r in got]
+
+
+def test_kinds_of_labels():
+    L = plain_labels
+    assert L.is_structure("wall") and L.is_structure("Wall design") and L.is_structure("french doors") and not L.is_structure("floor lamp") and not L.is_structure("fireplace_console") and not L.is_structure("plant floor") and not L.is_structure(None)
+    assert L.hangs("Pendant light") and L.hangs("ceiling fan") and not L.hangs("hanging chair") and L.ends_as("placemats", "flat") and L.is_bedside("Bedside Table") and L.is_art("wall paintings")
+    assert L.is_finish("floor tiles") and not L.is_finish("partition panel") and L.says_nothing("other prop") and L.says_nothing("") and not L.says_nothing("otter")
+
+
+def test_bedside_tables_are_tucked_and_copies_are_not():
+    bed = box("b", 2, 2, size=(2.0, 1.6, 0.5), kind="bed")
+    for kind in ("nightstand", "bedside table", "night table"):
+        seen = rooms.read_room(room(bed, box("n", 2.9, 2.9, size=(0.5, 0.5, 0.5), kind=kind)))
+        assert rooms.checked(seen)[1]["tuck"] == 1, kind
+    inside = rooms.read_room(room(box("w", 2, 2, size=(2, 2, 2), kind="wardrobe"), box("x", 2, 2, size=(0.5, 0.5, 0.5), kind="crate")))
+    assert rooms.checked(inside)[1]["contained"] == 1
+    copies = rooms.read_room(room(box("w", 2, 2, size=(2, 1, 2), kind="wardrobe"), box("x", 2.1, 2, size=(2, 1, 2), kind="wardrobe")))
+    assert rooms.checked(copies)[1]["main"] == 1
