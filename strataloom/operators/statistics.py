@@ -61,6 +61,10 @@ def sign_p(wins: Column, losses: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), 2 * tail)).otherwise(F.lit(1.0))
 
 
+#: Systems whose scores are compared pair by pair, at most.
+MOST_SYSTEMS = 5000
+
+
 def mid_rank(c: str, by: list[str]) -> Column:
     """Rank from 1 with ties at their mean."""
     group = Window.partitionBy(*by)
@@ -68,7 +72,9 @@ def mid_rank(c: str, by: list[str]) -> Column:
 
 
 def kendall(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Tau-b of two scores over few systems; each pair of systems once."""
+    """Tau-b of two scores over few systems; each pair of systems once. More than MOST_SYSTEMS are refused: all pairs of them would be formed."""
+    if df.limit(MOST_SYSTEMS + 1).count() > MOST_SYSTEMS:
+        raise ValueError(f"more than {MOST_SYSTEMS} systems")
     right = df.select(F.col(key).alias("_k"), F.col(a).alias("_a"), F.col(b).alias("_b"))
     x, y = F.signum(F.col(a) - F.col("_a")), F.signum(F.col(b) - F.col("_b"))
     pairs = df.join(right, F.col(key) < F.col("_k")).select(x.alias("x"), y.alias("y"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text
 from strataloom.operators import aggregate as A
-from strataloom.runtime import table
+from strataloom.runtime import cut, table
 
 
 def conditional_rates(spark: SparkSession, root: str) -> DataFrame:
@@ -45,13 +45,13 @@ LEVELS, KEYS = [["p_brand", "p_type"], ["p_brand"], []], ["p_brand", "p_type"]
 
 def size_prior(spark: SparkSession, root: str) -> DataFrame:
     """Geometric medians by brand and type, by brand, and over all."""
-    fitted = A.hierarchical(_sizes(spark, root), LEVELS, KEYS, [F.count(F.lit(1)).alias("n"), F.round(A.geometric_median("l_quantity"), 6).alias("quantity"), F.round(A.geometric_median("l_extendedprice"), 4).alias("price")])
-    return fitted.select("p_brand", "p_type", "level", "n", "quantity", "price")
+    fitted = A.medians_at_levels(_sizes(spark, root), LEVELS, KEYS, ["l_quantity", "l_extendedprice"])
+    return fitted.select("p_brand", "p_type", "level", "n", F.round("l_quantity", 6).alias("quantity"), F.round("l_extendedprice", 4).alias("price"))
 
 
 def prior_backoff(spark: SparkSession, root: str) -> DataFrame:
     """Which level serves how many parts, if a level needs 500 cases."""
-    fitted = A.hierarchical(_sizes(spark, root), LEVELS, KEYS, [F.count(F.lit(1)).alias("n"), A.geometric_median("l_quantity").alias("quantity")])
+    fitted = A.medians_at_levels(_sizes(spark, root), LEVELS, KEYS, ["l_quantity"]).withColumnRenamed("l_quantity", "quantity")
     parts = table(spark, root, "part").select("p_partkey", "p_brand", "p_type")
     served = A.backed_off(parts, fitted, LEVELS, "n", ["quantity"], 500)
     return served.groupBy("level").agg(F.count(F.lit(1)).alias("parts"), F.round(F.avg("quantity"), 6).alias("quantity"))
@@ -60,12 +60,15 @@ def prior_backoff(spark: SparkSession, root: str) -> DataFrame:
 def oof_prior(spark: SparkSession, root: str) -> DataFrame:
     """Geometric medians of a brand from the orders outside each of five folds.
 
-    The statistic isn't additive, so each row enters the four folds it doesn't belong to; the fold comes from the order, so orders stay whole.
+    The statistic isn't additive, so each count of a value enters the four folds it doesn't belong to; the fold comes from the order, so orders stay whole.
     """
     fold = text.sha1_modulo(F.col("l_orderkey").cast("string"), 5)
-    rows = _sizes(spark, root).withColumn("own", fold)
-    others = rows.withColumn("fold", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")), lambda f: f != F.col("own"))))
-    return others.groupBy("fold", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.round(A.geometric_median("l_quantity"), 6).alias("quantity"))
+    rows = cut(_sizes(spark, root).withColumn("own", fold).groupBy("own", "p_brand", "l_quantity").agg(F.count(F.lit(1)).alias("n")))
+    folds = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")), lambda f: f != F.col("own")))
+    others = rows.withColumn("fold", folds)
+    cells = others.where("l_quantity > 0").select("fold", "p_brand", F.lit(0).cast("byte").alias("name"), F.col("l_quantity").cast("double").alias("value"), "n")
+    fitted = A.geometric_medians(cells, ["fold", "p_brand"], ["l_quantity"])
+    return others.groupBy("fold", "p_brand").agg(F.sum("n").alias("n")).join(fitted, ["fold", "p_brand"]).select("fold", "p_brand", "n", F.round("l_quantity", 6).alias("quantity"))
 
 
 def loo_means(spark: SparkSession, root: str) -> DataFrame:

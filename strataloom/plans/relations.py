@@ -5,11 +5,12 @@ Rooms and boxes are made of lineitem: an order is a room, a line a box with whol
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.operators import hierarchy
 from strataloom.operators import relate as R
+from strataloom.operators.ranking import ordered
 from strataloom.runtime import table
 
 
@@ -159,8 +160,7 @@ def aligned_arrays(spark: SparkSession, root: str) -> DataFrame:
 
 def positional_zip(spark: SparkSession, root: str) -> DataFrame:
     """Rows of two streams joined by split and place in it; how many differ in anything but one field."""
-    order = Window.partitionBy("o_orderstatus").orderBy("o_orderkey")
-    base = table(spark, root, "orders").withColumn("at", F.row_number().over(order))
+    base = ordered(table(spark, root, "orders").select("o_orderstatus", "o_orderkey", "o_orderpriority"), ["o_orderstatus"], ["o_orderkey"]).withColumnRenamed("rank", "at")
     a = base.select("o_orderstatus", "at", "o_orderkey", "o_orderpriority")
     b = base.select("o_orderstatus", "at", F.col("o_orderkey").alias("k2"), F.when(F.col("at") % 50 == 0, F.lit("changed")).otherwise(F.col("o_orderpriority")).alias("p2"))
     return a.join(b, ["o_orderstatus", "at"]).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("o_orderkey") != F.col("k2"), 1)).alias("moved"), F.count(F.when(F.col("o_orderpriority") != F.col("p2"), 1)).alias("changed"))

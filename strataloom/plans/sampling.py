@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions import text
 from strataloom.operators import sampling as S
 from strataloom.operators.components import components
+from strataloom.operators.ranking import ordered
 from strataloom.runtime import table
 
 
@@ -68,8 +69,8 @@ def capped_sources(spark: SparkSession, root: str) -> DataFrame:
     """At most 100 distinct texts a source, in digest order; counters of what happened to the rest."""
     docs = table(spark, root, "documents").where("text is not null").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
     order = F.sha1(F.col("doc_id").cast("string"))
-    first = Window.partitionBy("digest").orderBy(order, "doc_id")
-    marked = docs.withColumn("copy", F.row_number().over(first) > 1)
+    first = docs.groupBy("digest").agg(F.min_by("doc_id", F.struct(order, "doc_id")).alias("first"))  # a text posted often is one row a task
+    marked = docs.join(first, "digest").withColumn("copy", F.col("doc_id") != F.col("first")).drop("first")
     kept = S.top_by_digest(marked.where("not copy"), ["source"], order, 100, ["doc_id"]).select("doc_id", F.lit(True).alias("kept"))
     fate = F.when(F.col("copy"), "duplicate").when(F.col("kept"), "kept").otherwise("capped")
     return marked.join(kept, "doc_id", "left").groupBy("source", fate.alias("fate")).agg(F.count(F.lit(1)).alias("texts"))
@@ -92,8 +93,7 @@ def dedup_best_source(spark: SparkSession, root: str) -> DataFrame:
 def length_batches(spark: SparkSession, root: str) -> DataFrame:
     """Batches of 64 texts of like length, with the width of each."""
     docs = table(spark, root, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), "source")
-    order = Window.partitionBy("source").orderBy(F.desc("chars"), "doc_id")
-    batched = docs.withColumn("batch", F.floor((F.row_number().over(order) - 1) / 64).cast("long"))
+    batched = ordered(docs, ["source"], [F.desc("chars"), "doc_id"]).withColumn("batch", F.floor((F.col("rank") - 1) / 64).cast("long"))
     return batched.groupBy("source", "batch").agg(F.count(F.lit(1)).alias("texts"), F.max("chars").cast("long").alias("width"), F.sum("chars").cast("long").alias("chars"))
 
 
@@ -105,8 +105,8 @@ def budget_chunks(spark: SparkSession, root: str) -> DataFrame:
 
 def hash_shards(spark: SparkSession, root: str) -> DataFrame:
     """Round-robin shards of each segment in digest order."""
-    order = Window.partitionBy("c_mktsegment").orderBy(F.sha1(F.col("c_custkey").cast("string")), "c_custkey")
-    return table(spark, root, "customer").select("c_custkey", S.shard_of(F.row_number().over(order), 7).cast("long").alias("shard"))
+    keyed = table(spark, root, "customer").select("c_custkey", "c_mktsegment", F.sha1(F.col("c_custkey").cast("string")).alias("digest"))
+    return ordered(keyed, ["c_mktsegment"], ["digest", "c_custkey"]).select("c_custkey", S.shard_of(F.col("rank"), 7).cast("long").alias("shard"))
 
 
 def split_overlaps(spark: SparkSession, root: str) -> DataFrame:

@@ -45,6 +45,12 @@ def verified(spark: SparkSession, path: str, schema, by: str) -> DataFrame:
     return now.join(then, "output", "full_outer").select("output", state.alias("state"))
 
 
+#: Rows of a report in one file, at most.
+MOST_ROWS = 1_000_000
+
+
 def single_csv(df: DataFrame, path: str) -> None:
-    """A small report as one CSV file with a header."""
+    """A small report as one CSV file with a header. More than MOST_ROWS rows are refused: one task would write them all."""
+    if df.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows for one file")
     df.coalesce(1).write.mode("errorifexists").csv(path, header=True)

@@ -19,12 +19,13 @@ def stream(spark: SparkSession, root: str, name: str, schema: T.StructType, file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "false").parquet(root)
 
 
-def append_once(source: DataFrame, out: str, key: list[str]) -> None:
+def append_once(source: DataFrame, out: str, key: list[str], time: str | None = None, late: str = "7 days") -> None:
     """Append the first row of each key to ``out/rows``; ends when the input is read.
 
-    Which of several rows of a key is first within a micro-batch isn't defined; that exactly one stays is.
+    Which of several rows of a key is first within a micro-batch isn't defined; that exactly one stays is. With ``time``, keys are
+    forgotten once the watermark has passed them by ``late``, which bounds the state; without, every key is held, which a stream without end can't afford.
     """
-    once = source.dropDuplicates(key)
+    once = source.withWatermark(time, late).dropDuplicatesWithinWatermark(key) if time else source.dropDuplicates(key)
     once.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
