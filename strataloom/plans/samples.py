@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.operators import repair
 from strataloom.operators import samples as S
 from strataloom.runtime import table
 
@@ -34,5 +35,24 @@ def exchangeable_objects(spark: SparkSession, root: str) -> DataFrame:
     return S.groups(table(spark, root, "rooms")).groupBy("uid", "label").agg(F.count(F.lit(1)).alias("members")).groupBy("members").agg(F.count(F.lit(1)).alias("groups"))
 
 
-QUERIES = {f.__name__: f for f in (scene_validation, sample_projection, minimal_requests, sample_qualification, exchangeable_objects)}
+def repaired_rooms(spark: SparkSession, root: str) -> DataFrame:
+    """What is wrong in bound rooms before and after repair, by outcome."""
+    r = repair.repair_rooms(table(spark, root, "rooms"))
+    sums = [F.sum(f"{when}_{w}").alias(f"{when}_{w}") for w in repair.WRONG for when in ("before", "after")]
+    return r.groupBy("status").agg(F.count(F.lit(1)).alias("rooms"), F.sum("moved").alias("moved"), F.round(F.max("farthest"), 4).alias("farthest"), *sums)
+
+
+def edited_rooms(spark: SparkSession, root: str) -> DataFrame:
+    """Edits of critics carried out on the rooms of their prompts."""
+    e = repair.edit_rooms(table(spark, root, "stream_state"))
+    return e.agg(F.count(F.lit(1)).alias("calls"), F.sum("edits").alias("edits"), F.sum("applied").alias("applied"), F.sum("before").alias("before"), F.sum("after").alias("after"))
+
+
+def door_clearance(spark: SparkSession, root: str) -> DataFrame:
+    """Doors that placed boxes block, and boxes that stand at a wall."""
+    d = repair.door_rooms(table(spark, root, "rooms"))
+    return d.groupBy("doors").agg(F.count(F.lit(1)).alias("rooms"), F.sum("blocked").alias("blocked"), F.sum("backs").alias("backs"))
+
+
+QUERIES = {f.__name__: f for f in (repaired_rooms, edited_rooms, door_clearance, scene_validation, sample_projection, minimal_requests, sample_qualification, exchangeable_objects)}
 ORACLES: dict[str, str] = {}
