@@ -292,7 +292,7 @@ def prepare(raw: DataFrame) -> DataFrame:
 def placed_room(request, target, answer):
     """The room of a request with the sizes of its target, furnished as an answer says."""
     asked, given = read_json(request), read_json(target)
-    room = R.read_room(asked)
+    room = R.read_request(asked)
     if not isinstance(asked, dict) or room is None or not isinstance(given, dict):
         return None
     sizes = {own_id(k, e): R.floats(e.get("size"), 3) for k, e in elements(given.get("placements")) if isinstance(e, dict)}

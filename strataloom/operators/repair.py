@@ -187,7 +187,7 @@ def status_of(before, after, moved):
 def furnished(request, target):
     """The room of a request, furnished as its target says."""
     asked, told = read_json(request), read_json(target)
-    room = R.read_room(asked) if isinstance(asked, dict) else None
+    room = R.read_request(asked) if isinstance(asked, dict) else None
     if room is None or not isinstance(told, dict):
         return None
     kinds = {own_id(k, e): e.get("category") for k, e in elements(asked.get("objects")) if isinstance(e, dict)}
@@ -196,9 +196,7 @@ def furnished(request, target):
         if isinstance(e, dict) and (name := own_id(k, e)) in kinds:
             yaw = e.get("yaw")
             placed.append({**e, "id": name, "category": kinds[name], "parent": id_text(e.get("on")), "yaw": math.radians(yaw) if isinstance(yaw, (int, float)) else None})
-    # fixed boxes without a label are named by their ids
-    fixed = [{**f, "kind": f["kind"] or re.sub(r"_f?\d+$", "", f["id"]).replace("_", " ").lower()} for f in room["fixed"]]
-    return {**room, "objects": R.read_boxes(placed), "fixed": fixed}
+    return {**room, "objects": R.read_boxes(placed)}
 
 
 REPAIRED = "uid string, status string, objects int, moved int, farthest double, trials int, " + ", ".join(f"before_{w} int, after_{w} int" for w in WRONG)

@@ -189,7 +189,7 @@ def sample_of(uid, split, source, request, target, parents=None):
         objects.append({"id": name, "category": kind, "description": e.get("desc") or kind, **({"support_parent": below} if below else {})})
         yaw = p.get("yaw")
         targets.append({"id": name, "target_size_local_m": p.get("size"), "bottom_center_m": p.get("pos"), "yaw_rad": wrapped(math.radians(yaw)) if number(yaw) else None})
-    fixed = [{"id": f["id"], "size_local_m": [f["w"], f["d"], f["h"]], "bottom_center_m": [f["x"], f["y"], f["z"]], "yaw_rad": f["yaw"]} for f in R.read_boxes(asked.get("fixed"))]
+    fixed = [{"id": f["id"], "size_local_m": [f["w"], f["d"], f["h"]], "bottom_center_m": [f["x"], f["y"], f["z"]], "yaw_rad": wrapped(math.radians(f["yaw"]))} for f in R.read_boxes(asked.get("fixed"))]
     room = {"frame": FRAME, "floor_polygon_xy_m": asked.get("boundary"), "floor_z_m": 0.0, "height_m": asked.get("height"), "floor_known": True, "boundary_known": asked.get("boundary_type") == "polygon", "room_type": asked.get("room_type"), "fixed_objects": fixed}
     whole = [numbers(t["bottom_center_m"], 3) for t in targets], [numbers(t["target_size_local_m"], 3) for t in targets]
     return {

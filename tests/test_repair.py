@@ -75,3 +75,8 @@ def test_tables(spark):
     assert repair.door_rooms(df).count() == 1
     calls = spark.createDataFrame([("c", "study, 5.0 x 4.0 m\ndesk_1 | 1.00x0.60x0.70 | 2.00,2.00,0.00 | 0", '{"edits":[{"id":"desk_1","op":"move","x":9,"y":2}]}'), ("d", None, None)], "call_id string, prompt string, raw_final_text string")
     assert [tuple(r) for r in repair.edit_rooms(calls).collect()] == [("c", 1, 1, 0, 1)]
+
+
+def test_requests_are_turned_in_degrees():
+    got = R.read_request(json.dumps({"boundary": [[0, 0], [5, 0], [5, 4]], "fixed": [{"id": "door_f0", "pos": [0, 2, 0], "size": [0.1, 0.9, 2], "yaw": 450}]}))
+    assert got["fixed"][0]["kind"] == "door" and math.isclose(got["fixed"][0]["yaw"], math.pi / 2) and R.read_request("{") is None
