@@ -27,7 +27,7 @@ def test_offset_votes_counts_all_customers_and_no_bins(spark, tmp_path):
     spark.createDataFrame(places, "s_nationkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     # 48 and 52 lie in two bins of 50; all customers are beyond number 400
     spark.createDataFrame([(500 + n, n, x + 48 + 4 * (n % 2)) for n, x in places], "c_custkey long, c_nationkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
-    assert relations.offset_votes_whole(spark, str(tmp_path)).collect() == [(48, 6, 2)]
+    assert relations.offset_votes(spark, str(tmp_path)).collect() == [(48, 6, 2)]
 
 
 def test_every_part_gets_its_nearest(spark, tmp_path):
@@ -39,5 +39,5 @@ def test_every_part_gets_its_nearest(spark, tmp_path):
     good = [p for p in parts if p[1] and p[2]]
     cost = lambda p, q: round(abs(math.log(p[2]) - math.log(q[2])) + abs(math.log(p[3]) - math.log(q[3])), 9)
     want = {p[0]: min((cost(p, q), q[0]) for q in good if q[1] == p[1] and q[0] != p[0]) for p in good if p[1] != "alone"}
-    rows = relations.nearest_size_whole(spark, str(tmp_path)).collect()
+    rows = relations.nearest_size(spark, str(tmp_path)).collect()
     assert len(rows) == len(want) and {r.p_partkey: (r.cost, r.ref) for r in rows} == want
