@@ -83,7 +83,7 @@ def line_forest(spark: SparkSession, root: str) -> DataFrame:
     """Trees of all order lines in one locality, larger than a fragment: a line rests on the line before it, the first of an order on the first of order k / 3."""
     lines = table(spark, root, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("n")).distinct()
     name = lambda order, n: F.concat_ws("-", order.cast("string"), n.cast("string"))
-    up = F.when(F.col("n") > 1, name(F.col("l_orderkey"), F.col("n") - 1)).otherwise(name(F.floor(F.col("l_orderkey") / 3), F.lit(1)))
+    up = F.when(F.col("n") > 1, name(F.col("l_orderkey"), F.col("n") - 1)).when(F.col("l_orderkey") > 0, name(F.floor(F.col("l_orderkey") / 3), F.lit(1)))
     done = hierarchy.resolve(lines.select(F.lit("all").alias("g"), name(F.col("l_orderkey"), F.col("n")).alias("line"), up.alias("up")), "g", "line", "up")
     return done.select("line", "root_id", F.col("depth").cast("long").alias("depth"))
 
@@ -189,7 +189,7 @@ ORACLES = {
     "drop_dependants": _CHAIN + ", g AS (SELECT n FROM e WHERE bad UNION SELECT e.n FROM g JOIN e ON e.p = g.n) SELECT count(*) AS kept, CAST(sum(n) AS BIGINT) AS checksum FROM e WHERE n NOT IN (SELECT n FROM g)",
     "nearest_size": "WITH c AS (SELECT a.p_partkey, b.p_partkey AS ref, round(abs(ln(a.p_size) - ln(b.p_size)) + abs(ln(a.p_retailprice) - ln(b.p_retailprice)), 9) AS cost FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey) SELECT p_partkey, first(ref ORDER BY cost, ref) AS ref, min(cost) AS cost FROM c GROUP BY 1",
     "offset_votes": "WITH a AS (SELECT s_suppkey AS k, s_nationkey AS asset, floor(s_acctbal) AS x FROM supplier), b AS (SELECT DISTINCT c_nationkey AS asset, floor(c_acctbal) AS x2 FROM customer), m AS (SELECT k, x2 - x AS d FROM a JOIN b USING (asset)), c AS (SELECT DISTINCT d AS shift FROM m), v AS (SELECT DISTINCT k, d + o AS shift FROM m, (SELECT unnest(range(-24, 25)) AS o)), s AS (SELECT c.shift, count(*) AS votes FROM c JOIN v ON v.shift = c.shift GROUP BY 1) SELECT CAST(first(shift ORDER BY votes DESC, shift) AS BIGINT) AS shift, max(votes) AS votes, count(*) AS shifts FROM s",
-    "line_forest": "WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS n FROM lineitem), e AS (SELECT o || '-' || n AS line, CASE WHEN n > 1 THEN o || '-' || (n - 1) ELSE (o // 3) || '-1' END AS up FROM l), r AS (SELECT line, line AS root_id, CAST(0 AS BIGINT) AS depth FROM e WHERE up NOT IN (SELECT line FROM e) UNION ALL SELECT e.line, r.root_id, r.depth + 1 FROM r JOIN e ON e.up = r.line) SELECT * FROM r",
+    "line_forest": "WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS n FROM lineitem), e AS (SELECT o || '-' || n AS line, CASE WHEN n > 1 THEN o || '-' || (n - 1) WHEN o > 0 THEN (o // 3) || '-1' END AS up FROM l), r AS (SELECT line, line AS root_id, CAST(0 AS BIGINT) AS depth FROM e WHERE up IS NULL OR up NOT IN (SELECT line FROM e) UNION ALL SELECT e.line, r.root_id, r.depth + 1 FROM r JOIN e ON e.up = r.line) SELECT * FROM r",
     "reject_reasons": "SELECT CASE WHEN l_quantity IS NULL OR l_extendedprice <= 0 THEN 'bad_numbers' WHEN l_quantity > 48 THEN 'object_count' WHEN l_discount >= 0.1 THEN 'flagged:discount' WHEN l_returnflag = 'R' AND l_tax > 0.06 THEN 'flagged:return' ELSE 'kept' END AS reason, count(*) AS n FROM lineitem GROUP BY 1",
     "flag_filter": "SELECT source, count(*) AS kept FROM documents WHERE NOT coalesce(n_chars > 800, false) AND lang IS NOT NULL GROUP BY 1",
     "mask_journal": "WITH c AS (SELECT l_linestatus, 'position' AS field FROM lineitem WHERE l_discount >= 0 AND l_tax >= 0.07 UNION ALL SELECT l_linestatus, 'size' FROM lineitem WHERE l_quantity > 2 AND l_returnflag = 'R') SELECT l_linestatus, field, count(*) AS changes FROM c GROUP BY 1, 2",
