@@ -130,7 +130,7 @@ def p8_evidence(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p2_whole, p3_found, p3_rates, p5_found, p5_counts, p6_containers, p6_items, p6_summary, p6_placed, p7_mix, p7_shares, p7_limits, p7_pools, p8_found, p8_rates, p8_evidence, p8_prefixes)}
 _READ = """CASE WHEN json_valid("row") THEN CASE WHEN json_type("row") = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string("row", '$')) THEN json_extract_string("row", '$') END ELSE "row" END END"""
 # all pairs of rooms, each object with its partners; a matching by counts from both sides
-_TWINS = f"""
+_TWINS = rf"""
         WITH s0 AS (SELECT DISTINCT uid, CASE lower(trim(split)) WHEN 'train' THEN 't' WHEN 'dev' THEN 'e' WHEN 'validation' THEN 'e' WHEN 'test' THEN 'e' END AS side, {_READ} AS j FROM selected WHERE uid IS NOT NULL)
         , s1 AS (SELECT row_number() OVER () AS r, uid, side, json_extract(j, '$.messages[*]') AS ms FROM s0 WHERE side IS NOT NULL AND j IS NOT NULL)
         , s2 AS (SELECT r, uid, side, json_extract_string(m, '$.role') AS role, regexp_replace(regexp_replace(json_extract_string(m, '$.content'), '^\s*```[a-z]*\s*', ''), '\s*```\s*$', '') AS c FROM (SELECT r, uid, side, unnest(ms) AS m FROM s1))
