@@ -235,10 +235,15 @@ def prepared(room):
     return out, sorted(flags)
 
 
-def canonical(room):
-    """Objects by area, label, size and place, with ids slug_k over one namespace; parents follow."""
+def in_order(room):
+    """(part, box) of fixed boxes and objects in the order in which they are shown: by area, label, size and place."""
     rows = [("fixed", o) for o in room["fixed"]] + [("object", o) for o in room["objects"]]
-    order = sorted(rows, key=lambda r: (-round(r[1]["w"] * r[1]["d"], 6), r[1]["kind"], -r[1]["h"], r[1]["z"], r[1]["x"], r[1]["y"], r[1]["id"]))
+    return sorted(rows, key=lambda r: (-round(r[1]["w"] * r[1]["d"], 6), r[1]["kind"], -r[1]["h"], r[1]["z"], r[1]["x"], r[1]["y"], r[1]["id"]))
+
+
+def canonical(room):
+    """Objects in the order shown, with ids slug_k over one namespace; parents follow."""
+    order = in_order(room)
     seen: dict = {}
     names = {}
     for part, o in order:

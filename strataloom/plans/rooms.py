@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.functions import geometry as G
 from strataloom.functions import text
-from strataloom.operators import nested
+from strataloom.operators import curate, nested
 from strataloom.operators import rooms as R
 from strataloom.plans.structure import ELEMENTS, READ
 from strataloom.runtime import table
@@ -29,6 +30,25 @@ def room_labels(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(label.alias("label")).where("label is not null").distinct().select("label", text.category(F.col("label")).alias("category"), text.head(F.col("label")).alias("head"), text.slug(F.col("label")).alias("slug"))
 
 
+def room_order(spark: SparkSession, root: str) -> DataFrame:
+    """Place of every object in the order in which its room is shown."""
+    act = lambda uid, source, room: [(uid, i, o["id"]) for i, (part, o) in enumerate(curate.in_order({**room, "fixed": []}))]
+    return R.over_rooms(table(spark, root, "raw"), "uid string, place int, object_id string", act).distinct()
+
+
+def room_quarters(spark: SparkSession, root: str) -> DataFrame:
+    """Sums of the places of the objects of each room after one to three quarter turns."""
+
+    def act(uid, source, room):
+        boxes = [(o["x"], o["y"], o["w"], o["d"], o["yaw"]) for o in room["objects"]]
+        for k in (1, 2, 3):
+            if room["outline"] and boxes:
+                _, moved = G.quarter(room["outline"], boxes, k)
+                yield uid, k, round(sum(m[0] for m in moved), 3), round(sum(m[1] for m in moved), 3)
+
+    return R.over_rooms(table(spark, root, "raw"), "uid string, turns int, x double, y double", act).distinct()
+
+
 def room_check_rates(spark: SparkSession, root: str) -> DataFrame:
     """Share of rooms of each source that pass every check."""
     c = room_checks(spark, root)
@@ -92,21 +112,32 @@ def room_hulls(spark: SparkSession, root: str) -> DataFrame:
     return ring.select("uid", F.size("ring").alias("corners"), F.round(scenes.ring_area(F.col("ring")), 4).alias("area"))
 
 
-QUERIES = {f.__name__: f for f in (room_checks, room_heights, room_labels, room_check_rates, room_anchors, room_relations, relation_counts, room_layout_twins, room_content_twins, room_outlines, room_settled, room_walkways, answer_states, answer_state_counts, exported_rooms, room_hulls)}
-_LABEL = "coalesce(json_extract_string(x, '$.category'), json_extract_string(x, '$.furniture_category'))"
-ORACLES = {
-    "room_heights": f"""
+QUERIES = {f.__name__: f for f in (room_checks, room_heights, room_labels, room_order, room_quarters, room_check_rates, room_anchors, room_relations, relation_counts, room_layout_twins, room_content_twins, room_outlines, room_settled, room_walkways, answer_states, answer_state_counts, exported_rooms, room_hulls)}
+# boxes of every readable room, lists and maps alike
+_BOXES = f"""
         WITH r AS (SELECT DISTINCT uid, {READ.format(c='"row"')} AS j FROM raw WHERE uid IS NOT NULL)
         , v AS (SELECT row_number() OVER () AS n, uid, j, TRY_CAST(CASE WHEN json_type(j, '$.height') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN json_extract_string(j, '$.height') END AS DOUBLE) AS height FROM r WHERE json_type(j) = 'OBJECT')
         , c AS (SELECT n, height, CASE WHEN json_type(j, '$.objects') IN ('ARRAY', 'OBJECT') AND CAST(json_extract(j, '$.objects') AS VARCHAR) NOT IN ('[]', '{{}}') THEN json_extract(j, '$.objects') ELSE json_extract(j, '$.rooms[0].furniture') END AS c FROM v)
         , e AS (SELECT n, height, unnest(json_extract(c, '$[*]')) AS x, NULL AS k FROM c WHERE json_type(c) = 'ARRAY' UNION ALL SELECT n, height, json_extract(c, '$."' || k || '"'), k FROM (SELECT n, height, c, unnest(json_keys(c)) AS k FROM c WHERE json_type(c) = 'OBJECT'))
-        , b AS (SELECT n, height, coalesce(k, json_extract_string(x, '$.id'), json_extract_string(x, '$.furniture_instance_id')) AS id,
+        , b AS (SELECT n, height, lower(trim(coalesce(CASE WHEN json_type(x, '$.category') = 'VARCHAR' THEN json_extract_string(x, '$.category') END, CASE WHEN json_type(x, '$.furniture_category') = 'VARCHAR' THEN json_extract_string(x, '$.furniture_category') END, ''))) AS kind, coalesce(k, json_extract_string(x, '$.id'), json_extract_string(x, '$.furniture_instance_id')) AS id,
             CASE WHEN json_type(x, '$.size') = 'ARRAY' THEN [TRY_CAST(json_extract(x, '$.size[' || i || ']') AS DOUBLE) for i in [0, 1, 2]] ELSE [TRY_CAST(json_extract(x, '$.furniture_size.' || f) AS DOUBLE) for f in ['width', 'length', 'height']] END AS s,
             CASE WHEN json_type(x, '$.pos') = 'ARRAY' THEN [TRY_CAST(json_extract(x, '$.pos[' || i || ']') AS DOUBLE) for i in [0, 1, 2]] ELSE [TRY_CAST(json_extract(x, '$.furniture_position.' || f) AS DOUBLE) for f in ['x', 'y', 'z']] END AS p,
             coalesce(TRY_CAST(json_extract(x, '$.yaw') AS DOUBLE), TRY_CAST(json_extract(x, '$.furniture_rotation.z') AS DOUBLE)) AS yaw FROM e WHERE json_type(x) = 'OBJECT')
-        , g AS (SELECT * FROM b WHERE id IS NOT NULL AND yaw IS NOT NULL AND s[1] > 0 AND s[2] > 0 AND s[3] > 0 AND p[1] IS NOT NULL AND p[2] IS NOT NULL AND p[3] IS NOT NULL)
+        , g AS (SELECT * FROM b WHERE id IS NOT NULL AND yaw IS NOT NULL AND s[1] > 0 AND s[2] > 0 AND s[3] > 0 AND p[1] IS NOT NULL AND p[2] IS NOT NULL AND p[3] IS NOT NULL)"""
+_LABEL = "coalesce(json_extract_string(x, '$.category'), json_extract_string(x, '$.furniture_category'))"
+ORACLES = {
+    "room_heights": _BOXES + """
         , t AS (SELECT n, count(*) AS objects, count(*) FILTER (height <> 0 AND p[3] + s[3] > height + 0.05) AS above FROM g GROUP BY 1)
         SELECT DISTINCT v.uid, CAST(coalesce(objects, 0) AS INTEGER) AS objects, CAST(coalesce(above, 0) AS INTEGER) AS above FROM v LEFT JOIN t USING (n)""",
+    "room_order": _BOXES + """
+        , o AS (SELECT g.*, v.uid, row_number() OVER (PARTITION BY g.n ORDER BY -round(s[1] * s[2], 6), kind, -s[3], p[3], p[1], p[2], id) - 1 AS place FROM g JOIN v USING (n))
+        SELECT DISTINCT uid, CAST(place AS INTEGER) AS place, id AS object_id FROM o""",
+    "room_quarters": _BOXES + """
+        , b1 AS (SELECT n, CASE WHEN json_type(j, '$.boundary') = 'ARRAY' AND json_array_length(j, '$.boundary') > 0 THEN json_extract(j, '$.boundary[*]') ELSE json_extract(j, '$.rooms[0].room_boundary[*]') END AS b FROM v)
+        , b2 AS (SELECT n, TRY_CAST(json_extract(q, '$[0]') AS DOUBLE) AS x, TRY_CAST(json_extract(q, '$[1]') AS DOUBLE) AS y FROM (SELECT n, unnest(b) AS q FROM b1))
+        , b3 AS (SELECT n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM b2 WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1 HAVING count(*) > 2)
+        , q AS (SELECT v.uid, g.n, t, CASE t WHEN 1 THEN y1 - p[2] WHEN 2 THEN x1 - p[1] ELSE p[2] - y0 END AS x, CASE t WHEN 1 THEN p[1] - x0 WHEN 2 THEN y1 - p[2] ELSE x1 - p[1] END AS y FROM g JOIN b3 USING (n) JOIN v USING (n), (SELECT unnest([1, 2, 3]) AS t))
+        SELECT DISTINCT uid, t AS turns, x, y FROM (SELECT uid, n, t, round(sum(x), 3) AS x, round(sum(y), 3) AS y FROM q GROUP BY 1, 2, 3)""",
     "room_labels": ELEMENTS + f"""
         , l1 AS (SELECT DISTINCT {_LABEL} AS label FROM w WHERE section = 'objects' AND {_LABEL} IS NOT NULL AND own IS NOT NULL)
         , l2 AS (SELECT label, coalesce((SELECT MAP {{'corner/side table': 'side table', 'three-seat / multi-seat sofa': 'three seat sofa', 'three-seat / multi-person sofa': 'three seat sofa', 'coffeetablefactory': 'coffee table', 'sidetablefactory': 'side table', 'boxcomforterfactory': 'comforter', 'comforterfactory': 'comforter'}}[trim(split_part(lower(label), '(', 1))]), lower(label)) AS n FROM l1)
