@@ -80,6 +80,12 @@ def room_content_twins(spark: SparkSession, root: str) -> DataFrame:
     return k.groupBy("content_key").agg(F.count_distinct("uid").alias("rooms"), F.count_distinct("source").alias("sources")).where("sources > 1")
 
 
+def room_content_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Rooms with the same set of sizes: one row for each class of more than one room."""
+    k = R.keys(table(spark, root, "raw")).where("content_key is not null")
+    return k.groupBy("content_key").agg(F.min("uid").alias("first_uid"), F.count_distinct("uid").alias("rooms"), F.count_distinct("source").alias("sources")).where("rooms > 1").drop("content_key")
+
+
 def room_outlines(spark: SparkSession, root: str) -> DataFrame:
     return R.outlines(table(spark, root, "raw"))
 
@@ -112,11 +118,11 @@ def room_hulls(spark: SparkSession, root: str) -> DataFrame:
     return ring.select("uid", F.size("ring").alias("corners"), F.round(scenes.ring_area(F.col("ring")), 4).alias("area"))
 
 
-QUERIES = {f.__name__: f for f in (room_checks, room_heights, room_labels, room_order, room_quarters, room_check_rates, room_anchors, room_relations, relation_counts, room_layout_twins, room_content_twins, room_outlines, room_settled, room_walkways, answer_states, answer_state_counts, exported_rooms, room_hulls)}
+QUERIES = {f.__name__: f for f in (room_checks, room_heights, room_labels, room_order, room_quarters, room_check_rates, room_anchors, room_relations, relation_counts, room_layout_twins, room_content_twins, room_content_classes, room_outlines, room_settled, room_walkways, answer_states, answer_state_counts, exported_rooms, room_hulls)}
 # boxes of every readable room, lists and maps alike
 _BOXES = f"""
-        WITH r AS (SELECT DISTINCT uid, {READ.format(c='"row"')} AS j FROM raw WHERE uid IS NOT NULL)
-        , v AS (SELECT row_number() OVER () AS n, uid, j, TRY_CAST(CASE WHEN json_type(j, '$.height') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN json_extract_string(j, '$.height') END AS DOUBLE) AS height FROM r WHERE json_type(j) = 'OBJECT')
+        WITH r AS (SELECT DISTINCT uid, source, {READ.format(c='"row"')} AS j FROM raw WHERE uid IS NOT NULL)
+        , v AS (SELECT row_number() OVER () AS n, uid, source, j, TRY_CAST(CASE WHEN json_type(j, '$.height') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN json_extract_string(j, '$.height') END AS DOUBLE) AS height FROM r WHERE json_type(j) = 'OBJECT')
         , c AS (SELECT n, height, CASE WHEN json_type(j, '$.objects') IN ('ARRAY', 'OBJECT') AND CAST(json_extract(j, '$.objects') AS VARCHAR) NOT IN ('[]', '{{}}') THEN json_extract(j, '$.objects') ELSE json_extract(j, '$.rooms[0].furniture') END AS c FROM v)
         , e AS (SELECT n, height, unnest(json_extract(c, '$[*]')) AS x, NULL AS k FROM c WHERE json_type(c) = 'ARRAY' UNION ALL SELECT n, height, json_extract(c, '$."' || k || '"'), k FROM (SELECT n, height, c, unnest(json_keys(c)) AS k FROM c WHERE json_type(c) = 'OBJECT'))
         , b AS (SELECT n, height, lower(trim(coalesce(CASE WHEN json_type(x, '$.category') = 'VARCHAR' THEN json_extract_string(x, '$.category') END, CASE WHEN json_type(x, '$.furniture_category') = 'VARCHAR' THEN json_extract_string(x, '$.furniture_category') END, ''))) AS kind, coalesce(k, json_extract_string(x, '$.id'), json_extract_string(x, '$.furniture_instance_id')) AS id,
@@ -138,6 +144,9 @@ ORACLES = {
         , b3 AS (SELECT n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM b2 WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1 HAVING count(*) > 2)
         , q AS (SELECT v.uid, g.n, t, CASE t WHEN 1 THEN y1 - p[2] WHEN 2 THEN x1 - p[1] ELSE p[2] - y0 END AS x, CASE t WHEN 1 THEN p[1] - x0 WHEN 2 THEN y1 - p[2] ELSE x1 - p[1] END AS y FROM g JOIN b3 USING (n) JOIN v USING (n), (SELECT unnest([1, 2, 3]) AS t))
         SELECT DISTINCT uid, t AS turns, x, y FROM (SELECT uid, n, t, round(sum(x), 3) AS x, round(sum(y), 3) AS y FROM q GROUP BY 1, 2, 3)""",
+    "room_content_classes": _BOXES + """
+        , k1 AS (SELECT n, list_sort(list(list_sort([round_even(x / 0.05, 0) for x in s]))) AS key FROM g GROUP BY n HAVING count(*) >= 3)
+        SELECT min(v.uid) AS first_uid, count(DISTINCT v.uid) AS rooms, count(DISTINCT v.source) AS sources FROM k1 JOIN v USING (n) GROUP BY key HAVING count(DISTINCT v.uid) > 1""",
     "room_labels": ELEMENTS + f"""
         , l1 AS (SELECT DISTINCT {_LABEL} AS label FROM w WHERE section = 'objects' AND {_LABEL} IS NOT NULL AND own IS NOT NULL)
         , l2 AS (SELECT label, coalesce((SELECT MAP {{'corner/side table': 'side table', 'three-seat / multi-seat sofa': 'three seat sofa', 'three-seat / multi-person sofa': 'three seat sofa', 'coffeetablefactory': 'coffee table', 'sidetablefactory': 'side table', 'boxcomforterfactory': 'comforter', 'comforterfactory': 'comforter'}}[trim(split_part(lower(label), '(', 1))]), lower(label)) AS n FROM l1)

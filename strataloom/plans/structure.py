@@ -32,8 +32,8 @@ def _stored(spark: SparkSession, root: str) -> str:
 
 
 def p1_objects(spark: SparkSession, root: str) -> DataFrame:
-    """The typed table of the tag ``objects``, read back from the tables written by tag."""
-    return nested.read_table(spark, _stored(spark, root), "objects", OBJECT)
+    """The typed table of the tag ``objects``, read back from the tables written by tag; rows that differ in spelling only fold."""
+    return nested.read_table(spark, _stored(spark, root), "objects", OBJECT).distinct()
 
 
 def p1_tables(spark: SparkSession, root: str) -> DataFrame:
@@ -97,15 +97,16 @@ ELEMENTS = f"""
       UNION ALL SELECT uid, 'objects', uid, unnest(json_extract(j, '$.rooms[*].furniture')) FROM raw1
       UNION ALL SELECT uid, 'request', uid, json_extract(t, '$.objects') FROM s2 WHERE role = 'user' AND json_valid(t) UNION ALL SELECT uid, 'placements', uid, json_extract(t, '$.placements') FROM s2 WHERE role = 'assistant' AND json_valid(t))
     , e AS ({_OPEN.format(t='c')})
-    , w(uid, section, holder, key, x, own) AS (SELECT uid, section, holder, key, x, {_ID} FROM e
-      UNION ALL SELECT uid, section, holder, key, x, {_ID} FROM (
-        SELECT uid, section, coalesce(own, holder) AS holder, CAST(NULL AS VARCHAR) AS key, unnest(json_extract(x, '$.members[*]')) AS x FROM w WHERE json_type(x, '$.members') = 'ARRAY'
-        UNION ALL SELECT uid, section, holder, k, json_extract(x, '$.members."' || k || '"') FROM (SELECT uid, section, coalesce(own, holder) AS holder, x, unnest(json_keys(x, '$.members')) AS k FROM w WHERE json_type(x, '$.members') = 'OBJECT')))"""
+    , w(uid, section, holder, key, x, own, depth) AS (SELECT uid, section, holder, key, x, {_ID}, 0 FROM e
+      UNION ALL SELECT uid, section, holder, key, x, {_ID}, depth FROM (
+        SELECT uid, section, coalesce(own, holder) AS holder, CAST(NULL AS VARCHAR) AS key, unnest(json_extract(x, '$.members[*]')) AS x, depth + 1 AS depth FROM w WHERE json_type(x, '$.members') = 'ARRAY'
+        UNION ALL SELECT uid, section, holder, k, json_extract(x, '$.members."' || k || '"'), depth FROM (SELECT uid, section, coalesce(own, holder) AS holder, x, depth + 1 AS depth, unnest(json_keys(x, '$.members')) AS k FROM w WHERE json_type(x, '$.members') = 'OBJECT')))"""
 ORACLES = {
     "p1_found": ELEMENTS + " SELECT DISTINCT uid, section, own AS item_id, holder AS holder_id FROM w WHERE own IS NOT NULL",
     "p4_found": _WALK + " SELECT uid, object_id, root_id, depth FROM f",
     "p4_paths": _WALK + " SELECT uid, object_id, root_id, depth, path FROM f",
     "p4_descendants": _WALK + ", d AS (SELECT uid, object_id AS descendant, depth, path, unnest(range(0, depth)) AS n FROM f WHERE depth > 0) SELECT uid, path[n + 1] AS ancestor, descendant, CAST(depth - n AS INTEGER) AS distance FROM d",
+    "p1_objects": ELEMENTS + """ SELECT DISTINCT uid AS record_key, own AS pk, holder AS parent_key, CAST(depth AS INTEGER) AS depth, json_extract_string(x, '$.category') AS category, TRY_CAST(json_extract(x, '$.size') AS DOUBLE[]) AS size, TRY_CAST(json_extract(x, '$.pos') AS DOUBLE[]) AS pos, TRY_CAST(json_extract(x, '$.yaw') AS DOUBLE) AS yaw, json_extract_string(x, '$.anchor') AS anchor, json_extract_string(x, '$.parent') AS parent, json_extract_string(x, '$.desc') AS "desc" FROM w WHERE own IS NOT NULL AND section = 'objects'""",
     "p1_tables": ELEMENTS + " SELECT section AS tag, count(DISTINCT {'a': uid, 'b': holder, 'c': own}) AS elements, count(DISTINCT uid) AS records FROM w WHERE own IS NOT NULL GROUP BY 1",
     "p4_circles": _WALK + ", c AS (SELECT k.uid, k.id, k.p FROM k JOIN f ON f.uid = k.uid AND f.object_id = k.id AND f.depth < 0), s(uid, id, spot) AS (SELECT uid, id, p FROM c UNION SELECT s.uid, s.id, c.p FROM s JOIN c ON c.uid = s.uid AND c.id = s.spot) SELECT uid, id AS object_id, CASE WHEN bool_or(spot = id) THEN 'circle' ELSE 'below_circle' END AS state FROM s GROUP BY 1, 2",
     "p4_rooms": _WALK + " SELECT uid, count(*) FILTER (depth < 0) AS caught, count(*) AS objects, max(depth) AS deepest FROM f GROUP BY 1",
