@@ -154,3 +154,24 @@ def frechet(df: DataFrame, by: str, vector: str) -> DataFrame:
 def dot(a: Column | str, b: Column | str) -> Column:
     """Inner product of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def verdict(low: Column, high: Column, higher_is_better: Column) -> Column:
+    """``a_better`` or ``a_worse`` where an interval of a difference a - b leaves 0 out, else NULL."""
+    above = F.when(low > 0, True).when(high < 0, False)
+    return F.when(above.isNotNull(), F.when(above == higher_is_better, "a_better").otherwise("a_worse"))
+
+
+def delivered(estimate: Column, size_high: Column, success_low: Column, margin: float) -> Column:
+    """Whether a joint arm may be delivered: its size error is lower with its whole interval, and its success isn't worse by more than the margin; unknown intervals refuse."""
+    smaller = F.coalesce((estimate < 0) & (size_high < 0), F.lit(False))
+    return smaller & F.coalesce(success_low >= F.lit(margin), F.lit(False))
+
+
+def size_agreement(a: Column, b: Column) -> tuple[Column, Column]:
+    """(overlap ratio of two boxes at one corner, mean absolute log ratio of their sizes) of arrays of three positive numbers; NULL where one isn't."""
+    whole = F.forall(F.concat(a, b), lambda v: v.isNotNull() & (v > 0)) & (F.size(a) == 3) & (F.size(b) == 3)
+    volume = lambda v: v[0] * v[1] * v[2]
+    both = volume(F.zip_with(a, b, lambda x, y: F.least(x, y)))
+    logs = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(F.log(x / y))), F.lit(0.0), lambda s, v: s + v) / 3
+    return F.when(whole, both / (volume(a) + volume(b) - both)), F.when(whole, logs)

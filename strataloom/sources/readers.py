@@ -189,6 +189,39 @@ def structured3d(record) -> Iterator[tuple]:
     yield room_row("Structured3D", record["sample_id"], f"structured3d:{origin['source_house_id']}", room, Frame(True, 0), origin.get("split"), {"n_nearest_outside_dropped": dropped}, flagged)
 
 
+def infinigen(scene) -> Iterator[tuple]:
+    """Generated layouts: boxes turn about z only, outline and height are those of the boxes, so the outline is a proxy and the height unknown.
+
+    The same layout may be exported again under one scene id; such rooms come out alike and fold downstream.
+    """
+    room = scene["rooms"][0]
+    if room["furniture"]:
+        boxes = [{**f, "furniture_category": (f["furniture_category"] or "").replace("_", " "), "furniture_rotation": {**f["furniture_rotation"], "x": 0, "y": 0}} for f in room["furniture"]]
+        kind = room.get("room_type")
+        kind = None if kind in (None, "unknown") else kind.replace("_", " ")
+        yield room_row("M3DLayout_infinigen", scene["sample_id"], "infinigen:" + scene["scene_id"].partition("_")[2], {**room, "room_type": kind, "room_height": None, "furniture": boxes}, Frame(False, -90, "proxy"), scene.get("source_subset"), {"scene_id": scene["scene_id"], "height_source": "dropped_proxy"})
+
+
+#: Cosine of the tilt up to which a scanned box counts as level, metres within which a bottom is the floor, share of bottoms below the floor.
+LEVEL, ON_FLOOR, BELOW = math.cos(math.radians(10)), 0.10, 20
+
+
+def scannetpp(scene) -> Iterator[tuple]:
+    """Scanned boxes without a front: heights from the floor, which is the bottom at a twentieth of the sorted bottoms of level boxes."""
+    room = scene["rooms"][0]
+    base = lambda f: field(f, "furniture_position", "z") - field(f, "furniture_size", "height") / 2
+    level = [field(f, "source_fields", "vertical_axis_dot_z") >= LEVEL for f in room["furniture"]]
+    bottoms = sorted(base(f) for f, flat in zip(room["furniture"], level) if flat)
+    floor = bottoms[len(bottoms) // BELOW] if bottoms else None
+    boxes = []
+    for f, flat in zip(room["furniture"], level):
+        z = base(f) - (floor or 0.0)
+        z = 0.0 if floor is not None and abs(z) < ON_FLOOR else z
+        boxes.append({**f, "furniture_position": {**f["furniture_position"], "z": z}, "furniture_rotation": {**f["furniture_rotation"], **({"x": 0, "y": 0} if flat else {})}})
+    sid = scene["scene_id"].removeprefix("scannetpp_")
+    yield room_row("ScanNetpp", f"ScanNetpp::{sid}", f"scannetpp:{sid}", {**room, "furniture": boxes}, Frame(False, 0, "hull"), scene.get("source_subset"), {"scene_id": sid, "front_known": False, "floor_z": floor})
+
+
 class Reader(NamedTuple):
     paths: tuple[str, ...]
     rooms: Callable[[dict], Iterator[tuple]]
@@ -204,6 +237,8 @@ READERS = {
     "OptiScene_holodeck": Reader(("OptiScene_exported/holodeck.json",), holodeck, True),
     "SAGE-10k": Reader(("SAGE10k/json_single.json", "SAGE10k/json_multi_split.json"), sage, True),
     "Structured3D": Reader(("Structured3D/structured3d.jsonl",), structured3d),
+    "M3DLayout_infinigen": Reader(("M3DLayout_exported/infinigen.json",), infinigen, True),
+    "ScanNetpp": Reader(("ScanNet++_exported/scannetpp.jsonl",), scannetpp),
 }
 
 

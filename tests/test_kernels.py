@@ -190,3 +190,20 @@ def test_bedside_tables_are_tucked_and_copies_are_not():
     assert rooms.checked(inside)[1]["contained"] == 1
     copies = rooms.read_room(room(box("w", 2, 2, size=(2, 1, 2), kind="wardrobe"), box("x", 2.1, 2, size=(2, 1, 2), kind="wardrobe")))
     assert rooms.checked(copies)[1]["main"] == 1
+
+
+def test_short_descriptions():
+    L = plain_labels
+    assert L.short_description("A walnut desk with two drawers, placed next to the window. It is old.") == "walnut desk with two drawers"
+    assert L.short_description("The lamp on the floor") == "lamp" and L.short_description(None) == "" and L.short_description("an armchair.") == "armchair"
+    long = "tall narrow cabinet of dark oak with brass handles, three glass doors and many small shelves for books, plates and other things"
+    assert L.short_description(long) == "tall narrow cabinet of dark oak with brass handles, three glass doors" and len(L.short_description("word " * 40).split()) == 16
+
+
+def test_decisions(spark):
+    rows = [(0.1, 0.2, True, [1.0, 2.0, 1.0], [2.0, 2.0, 1.0]), (-0.2, -0.1, True, [1.0, 1.0, 1.0], [1.0, 1.0, 1.0]), (0.1, 0.2, False, [1.0, 0.0, 1.0], [1.0, 1.0, 1.0]), (-0.1, 0.1, True, [1.0], [1.0, 1.0, 1.0]), (None, None, True, None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "low double, high double, up boolean, a array<double>, b array<double>")
+    iou, mae = stats.size_agreement(F.col("a"), F.col("b"))
+    got = df.select(stats.verdict(F.col("low"), F.col("high"), F.col("up")).alias("v"), stats.delivered(F.col("low"), F.col("high"), F.col("low"), -0.3).alias("d"), iou.alias("iou"), mae.alias("mae")).collect()
+    assert [r.v for r in got] == ["a_better", "a_worse", "a_worse", None, None] and [r.d for r in got] == [False, True, False, False, False]
+    assert [r.iou for r in got] == [0.5, 1.0, None, None, None] and math.isclose(got[0].mae, math.log(2) / 3) and got[1].mae == 0

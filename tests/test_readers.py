@@ -23,6 +23,8 @@ CASES = {
     "SceneSmith": {"scene_id": "m1", "parent_scene_id": "m", "provenance": {"subset": "x"}, "rooms": [{"room_boundary": RING, "furniture": [thing("a", source_fields={"asset_group": "furniture"})]}]},
     "OptiScene_holodeck": {"scene_id": "h1", "rooms": [{"room_boundary": RING, "furniture": [{"furniture_category": "lamp", "source_fields": {"layout_object": {"position": {"x": 2, "y": 0, "z": 3}, "rotation": {"x": 0, "y": 90, "z": 0}, "bbox": [150, 60, 80]}}}]}]},
     "SAGE-10k": {"scene_id": "q", "room_index": 2, "room_boundary": [{"x": x, "y": y} for x, y in RING], "furniture": [thing("a", place_id="floor"), thing("b", place_id="a"), thing("b", place_id="b")]},
+    "M3DLayout_infinigen": {"sample_id": "i", "scene_id": "infinigen_12", "rooms": [{"room_type": "living_room", "room_height": 3, "room_boundary": RING, "furniture": [thing("a", "arm_chair")]}]},
+    "ScanNetpp": {"scene_id": "scannetpp_ab", "rooms": [{"room_boundary": RING, "furniture": [thing("a", pos=(2, 3, 1.46), source_fields={"vertical_axis_dot_z": 0.99}), thing("b", pos=(2, 3, 3), source_fields={"vertical_axis_dot_z": 0.5}, furniture_rotation={"x": 40, "y": 0, "z": 0})]}]},
     "Structured3D": {"sample_id": "t", "provenance": {"source_house_id": "9", "split": "train"}, "room_context": {"floor_polygon": RING, "room_type": "undefined", "ceiling_height_m": 2.8, "doors": [{"position": {"x": 1.0, "y": 3.0, "z": 1.0}, "width": 0.9, "height": 2.0}]}, "layout": {"floor_layout": {"objects": [{"id": "a", "category": "bed", "position": {"x": 3, "y": 3, "z": 0.5}, "rotation": {"x": 0, "y": 0, "z": 0}, "size": {"width": 2, "length": 1, "height": 1}}, {"id": "b", "category": "bed", "assignment_method": "nearest", "position": {"x": 30, "y": 3, "z": 0.5}}]}}},
 }
 
@@ -61,6 +63,10 @@ def test_frames_and_fields(rooms):
     assert [round(v, 9) for v in deck["objects"][0]["size"]] == [0.7, 0.5, 1.5] and deck["objects"][0]["yaw"] == math.pi and deck["objects"][0]["pos"] == [1, 2, 0]
     (sage,) = rooms("SAGE-10k").values()
     assert [(o["id"], o["anchor"], o["parent"]) for o in sage["objects"]] == [("a", "floor", None), ("b", "object", "a"), ("b#2", None, None)]
+    (infinigen,) = rooms("M3DLayout_infinigen").values()
+    assert (infinigen["group"], infinigen["room_type"], infinigen["height"], infinigen["boundary_type"], infinigen["objects"][0]["category"]) == ("infinigen:12", "living room", None, "proxy", "arm chair")
+    (pp,) = rooms("ScanNetpp").values()
+    assert [(o["tilted"], round(o["pos"][2], 6)) for o in pp["objects"]] == [(False, 0.0), (True, 1.54)] and pp["meta"]["front_known"] is False and pp["boundary_type"] == "hull"
     (s3d,) = rooms("Structured3D").values()
     assert [o["id"] for o in s3d["objects"]] == ["a", "door_0"] and s3d["meta"]["n_nearest_outside_dropped"] == 1 and s3d["room_type"] is None and s3d["height"] == 2.8
 
