@@ -114,6 +114,15 @@ def size_errors(spark: SparkSession, root: str) -> DataFrame:
     return per.groupBy("source").agg(F.count("mae").alias("objects"), F.round(F.avg(F.col("mae") / 3), 6).alias("log_mae"), F.round(F.avg(F.col("bias") / 3), 6).alias("log_bias"))
 
 
+def size_overlaps(spark: SparkSession, root: str) -> DataFrame:
+    """Mean overlap ratio of estimated and true sizes, boxes at one corner, by source."""
+    rooms = table(spark, root, "rooms").where("sizes is not null").select("uid", "source", "target", "sizes").distinct()
+    given = F.from_json("target", "placements array<struct<id string, size array<double>>>")["placements"]
+    rows = rooms.select("source", F.explode(given).alias("p"), F.from_json("sizes", "map<string, array<double>>").alias("s")).select("source", "p.size", F.try_element_at("s", F.col("p.id")).alias("guess"))
+    overlap, _ = stats.size_agreement(F.col("guess"), F.col("size"))
+    return rows.select("source", overlap.alias("o")).where("o is not null").groupBy("source").agg(F.count("o").alias("objects"), F.round(F.avg("o"), 6).alias("overlap"))
+
+
 def critic_edits(spark: SparkSession, root: str) -> DataFrame:
     """Proposed edits by operation and whether they can be applied."""
     return curate.edits(table(spark, root, "stream_state")).groupBy("op", "state").agg(F.count(F.lit(1)).alias("edits"), F.count_distinct("call_id").alias("calls"))
@@ -142,7 +151,7 @@ def latest_receipts(spark: SparkSession, root: str) -> DataFrame:
     return per.groupBy("engine").agg(F.count(F.lit(1)).alias("answers"), F.sum("receipts").alias("receipts"), F.max("spread_us").alias("latest_us"))
 
 
-QUERIES = {f.__name__: f for f in (room_preparation, release_counters, release_rows, evaluation_summary, best_samples, engine_contrast, size_errors, critic_edits, hard_negatives, augmentation_checks, call_latency, latest_receipts)}
+QUERIES = {f.__name__: f for f in (room_preparation, release_counters, release_rows, evaluation_summary, best_samples, engine_contrast, size_errors, size_overlaps, critic_edits, hard_negatives, augmentation_checks, call_latency, latest_receipts)}
 ORACLES = {
     "call_latency": """
         WITH c AS (SELECT DISTINCT call_id, expected_model, status, usage.total_tokens AS t, epoch_us(finished_at) - epoch_us(started_at) AS us FROM stream_state)
@@ -153,6 +162,12 @@ ORACLES = {
         , v AS (SELECT source, CAST(json_extract(x, '$.size') AS DOUBLE[]) AS t, CAST(json_extract(sizes, '$."' || json_extract_string(x, '$.id') || '"') AS DOUBLE[]) AS g FROM p)
         , l AS (SELECT source, [ln(g[i] / t[i]) for i in [1, 2, 3]] AS d FROM v WHERE len(t) = 3 AND len(g) = 3 AND list_min(t) > 0 AND list_min(g) > 0)
         SELECT source, count(*) AS objects, round(avg((abs(d[1]) + abs(d[2]) + abs(d[3])) / 3), 6) AS log_mae, round(avg((d[1] + d[2] + d[3]) / 3), 6) AS log_bias FROM l GROUP BY 1""",
+    "size_overlaps": """
+        WITH r AS (SELECT DISTINCT uid, source, target, sizes FROM rooms WHERE sizes IS NOT NULL AND json_valid(target) AND json_valid(sizes))
+        , p AS (SELECT uid, source, sizes, unnest(json_extract(target, '$.placements[*]')) AS x FROM r)
+        , v AS (SELECT source, CAST(json_extract(x, '$.size') AS DOUBLE[]) AS t, CAST(json_extract(sizes, '$."' || json_extract_string(x, '$.id') || '"') AS DOUBLE[]) AS g FROM p)
+        , o AS (SELECT source, least(t[1], g[1]) * least(t[2], g[2]) * least(t[3], g[3]) AS b, t[1] * t[2] * t[3] + g[1] * g[2] * g[3] AS w FROM v WHERE len(t) = 3 AND len(g) = 3 AND list_min(t) > 0 AND list_min(g) > 0)
+        SELECT source, count(*) AS objects, round(avg(b / (w - b)), 6) AS overlap FROM o GROUP BY 1""",
     "latest_receipts": """
         WITH r AS (SELECT output_id, first(engine ORDER BY received_at, engine) AS engine, count(*) AS receipts, max(epoch_us(received_at)) - min(epoch_us(received_at)) AS spread FROM placer_generate WHERE output_id IS NOT NULL GROUP BY 1)
         SELECT engine, count(*) AS answers, CAST(sum(receipts) AS BIGINT) AS receipts, max(spread) AS latest_us FROM r GROUP BY 1""",
