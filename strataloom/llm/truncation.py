@@ -123,12 +123,13 @@ def shaped(documents: DataFrame) -> DataFrame:
     text = text.withColumn("shape", F.when(F.col("body") == "", F.when(F.col("mark") == "", "blank").otherwise("open")).otherwise(forms(F.when(brackets, F.col("body")))))
     plain = F.when(F.col("mark") == "dots", F.regexp_replace("body", DOTS, "")).otherwise(F.col("body"))
     marked = F.replace(F.regexp_replace(plain, "[0-9]+", "0"), F.lit("<"), F.lit("\x01<"))
+    text = text.withColumn("stops", F.right(plain, F.lit(16)).rlike(STOP))  # dots that may be meant are no full stop
     text = text.withColumn("marked", F.replace(F.regexp_replace(marked, BORDER, "$1\x01"), F.lit("\n"), F.lit("\x02\x01")))
     text = text.withColumn("entry", F.ltrim(F.element_at(F.split("marked", "\x01"), -1)))
     text = text.withColumn("words", words_of(F.col("entry")))
     last = lambda i: F.coalesce(F.try_element_at("words", F.lit(i)), F.lit(""))
     ended = F.concat("marked", F.when(F.col("mark") == "", "\x02").otherwise("\x05"))
-    return text.select("source", "digest", "body", "mark", "shape", ended.alias("marked"), "entry", last(-1).alias("word"), last(-2).alias("before"), F.expr("right(body, 16)").rlike(STOP).alias("stops"))
+    return text.select("source", "digest", "body", "mark", "shape", ended.alias("marked"), "entry", last(-1).alias("word"), last(-2).alias("before"), "stops")
 
 
 def words_of(entry: Column) -> Column:

@@ -15,10 +15,11 @@ def test_forms():
 
 
 def test_what_stands_behind(spark):
-    texts = ["The des (more)", "The des [...]  ", "abc ...", "it is so…", "wh\ufffd", "  ", "one 12 two. Three", "第一句。第二"]
+    texts = ["The des (more)", "The des [...]  ", "abc ...", "it is so…", "wh\ufffd", "  ", "one 12 two. Three", "第一句。第二", "0.7..."]
     rows = {r.digest: r for r in tr.shaped(spark.createDataFrame([(t, None) for t in texts], "text string, source string")).collect()}
     by = {t: rows[hashlib.sha256(t.encode()).hexdigest()] for t in texts}
     assert [(by[t].body, by[t].mark) for t in texts[:5]] == [("The des", "mark"), ("The des", "mark"), ("abc", "mark"), ("it is so…", "dots"), ("wh", "broken")]
+    assert not by["abc ..."].stops and not by["it is so…"].stops and not by["0.7..."].stops and by["0.7..."].entry == "0.0"
     assert by["  "].shape == "blank" and by["it is so…"].entry == "it is so"
     last = by["one 12 two. Three"]
     assert (last.entry, last.word, last.before, last.marked) == ("Three", "Three", "", "one 0 two.\x01Three\x02")
