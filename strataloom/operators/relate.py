@@ -50,7 +50,7 @@ def nearest_by_log_size(rows: DataFrame, key: str, kind: str, sizes: tuple[str,
     Rows of equal kind and sizes are one point. Points stand in a lattice of squares by the logarithms of both sizes and ask the nine
     squares around theirs; an answer is proven once its cost is less than the side of a square, and points without proof ask again in
     squares twice as wide, until squares are as wide as the table. Only rows alone in their kind, or without kind or sizes above 0, get none.
-    ``key`` is unique.
+    ``key`` is unique. Every join is asked to sort and merge: Spark judges sizes by the bytes of packed files and would broadcast all points.
     """
     good = rows.where(F.col(key).isNotNull() & F.col(kind).isNotNull() & (F.col(sizes[0]) > 0) & (F.col(sizes[1]) > 0))
     at = cut(good.select(F.col(key).alias("_k"), F.col(kind).alias("_g"), F.log(F.col(sizes[0]).cast("double")).alias("_a"), F.log(F.col(sizes[1]).cast("double")).alias("_b")).distinct())
@@ -65,21 +65,21 @@ def nearest_by_log_size(rows: DataFrame, key: str, kind: str, sizes: tuple[str,
     while found is None or not left.isEmpty():
         last = width > reach
         if last:
-            met = left.join(other, "_g")
+            met = left.join(other.hint("merge"), "_g")
         else:
             cell = lambda c, step=0: F.floor(F.col(c) / width) + step
             around = F.array(*[F.struct(cell("_a", i).alias("i"), cell("_b", j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-            met = left.withColumn("_c", F.explode(around)).join(other.withColumn("_c", F.struct(cell("_a2").alias("i"), cell("_b2").alias("j"))), ["_g", "_c"])
+            met = left.withColumn("_c", F.explode(around)).join(other.withColumn("_c", F.struct(cell("_a2").alias("i"), cell("_b2").alias("j"))).hint("merge"), ["_g", "_c"])
         best = best_candidate(met.where("_p <> ref").withColumn("cost", cost), ["_p"], F.struct("cost", "ref"), ["cost", "ref"])
         done = cut(best if last else best.where(F.col("cost") < width - 1e-9))
         found = done if found is None else found.unionByName(done)
         if last:
             break
-        left = cut(left.join(done.select("_p"), "_p", "left_anti"))
+        left = cut(left.join(done.select("_p").hint("merge"), "_p", "left_anti"))
         width *= 2
-    placed = at.join(points, place)
+    placed = at.join(points.hint("merge"), place)
     second = placed.where("_k <> _p").groupBy("_p").agg(F.min("_k").alias("_q"))
-    near = placed.join(second, "_p", "left").join(found, "_p", "left")
+    near = placed.join(second.hint("merge"), "_p", "left").join(found.hint("merge"), "_p", "left")
     twin = F.when(F.col("_k") != F.col("_p"), F.col("_p")).otherwise(F.col("_q"))
     own = F.when(twin.isNotNull(), F.struct(F.lit(0.0).alias("cost"), twin.alias("ref")))
     answer = F.least(own, F.when(F.col("ref").isNotNull(), F.struct("cost", "ref")))

@@ -41,3 +41,16 @@ def test_every_part_gets_its_nearest(spark, tmp_path):
     want = {p[0]: min((cost(p, q), q[0]) for q in good if q[1] == p[1] and q[0] != p[0]) for p in good if p[1] != "alone"}
     rows = relations.nearest_size(spark, str(tmp_path)).collect()
     assert len(rows) == len(want) and {r.p_partkey: (r.cost, r.ref) for r in rows} == want
+
+
+def test_nearest_broadcasts_no_points(spark, tmp_path):
+    parts = [(k, "ab"[k % 2], 1 + k % 7, 900.0 + k % 11) for k in range(200)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    bus, held = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    before = held.executionsCount()
+    assert len(relations.nearest_size(spark, str(tmp_path)).collect()) == 200
+    bus.waitUntilEmpty(30_000)
+    ran = held.executionsList()
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(before, ran.size())]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
