@@ -80,3 +80,83 @@ def test_tables(spark):
 def test_requests_are_turned_in_degrees():
     got = R.read_request(json.dumps({"boundary": [[0, 0], [5, 0], [5, 4]], "fixed": [{"id": "door_f0", "pos": [0, 2, 0], "size": [0.1, 0.9, 2], "yaw": 450}]}))
     assert got["fixed"][0]["kind"] == "door" and math.isclose(got["fixed"][0]["yaw"], math.pi / 2) and R.read_request("{") is None
+
+
+def plain_wrong(room, at, unit):
+    """Counts around a unit by direct comparison with everything, each collision judged by rooms.collision."""
+    rings = {i: R.ring_of(o) for i, o in at.items()}
+
+    def meets(o, r, q, s):
+        return R.tall_overlap(o, q) > R.TOL and repair.G.shared_area(r, s) > R.SHARED
+
+    def mains(i):
+        o = at[i]
+        for j, q in at.items():
+            if j not in unit and not R.is_thin(o) and not R.is_thin(q) and o["parent"] != j and q["parent"] != i and meets(o, rings[i], q, rings[j]) and R.collision(o, q, rings[i], rings[j]) == "main":
+                yield repair.G.shared_area(rings[i], rings[j]) > 0.3 * min(repair.G.area(rings[i]), repair.G.area(rings[j]))
+
+    def hangs(o):
+        p = at.get(o["parent"])
+        top = p["z"] + p["h"] if p else 0.0
+        far = repair.G.box_distance((o["x"], o["y"]), p["x"], p["y"], p["w"], p["d"], p["yaw"]) if p else 0.0
+        return o["parent"] is not None and p is None or abs(o["z"] - top) > R.TOL + 1e-9 or far > R.TOL + 1e-9
+
+    pairs = [s for i in unit for s in mains(i)]
+    hits = sum(meets(at[i], rings[i], f, R.ring_of(f)) for i in unit if not R.is_thin(at[i]) for f in room["fixed"])
+    return sum(pairs), len(pairs), hits, sum(any(repair.G.outside_by(p, room["outline"]) > R.OUT + 1e-9 for p in rings[i]) for i in unit), sum(hangs(at[i]) for i in unit)
+
+
+def crowd(pick, outline):
+    kinds = ["crate", "crate", "chair", "table", "bed", "nightstand", "rug", "shelf"]
+    boxes = []
+    for i in range(11):
+        w, d = pick.choice(((0.5, 0.5), (1.0, 0.8), (2.0, 1.6), (pick.uniform(0.2, 1.5), pick.uniform(0.2, 1.5))))
+        on = f"o{pick.randrange(i)}" if i and pick.random() < 0.3 else "gone" if pick.random() < 0.05 else None
+        below = next((b for b in boxes if b[0] == on), None)
+        spot = (below[2][0] + pick.uniform(-0.4, 0.4), below[2][1], below[2][2] + below[3][2]) if below else (pick.uniform(-0.3, 5.2), pick.uniform(-0.3, 4.2), 0.0)
+        boxes.append((f"o{i}", pick.choice(kinds), spot, (w, d, pick.choice((0.3, 1.0, 0.01))), pick.choice((0.0, math.pi / 2, pick.uniform(0, 6))), on))
+    return {**room(boxes, [("p", "pillar", (2.5, 2, 0), (0.4, 0.4, 2.5))]), "outline": outline}
+
+
+def test_moves_are_judged_as_by_direct_comparison():
+    pick = random.Random(8)
+    judged = [0, 0]
+    for outline in ([(0, 0), (5, 0), (5, 4), (0, 4)], [(0, 0), (5, 0), (5, 2), (3, 2), (3, 4), (0, 4)]) * 6:
+        scene = repair.Search(start := crowd(pick, outline))
+        for i in scene.boxes:
+            unit = scene.unit(i)
+            now = plain_wrong(start, scene.boxes, unit)
+            assert scene.wrong(unit) == now
+            around = scene.around(unit)
+            for n, (dx, dy) in enumerate([(2.0, -1.0), (-1.3, 0.4), *repair.GRID]):
+                around = scene.within(around, repair.FARTHEST) if n == 2 else around
+                at = {j: {**o, "x": round(o["x"] + dx, 6), "y": round(o["y"] + dy, 6)} if j in unit else o for j, o in scene.boxes.items()}
+                after = plain_wrong(start, at, unit)
+                want = after != now and all(a <= b for a, b in zip(after, now))
+                assert scene.better(unit, around, now, dx, dy) == want
+                judged[want] += 1
+        _, before, after, _, moved = repair.repaired(start)
+        assert not moved or sum(after) < sum(before)
+    assert min(judged) > 100
+
+
+def test_moves_in_vain_leave_no_trace():
+    # too large for its room: no move helps
+    start = room([("a", "crate", (2.123456789, 2.0, 0), (9.0, 9.0, 1.0), 0.0, None)])
+    objects, before, after, trials, moved = repair.repaired(start)
+    assert trials > 50 and not moved and before == after and objects == start["objects"]
+
+
+def test_moves_of_a_large_unit_look_only_at_what_it_can_meet(monkeypatch):
+    # thirty books on a shelf, all in each other, that no move takes out of the pillar
+    books = [(f"b{i}", "book", (2.5, 2.0, 1.0), (0.6, 0.6, 0.3), 0.3, "shelf") for i in range(30)]
+    start = room([("shelf", "shelf", (2.5, 2.0, 0), (4.5, 3.5, 1.0), 0.1, None), *books], [("p", "pillar", (2.5, 2, 0), (0.4, 0.4, 2.5))])
+    steps = []
+    for name in ("clipped", "box_distance"):
+        plain = getattr(repair.G, name)
+        monkeypatch.setattr(repair.G, name, lambda *a, plain=plain: steps.append(1) or plain(*a))
+    if hasattr(repair, "quick_area"):
+        quick = repair.quick_area
+        monkeypatch.setattr(repair, "quick_area", lambda *a: steps.append(1) or quick(*a))
+    *_, trials, _ = repair.repaired(start)
+    assert trials == repair.TRIALS and len(steps) < 20_000
