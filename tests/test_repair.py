@@ -160,3 +160,45 @@ def test_moves_of_a_large_unit_look_only_at_what_it_can_meet(monkeypatch):
         monkeypatch.setattr(repair, "quick_area", lambda *a: steps.append(1) or quick(*a))
     *_, trials, _ = repair.repaired(start)
     assert trials == repair.TRIALS and len(steps) < 20_000
+
+
+def test_a_repeated_point_of_an_outline_is_no_side():
+    # the nearest side of the box beyond the corner would be the one from the point to itself, which has no direction
+    outline = [(3.63, 4.47), (2.15, 5.21), (0.0, 4.47), (0.0, 4.47), (0.94, 0.0), (4.41, 2.24)]
+    start = {**room([("box", "box", (-0.18, 4.64, 0.0), (0.29, 0.33, 0.23), 4.71238898038469, None)]), "outline": outline}
+    objects, before, after, _, moved = repair.repaired(start)
+    assert before == (0, 0, 0, 1, 0) and not any(after) and set(moved) == {"box"}
+    once = repair.repaired({**start, "outline": [*outline[:2], *outline[3:]]})
+    assert (objects, moved) == (once[0], once[4])
+    *_, after, trials, moved = repair.repaired({**start, "outline": [(0.0, 0.0)] * 3})
+    assert after[3] == 1 and trials and not moved
+
+
+def test_rooms_with_numbers_out_of_range_dont_break_the_others(spark):
+    request = '{"boundary": [[0, 0], [5, 0], [5, 4], [0, 4]], "boundary_type": "polygon", "height": HIGH, "objects": [{"id": "a", "category": "crate"}, {"id": "b", "category": "crate"}]}'
+    target = '{"placements": [{"id": "a", "pos": [4.9, 2, 0], "size": [1, 1, 1], "yaw": 0}, {"id": "b", "pos": [2, PLACE, 0], "size": [1, SIZE, 1], "yaw": YAW}]}'
+    sound, large = {"HIGH": "3", "PLACE": "2", "SIZE": "1", "YAW": "0"}, "1" + 400 * "0"
+    cases = {"sound": ({}, 2), "place": ({"PLACE": large}, 1), "size": ({"SIZE": large}, 1), "yaw": ({"YAW": large}, 1), "endless": ({"YAW": "-Infinity"}, 1), "height": ({"HIGH": large}, 2), "far": ({"PLACE": "1e200"}, 2)}
+    rows = []
+    for name, (odd, _) in cases.items():
+        a, b = request, target
+        for k, v in {**sound, **odd}.items():
+            a, b = a.replace(k, v), b.replace(k, v)
+        rows.append((name, a, b))
+    got = {r.uid: r for r in repair.repair_rooms(spark.createDataFrame(rows, "uid string, request string, target string")).collect()}
+    assert {k: r.objects for k, r in got.items()} == {k: n for k, (_, n) in cases.items()}
+    assert all(r.status == "partial" if k == "far" else r.status == "ok" and r.moved == 1 for k, r in got.items())
+
+
+def test_grids_in_vain_count_but_arent_tried_again(monkeypatch):
+    # a cup that floats, which no move changes, and a crate too large for its room in two pillars, with three more wherever it gets out of them
+    tried = []
+    judged = repair.Search.better
+    monkeypatch.setattr(repair.Search, "better", lambda self, *a: tried.append(1) or judged(self, *a))
+    floats = room([("t", "table", (2, 2, 0), (1, 1, 0.7), 0.0, None), ("cup", "cup", (2, 2, 1.5), (0.1, 0.1, 0.1), 0.0, "t")])
+    *_, trials, moved = repair.repaired(floats)
+    assert trials >= len(repair.GRID) and not moved and not tried
+    spots = [(2.5, 2), (2.6, 2), *(spot for spot in ((11, 2), (-6, 2), (2.5, 10.5), (2.5, -6.5)) for _ in range(3))]
+    stuck = room([("a", "crate", (2.5, 2.0, 0), (9.0, 9.0, 1.0), 0.0, None)], [(f"p{i}", "pillar", (*spot, 0), (0.4, 0.4, 2.5)) for i, spot in enumerate(spots)])
+    *_, trials, moved = repair.repaired(stuck)
+    assert trials > 3 * len(repair.GRID) and not moved and len(tried) < 2 * len(repair.GRID)
